@@ -3,9 +3,9 @@
 Every benchmark item is a bag of five-word shingles weighted by their number. A window of a
 document has as many words as the item. Its 64-bit SimHash adds the shingles' bits with their
 weights. Fingerprints are looked up in a multi-index: cut in BLOCKS blocks, two fingerprints
-within RADIUS bits agree in some block up to RADIUS // BLOCKS bits, so listing each item under
-all block values that near finds every item within the radius. Candidates are then verified by
-the exact weighted similarity, sum of minima over sum of maxima of the shingle weights.
+within RADIUS bits agree in some block up to RADIUS // BLOCKS bits, so looking up all block
+values that near finds every item within the radius. Candidates are then verified by the exact
+weighted similarity, sum of minima over sum of maxima of the shingle weights.
 
 Windows that cannot reach the similarity are left out beforehand by an exact bound: at
 similarity s a window has at least s times the item's shingle weight of shingles that occur in
@@ -21,6 +21,7 @@ a document once, with its best window (ties: the first). Other columns are ignor
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -78,6 +79,7 @@ class Index:
     buckets: list[tuple[np.ndarray, np.ndarray]]  # for each block: items by block value, offsets
 
 
+@functools.lru_cache(4)
 def near_values(bits: int, radius: int) -> np.ndarray:
     """All numbers of so many bits with at most radius ones."""
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.int64)
@@ -97,14 +99,11 @@ def build_index(items: list[tuple[object, str]]) -> Index:
         weights.append(dict(zip(value.tolist(), number.tolist())))
         prints.append(pack((signs(value) * number[:, None]).sum(0)[None, :])[0])
     prints = np.array(prints, np.uint64)
-    near = near_values(BITS // BLOCKS, RADIUS // BLOCKS)
     buckets = []
     for block in range(BLOCKS):
         own = block_value(prints, block)
-        value = (own[:, None] ^ near[None, :]).ravel()
-        order = np.argsort(value, kind="stable")
-        counts = np.bincount(value, minlength=1 << BITS // BLOCKS)
-        buckets.append((np.repeat(np.arange(len(own)), len(near))[order].astype(np.int32), np.concatenate([[0], np.cumsum(counts)])))
+        counts = np.bincount(own, minlength=1 << BITS // BLOCKS)
+        buckets.append((np.argsort(own, kind="stable").astype(np.int32), np.concatenate([[0], np.cumsum(counts)])))
     known = np.unique(np.fromiter((h for w in weights for h in w), np.uint64))
     return Index(ids, word_ids, np.array(sizes, np.int64), weights, prints, known, buckets)
 
@@ -117,13 +116,14 @@ def block_value(prints: np.ndarray, block: int) -> np.ndarray:
 def within_radius(index: Index, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in prints, item) of all pairs within RADIUS bits, by the multi-index."""
     at, item = [], []
+    near = near_values(BITS // BLOCKS, RADIUS // BLOCKS)
     for block, (items, offsets) in enumerate(index.buckets):
-        value = block_value(prints, block)
+        value = (block_value(prints, block)[:, None] ^ near[None, :]).ravel()
         count = offsets[value + 1] - offsets[value]
-        place = np.repeat(np.arange(len(prints)), count)
+        place = np.repeat(np.repeat(np.arange(len(prints)), len(near)), count)
         within = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
         at.append(place)
-        item.append(items[offsets[value][place] + within])
+        item.append(items[np.repeat(offsets[value], count) + within])
     at, item = np.concatenate(at), np.concatenate(item).astype(np.int64)
     close = np.bitwise_count(prints[at] ^ index.prints[item]) <= RADIUS
     pair = np.unique(at[close] * len(index.prints) + item[close])
@@ -151,8 +151,8 @@ def find(index: Index, ids: np.ndarray, theta: float) -> list[tuple[int, int, in
         total = np.concatenate([[0], np.cumsum(hit)])
         span = size - k + 1  # shingles of a window
         enough = np.flatnonzero(total[span:] - total[:-span] >= theta * span)
-        for a in range(0, len(enough), 4096):
-            starts = enough[a : a + 4096]
+        for a in range(0, len(enough), 256):
+            starts = enough[a : a + 256]
             inside = hashes[starts[:, None] + np.arange(span)]
             prints = pack(signs(inside.ravel()).reshape(len(starts), span, BITS).sum(1)) if span * len(starts) <= 1 << 18 else np.concatenate([pack(signs(row).sum(0)[None, :]) for row in inside])
             for w, item in zip(*within_radius(index, prints)):

@@ -22,12 +22,13 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, lattice
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 CUT = re.compile(r"\S{1,%d}" % (lattice.MAX_UNIT - 1))
 #: Expected number of labelled documents sampled for each language.
 TRAIN_DOCS = 1000
