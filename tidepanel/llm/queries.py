@@ -12,6 +12,7 @@ from .common import table
 from .decontamination import contaminated
 from .language_id import language_id
 from .near_dups import near_duplicates
+from .repeats import remove_repeats
 from .sampled_pieces import decode, encode
 from .token_counts import token_counts
 
@@ -43,7 +44,12 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm_scores(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_language_id, op4_token_counts, op5_near_duplicates, op7_sampled_pieces, op8_class_lm)
+    f.__name__: f for f in (op1_decontamination, op3_language_id, op4_token_counts, op5_near_duplicates, op7_sampled_pieces, op8_class_lm, op9_suffix_dedup)
 }
 SQL: dict[str, str] = {}
