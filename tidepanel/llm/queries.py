@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_windows, cover_tree, fixity
 from .class_lm import class_lm_scores
-from .common import table
+from .common import Scratch, table
 from .decontamination import contaminated
 from .language_id import language_id
 from .near_dups import near_duplicates
@@ -49,7 +50,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_windows.with_odd_conversation(spark, table(spark, sf_dir, "conversations"))
+    return chat_windows.digests(chat_windows.windows(turns))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.exact_topk(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC records against a replica with planted damage: every damaged record, found from the roots."""
+    replica = Scratch(spark).save(fixity.records(table(spark, sf_dir, "pages")), "replica")
+    found = fixity.audit(spark, replica, fixity.damaged(replica))
+    return found.join(replica.drop("record"), ["file", "offset"]).select("file", "offset", "page_id", "length", "copies", "hash_a", "hash_b")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_language_id, op4_token_counts, op5_near_duplicates, op7_sampled_pieces, op8_class_lm, op9_suffix_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_warc_fixity, op3_language_id, op4_token_counts, op5_near_duplicates, op7_sampled_pieces, op6_exact_topk, op8_class_lm, op9_suffix_dedup, op10_chat_windows)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_warc_fixity": fixity.SQL, "op6_exact_topk": cover_tree.SQL, "op10_chat_windows": chat_windows.SQL}
