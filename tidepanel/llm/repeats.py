@@ -376,6 +376,29 @@ def repeated_spans(scratch: common.Scratch, docs: DataFrame) -> DataFrame:
     return scratch.save(marked.mapInArrow(_spans, "k1 long, k2 long, spans array<int>"), "spans")
 
 
+def decoded(kept: bytes) -> str:
+    """The text of kept bytes; a character that was cut in two goes."""
+    return kept.decode("utf-8", "ignore")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with the repeated strings cut out of text, and n_chars, where there is such a column, brought up to date."""
+
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = common.column(batch, "n_removed").to_pylist()
+            old, kept = common.column(batch, "text").to_pylist(), common.column(batch, "kept_bytes").to_pylist()
+            new = pa.array([decoded(k) if n else t for t, k, n in zip(old, kept, same)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if c == "text" else common.column(batch, c) for c in names], names)
+
+    names = docs.columns
+    schema = docs.schema
+    for field in schema:
+        field.nullable = True
+    out = remove_repeats(spark, docs).mapInArrow(text, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes, the bytes that stay."""
     scratch = common.Scratch(spark)
