@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, BLOCKS, RADIUS = 64, 4, 19
+BITS, BLOCKS, RADIUS = 64, 8, 19
 BLOCK_ITEMS = 10_000
 CHUNK = 1 << 21
 #: ASCII punctuation and digits' neighbours count as white space; letters are lower-cased.
@@ -76,7 +76,7 @@ class Index:
     weights: list[dict[int, int]]  # shingle hash -> number
     prints: np.ndarray
     known: np.ndarray  # sorted shingle hashes of all items
-    buckets: list[tuple[np.ndarray, np.ndarray]]  # for each block: items by block value, offsets
+    buckets: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # by item size, for each block: items by block value, offsets
 
 
 @functools.lru_cache(4)
@@ -99,13 +99,17 @@ def build_index(items: list[tuple[object, str]]) -> Index:
         weights.append(dict(zip(value.tolist(), number.tolist())))
         prints.append(pack((signs(value) * number[:, None]).sum(0)[None, :])[0])
     prints = np.array(prints, np.uint64)
-    buckets = []
-    for block in range(BLOCKS):
-        own = block_value(prints, block)
-        counts = np.bincount(own, minlength=1 << BITS // BLOCKS)
-        buckets.append((np.argsort(own, kind="stable").astype(np.int32), np.concatenate([[0], np.cumsum(counts)])))
+    sizes_ = np.array(sizes, np.int64)
+    buckets = {}
+    for size in np.unique(sizes_).tolist():
+        at = np.flatnonzero(sizes_ == size)
+        buckets[size] = []
+        for block in range(BLOCKS):
+            own = block_value(prints[at], block)
+            counts = np.bincount(own, minlength=1 << BITS // BLOCKS)
+            buckets[size].append((at[np.argsort(own, kind="stable")], np.concatenate([[0], np.cumsum(counts)])))
     known = np.unique(np.fromiter((h for w in weights for h in w), np.uint64))
-    return Index(ids, word_ids, np.array(sizes, np.int64), weights, prints, known, buckets)
+    return Index(ids, word_ids, sizes_, weights, prints, known, buckets)
 
 
 def block_value(prints: np.ndarray, block: int) -> np.ndarray:
@@ -113,18 +117,19 @@ def block_value(prints: np.ndarray, block: int) -> np.ndarray:
     return (prints >> np.uint64(block * width) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
-def within_radius(index: Index, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in prints, item) of all pairs within RADIUS bits, by the multi-index."""
+def within_radius(index: Index, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in prints, item) of all pairs with items of ``size`` words within RADIUS bits, by the multi-index."""
     at, item = [], []
     near = near_values(BITS // BLOCKS, RADIUS // BLOCKS)
-    for block, (items, offsets) in enumerate(index.buckets):
+    for block, (items, offsets) in enumerate(index.buckets[size]):
         value = (block_value(prints, block)[:, None] ^ near[None, :]).ravel()
         count = offsets[value + 1] - offsets[value]
-        place = np.repeat(np.repeat(np.arange(len(prints)), len(near)), count)
-        within = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
-        at.append(place)
+        some = np.flatnonzero(count)
+        value, count = value[some], count[some]
+        within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at.append(np.repeat(some // len(near), count))
         item.append(items[np.repeat(offsets[value], count) + within])
-    at, item = np.concatenate(at), np.concatenate(item).astype(np.int64)
+    at, item = np.concatenate(at), np.concatenate(item)
     close = np.bitwise_count(prints[at] ^ index.prints[item]) <= RADIUS
     pair = np.unique(at[close] * len(index.prints) + item[close])
     return pair // max(1, len(index.prints)), pair % max(1, len(index.prints))
@@ -137,27 +142,36 @@ def similarity(window: np.ndarray, weights: dict[int, int]) -> float:
     return both / (len(window) + sum(weights.values()) - both)
 
 
+def known_at(index: Index, ids: np.ndarray, k: int, places: np.ndarray) -> np.ndarray:
+    """Those of the places at which k words start that are a shingle of the benchmark."""
+    total = np.full(len(places), k, np.uint64)
+    for j in range(k):
+        total = common.mix64(total * np.uint64(0x9E3779B97F4A7C15) + ids[places + j].astype(np.uint64))
+    at = np.minimum(np.searchsorted(index.known, total), len(index.known) - 1)
+    return places[index.known[at] == total]
+
+
 def find(index: Index, ids: np.ndarray, theta: float) -> list[tuple[int, int, int, float, int]]:
     """(item, start, words, similarity, bits apart) of the best window of each item in one document; ids: -1 for other words."""
     best: dict[int, tuple] = {}
+    hashed: dict[int, tuple] = {}
     for size in np.unique(index.sizes):
         size = int(size)
         k = min(SHINGLE, size)
         if len(ids) < size:
             continue
-        hashes = shingles(ids, k)
-        place = np.minimum(np.searchsorted(index.known, hashes), len(index.known) - 1)
-        hit = (index.known[place] == hashes) & (ids[: len(hashes)] >= 0)
-        total = np.concatenate([[0], np.cumsum(hit)])
+        if k not in hashed:
+            values = shingles(ids, k)
+            place = np.minimum(np.searchsorted(index.known, values), len(index.known) - 1)
+            hashed[k] = values, np.concatenate([[0], np.cumsum((index.known[place] == values) & (ids[: len(values)] >= 0))])
+        hashes, total = hashed[k]
         span = size - k + 1  # shingles of a window
         enough = np.flatnonzero(total[span:] - total[:-span] >= theta * span)
         for a in range(0, len(enough), 256):
             starts = enough[a : a + 256]
             inside = hashes[starts[:, None] + np.arange(span)]
             prints = pack(signs(inside.ravel()).reshape(len(starts), span, BITS).sum(1)) if span * len(starts) <= 1 << 18 else np.concatenate([pack(signs(row).sum(0)[None, :]) for row in inside])
-            for w, item in zip(*within_radius(index, prints)):
-                if index.sizes[item] != size:
-                    continue
+            for w, item in zip(*within_radius(index, prints, size)):
                 value = similarity(inside[w], index.weights[item])
                 if value >= theta and (item not in best or value > best[item][3]):
                     best[item] = (int(item), int(starts[w]), size, value, int(np.bitwise_count(prints[w] ^ index.prints[item])))
@@ -167,7 +181,7 @@ def find(index: Index, ids: np.ndarray, theta: float) -> list[tuple[int, int, in
 def _scan(shared, theta: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        least = int(min(np.minimum(index.sizes, SHINGLE))) if len(index.sizes) else SHINGLE
+        lengths = np.unique(np.minimum(index.sizes, SHINGLE)).tolist()
         for batch in batches:
             text, doc_id = common.column(batch, "text"), common.column(batch, "doc_id")
             rows, found = [], []
@@ -176,13 +190,17 @@ def _scan(shared, theta: float):
                 sizes = np.fromiter(map(len, docs), np.int64, len(docs))
                 get = index.word_ids.get
                 flat = np.fromiter((get(w, -1) for ws in docs for w in ws), np.int64, int(sizes.sum()))
-                # documents with ``least`` known words in a row may hold a window
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
-                run = (flat >= 0).astype(np.int8)
-                for j in range(1, least):
-                    run[:-j] &= flat[j:] >= 0
-                starts = np.flatnonzero(run)
-                for i in np.unique(np.searchsorted(bounds, starts, side="right") - 1):
+                ahead = np.zeros(len(flat) + 1, np.int64)  # known words in a row from each place
+                ahead[:-1] = flat >= 0
+                places = np.flatnonzero(ahead)
+                hits = []
+                for k in range(1, SHINGLE + 1):
+                    if k in lengths:
+                        hits.append(known_at(index, flat, k, places))
+                    places = places[(ahead[np.minimum(places + k, len(flat))] > 0)]
+                # a document without a shingle of the benchmark holds no window; shingles across documents only cost a look
+                for i in np.unique(np.searchsorted(bounds, np.concatenate(hits), side="right") - 1):
                     for hit in find(index, flat[bounds[i] : bounds[i + 1]], theta):
                         rows.append(a + int(i))
                         found.append((index.item_ids[hit[0]], *hit[1:]))
