@@ -11,8 +11,10 @@ so only contexts of one anchor have to be compared, and the contexts of a text t
    Larsson-Sadakane refinement; neighbours with a common prefix of SPAN bytes, by Kasai's
    method, are repeats.
 3. An anchor with more than HOT contexts is spread over many shards. Their windows are merged
-   by digests: first digests of what CORE neighbouring windows share, then, for cores that
-   occur in two contexts or more, digests of the windows, found by binary search in the sorted cores of a context.
+   by digests: of what a block of CORE neighbouring windows shares; then, for blocks whose core
+   occurs in two contexts or more (found by binary search in the context's sorted list of such
+   cores), of all that the block covers; and for blocks of which only the core occurs twice, of
+   each window.
 
 Membership bits are fixed-size bit sets (one hash) that spare the shuffle most of the rows
 that a following join drops anyway; what they let through in vain the join still drops.
@@ -271,28 +273,53 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([common.column(batch, "anchor"), common.column(batch, "ctx"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(digest))], ["anchor", "ctx", "cores"])
 
 
+def _listed(batch: pa.RecordBatch, own: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Places of the blocks whose core is in their context's column ``repeated``."""
+    cuts = np.searchsorted(own, np.arange(batch.num_rows + 1))
+    found = []
+    for i, listed in enumerate(common.column(batch, "repeated")):
+        listed, mine = np.sort(listed.as_py()), digest[cuts[i] : cuts[i + 1]]
+        at = np.minimum(np.searchsorted(listed, mine), len(listed) - 1)
+        found.append(np.flatnonzero(listed[at] == mine) + cuts[i])
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _bounds(own: np.ndarray, block: np.ndarray, windows: np.ndarray, anchor_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each block in its context."""
+    last = anchor_at[own] - CORE * block
+    return np.maximum(last - CORE + 1, 0), np.minimum(last, windows[own] - 1)
+
+
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the blocks whose cores are repeated, digests of all that their windows cover."""
+    for batch in _slices(batches):
+        rolling, first, anchor, windows, anchor_at = _blocks(batch)
+        own, block, digest = _core_digests(batch)
+        at = _listed(batch, own, digest)
+        own, block, digest = own[at], block[at], digest[at]
+        low, high = _bounds(own, block, windows, anchor_at)
+        value = np.zeros(len(own), np.int64)
+        for size in np.unique(high - low):  # CORE sizes at most
+            some = high - low == size
+            value[some] = _digest(rolling.at(first[own[some]] + low[some], SPAN + int(size)), (anchor_at[own[some]] - low[some]) * CORE + size)
+        take = pa.array(own)
+        yield pa.RecordBatch.from_arrays([common.column(batch, "anchor").take(take), common.column(batch, "ctx").take(take), pa.array(digest), pa.array(value), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32) + 1)], ["anchor", "ctx", "core", "whole", "low", "high"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of the windows in those blocks whose cores are in the column ``repeated``."""
     for batch in _slices(batches):
         rolling, first, anchor, windows, anchor_at = _blocks(batch)
         own, block, digest = _core_digests(batch)
-        wanted = common.column(batch, "repeated")
-        lists = [np.sort(x.as_py()) for x in wanted]
-        cuts = np.searchsorted(own, np.arange(batch.num_rows + 1))
-        starts, counts = [], []
-        for i, listed in enumerate(lists):
-            mine = slice(cuts[i], cuts[i + 1])
-            at = np.minimum(np.searchsorted(listed, digest[mine]), len(listed) - 1)
-            hit = block[mine][listed[at] == digest[mine]]
-            s = (anchor_at[i] - (hit[:, None] * CORE + np.arange(CORE)[None, :])).ravel()
-            s = np.sort(s[(s >= 0) & (s < windows[i])])
-            starts.append(s)
-            counts.append(len(s))
-        own = np.repeat(np.arange(batch.num_rows), counts)
-        start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        at = _listed(batch, own, digest)
+        own, block = own[at], block[at]
+        low, high = _bounds(own, block, windows, anchor_at)
+        count = high - low + 1
+        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - low, count)
+        own = np.repeat(own, count)
         value = _digest(rolling.at(first[own] + start, SPAN), anchor_at[own] - start)
-        bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([common.column(batch, "anchor"), common.column(batch, "ctx"), pa.ListArray.from_arrays(bounds, pa.array(start, pa.int16())), pa.ListArray.from_arrays(bounds, pa.array(value))], ["anchor", "ctx", "start", "digest"])
+        cuts = pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays([common.column(batch, "anchor"), common.column(batch, "ctx"), pa.ListArray.from_arrays(cuts, pa.array(start, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(value))], ["anchor", "ctx", "start", "digest"])
 
 
 def _hot_marks(scratch: common.Scratch, hot: DataFrame) -> DataFrame:
@@ -301,14 +328,19 @@ def _hot_marks(scratch: common.Scratch, hot: DataFrame) -> DataFrame:
     each = cores.select("anchor", "ctx", F.explode("cores").alias("core"))
     twice = each.groupBy("anchor", "core").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "core")
     asked = each.join(twice, ["anchor", "core"], "left_semi").groupBy("anchor", "ctx").agg(F.collect_list("core").alias("repeated"))  # a context has few blocks
-    found = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(_windows, "anchor long, ctx long, start array<short>, digest array<long>"), "windows")
-    each = found.select("anchor", "ctx", F.explode(F.arrays_zip("start", "digest")).alias("w")).select("anchor", "ctx", F.col("w.start").alias("start"), F.col("w.digest").alias("digest"))
+    blocks = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(_wholes, "anchor long, ctx long, core long, whole long, low int, high int"), "blocks")
+    twice = blocks.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("ctx", "core")).alias("one")).filter("n > 1")
+    full = blocks.join(twice, ["anchor", "whole"], "left_semi").select("anchor", "ctx", "low", "high")
+    rest = blocks.join(twice, ["anchor", "whole"], "left_anti").select("anchor", "ctx", "core")
+    # one block of each repeated whole stands for all of them, as windows of other blocks may equal its windows
+    asked = rest.unionByName(twice.select("anchor", "one.ctx", "one.core")).groupBy("anchor", "ctx").agg(F.collect_set("core").alias("repeated"))
+    found = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(_windows, "anchor long, ctx long, start array<int>, digest array<long>"), "windows")
+    each = found.select("anchor", "ctx", F.explode(F.arrays_zip("start", "digest")).alias("w")).select("anchor", "ctx", F.col("w.start").alias("low"), F.col("w.digest").alias("digest"))
     twice = each.groupBy("anchor", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "digest")
-    starts = each.join(twice, ["anchor", "digest"], "left_semi").groupBy("anchor", "ctx").agg(F.collect_list("start").alias("starts"))  # SPAN at most
-    runs = F.flatten(F.transform("starts", lambda s: F.array(s.cast("int"), s.cast("int") + 1)))
-    single = starts.select("anchor", "ctx", runs.alias("runs"))
+    single = each.join(twice, ["anchor", "digest"], "left_semi").select("anchor", "ctx", "low", (F.col("low") + 1).alias("high"))
+    runs = full.unionByName(single).groupBy("anchor", "ctx").agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("runs"))  # SPAN at most
     copied = hot.filter("copies > 1").select("anchor", "ctx", F.array(F.lit(0), F.col("windows").cast("int")).alias("runs"))
-    return single.join(copied.select("anchor", "ctx"), ["anchor", "ctx"], "left_anti").unionByName(copied)
+    return runs.join(copied.select("anchor", "ctx"), ["anchor", "ctx"], "left_anti").unionByName(copied)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
