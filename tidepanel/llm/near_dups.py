@@ -9,9 +9,11 @@ similarity with the concentration of T independent samples. Bands of ROWS bins m
 
 Pairs of a bucket are not listed. Each bucket's most central node is compared on full sets with
 the others (a star); links are contracted into components, and a bucket whose nodes have come
-to one component is finished. A second star has several centres a bucket. Only pairs of distinct
-components that still share a bucket after both are then compared in full, within size bounds,
-so no link is given up.
+to one component is finished. Further stars take a few nodes of each component. What then still
+shares a bucket without being of one component is compared pair by pair, but only pairs that
+pass an exact bound become rows: every node carries the parities of its elements by WIDTH hash
+values; two sets differ in at least as many elements as parities, which bounds their
+intersection from above. So no link is given up.
 
 Cases: no words or null text give an empty set, linked with nothing. Rows with null doc_id get
 a component only from others' ids (null when alone) and kept = null-safe equality. Rows that
@@ -38,8 +40,11 @@ MEMORY = 500_000
 #: Odd multipliers of a shingle's five words.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Centres of a bucket's second star.
-CENTRES = 8
+#: Rounds of stars before the rest is compared pair by pair, and nodes a component sends to each after the first.
+STARS, PICKS = 3, 4
+#: Bits of parities of a set; a multiple of 64.
+WIDTH = 1024
+PARITIES = [f"p{i}" for i in range(WIDTH // 64)]
 
 
 def shingle_hashes(texts: list[bytes], memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +105,20 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return common.mix64(keys + np.arange(1, keys.shape[1] + 1, dtype=np.uint64))
 
 
+def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set, whether an odd number of its elements has each of WIDTH hash values, as int64 words."""
+    n = len(offsets) - 1
+    out = np.zeros((n, len(PARITIES)), np.int64)
+    place = (common.mix64(values + np.uint64(0x5851F42D4C957F2D)) % np.uint64(WIDTH)).astype(np.int64)
+    own = np.repeat(np.arange(n), np.diff(offsets))
+    for a in range(0, n, 4096):
+        b = min(a + 4096, n)
+        some = slice(int(offsets[a]), int(offsets[b]))
+        odd = np.bincount((own[some] - a) * WIDTH + place[some], minlength=(b - a) * WIDTH).reshape(b - a, WIDTH) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+    return out
+
+
 def _texts(array: pa.Array, a: int, b: int) -> list[bytes]:
     return [t or b"" for t in array.slice(a, b - a).cast(pa.binary()).to_pylist()]
 
@@ -124,7 +143,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, offsets = shingle_hashes(_texts(text, a, b), memo)
             sets = [values[x:y].tobytes() for x, y in zip(offsets, offsets[1:])]
             sids = [xxhash.xxh3_128_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([nid.slice(a, b - a), pa.array(sids, pa.binary()), pa.array(sets, pa.binary())], ["nid", "found", "elements"])
+            words = parities(values, offsets)
+            yield pa.RecordBatch.from_arrays([nid.slice(a, b - a), pa.array(sids, pa.binary()), pa.array(sets, pa.binary()), *(pa.array(words[:, i]) for i in range(len(PARITIES)))], ["nid", "found", "elements", *PARITIES])
 
 
 def _verifier(threshold: int):
@@ -171,42 +191,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85) -
     # full sets of the nodes that share a bucket
     wanted = nodes.select("nid", "doc_id", "sid").join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "sid", "doc_id")
     sets = scratch.save(
-        texts.join(wanted, "doc_id").select("nid", "sid", "text").mapInArrow(_set_rows_for, "nid long, elements binary").dropDuplicates(["nid"]),
+        texts.join(wanted, "doc_id").select("nid", "sid", "text").mapInArrow(_set_rows_for, "nid long, elements binary, " + ", ".join(f"{p} long" for p in PARITIES)).dropDuplicates(["nid"]),
         "sets",
     )
-    labels, links, tested = None, None, None
-    for turn in range(3):
-        left = members
-        if labels is not None:
-            left = left.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        else:
-            left = left.withColumn("comp", F.col("nid"))
+    labels, tested = None, None
+    for turn in range(STARS + 1):
+        left = members.withColumn("comp", F.col("nid")) if labels is None else members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
         open_ = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
         left = left.join(open_, "bucket", "left_semi")
-        if turn == 2:
-            left = scratch.save(left, "rest")
+        if turn:
+            left = scratch.save(left, f"open-{turn}")
         me = F.struct("n", "nid", "comp")
-        if turn == 0:
+        if turn == 0:  # every node against the most central node of each of its buckets
             centres = left.groupBy("bucket").agg(F.max(F.struct("centrality", "n", "nid", "comp")).alias("c"))
-        elif turn == 1:
-            draw = F.xxhash64("nid", "bucket")
-            centres = left.groupBy("bucket", F.pmod(draw, F.lit(CENTRES)).alias("k")).agg(F.max(F.struct("n", "nid", "comp")).alias("c")).drop("k")
-        else:
-            centres = left.select("bucket", me.alias("c"))
+            others = left
+        elif turn < STARS:  # of every component PICKS nodes against a node drawn from a bucket
+            draw = F.xxhash64("nid", "bucket", F.lit(turn))
+            centres = left.groupBy("bucket").agg(F.max(F.struct(draw.alias("draw"), "n", "nid", "comp")).alias("c"))
+            pick = F.struct(F.xxhash64("bucket", "nid", F.lit(-turn)).alias("draw"), "bucket", "n", "nid")
+            others = left.groupBy("comp", F.pmod(F.xxhash64("bucket", F.lit(turn)), F.lit(PICKS)).alias("k")).agg(F.min(pick).alias("p")).select("comp", "p.bucket", "p.n", "p.nid")
+        else:  # what still shares a bucket without being of one component
+            others = left.join(sets.select("nid", *PARITIES), "nid")
+            centres = others.select("bucket", F.struct("n", "nid", "comp", *PARITIES).alias("c"))
         near = (F.col("c.comp") != F.col("comp")) & (F.col("c.n") * 100 >= F.col("n") * threshold) & (F.col("n") * 100 >= F.col("c.n") * threshold)
-        pairs = left.join(centres, "bucket").filter(near if turn < 2 else near & (F.col("c.nid") < F.col("nid")))
+        if turn == STARS:
+            both = F.col("n") + F.col("c.n")
+            apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"c.{p}"))) for p in PARITIES), F.lit(0))
+            near = near & (F.col("c.nid") < F.col("nid")) & ((both - apart) * (100 + threshold) >= both * (2 * threshold))
+        pairs = others.join(centres, "bucket").filter(near)
         pairs = pairs.select(F.least("c.nid", "nid").alias("a"), F.greatest("c.nid", "nid").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         with_sets = pairs.join(sets.select(F.col("nid").alias("a"), F.col("elements").alias("set_a")), "a").join(sets.select(F.col("nid").alias("b"), F.col("elements").alias("set_b")), "b")
         seen = scratch.save(with_sets.mapInArrow(_verifier(threshold), "a long, b long, linked boolean"), f"tested-{turn}")
         tested = seen if tested is None else tested.unionByName(seen)
-        fresh = seen.filter("linked")
-        if not fresh.isEmpty():
-            links = tested.filter("linked")
-            labels = components(scratch, links, f"turn-{turn}")
-        if turn == 0 and seen.isEmpty():
-            break
+        if not seen.filter("linked").isEmpty():
+            labels = components(scratch, tested.filter("linked"), f"turn-{turn}")
     if labels is None:
         owner = nodes.select("sid", F.col("doc_id").alias("component_id"))
     else:
@@ -228,7 +248,7 @@ def _set_rows_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             found = common.column(rows, "found").to_pylist()
             own = pa.array([f == s for f, s in zip(found, sid[at : at + len(found)])], pa.bool_())
             at += len(found)
-            yield rows.select(["nid", "elements"]).filter(own)
+            yield rows.select(["nid", "elements", *PARITIES]).filter(own)
 
     for batch in batches:
         yield from one(batch)
