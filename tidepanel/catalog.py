@@ -1,11 +1,482 @@
-"""All queries of the library but those of the llm subpackage, and their SQL."""
+"""All queries of the library but those of the llm subpackage, each with DuckDB SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .operators import asof, calendars, scores, windows
+from .sources.tables import PANEL_SQL, VINTAGES_SQL, daily_panel, read, vintages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "daily_panel"
+FLAGSHIP = "persistence_scores_by_day_type"
+TAU = 5
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(c: str | Column, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def panel_sql(body: str, more: str = "") -> str:
+    return f"WITH {PANEL_SQL}{', ' + more if more else ''} {body}"
+
+
+# --- sources, builds, records
+
+
+@query(panel_sql("SELECT * FROM panel"))
+def panel_build(spark, d):
+    return daily_panel(spark, d)
+
+
+@query(panel_sql("SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(*) FILTER (rate IS NULL) AS missing_rate, CAST(date_diff('day', min(date), max(date)) + 1 - count(*) AS BIGINT) AS gap_days FROM panel"))
+def panel_audit(spark, d):
+    p = daily_panel(spark, d)
+    gap = F.datediff(F.max("date"), F.min("date")) + 1 - F.count("*")
+    return p.agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if(F.col("rate").isNull()).alias("missing_rate"), gap.alias("gap_days"))
+
+
+@query(panel_sql("SELECT CAST(year(date) AS INTEGER) AS year, sha256(string_agg(CAST(date AS VARCHAR) || '|' || CAST(n AS VARCHAR) || '|' || CAST(bp AS VARCHAR), ';' ORDER BY date)) AS digest FROM panel GROUP BY 1"))
+def panel_digest(spark, d):
+    line = F.concat_ws("|", "date", "n", "bp")
+    p = daily_panel(spark, d).groupBy(F.year("date").alias("year")).agg(F.sort_array(F.collect_list(F.struct("date", line.alias("line")))).alias("lines"))
+    return p.select("year", F.sha2(F.array_join("lines.line", ";"), 256).alias("digest"))
+
+
+@query("SELECT user_id, event_type, max_by(value, event_id) AS value, max(event_id) AS event_id, count(*) AS versions FROM events GROUP BY ALL")
+def latest_record(spark, d):
+    e = read(spark, d, "events").groupBy("user_id", "event_type")
+    return e.agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"), F.count("*").alias("versions"))
+
+
+@query(
+    """WITH days AS (SELECT CAST(unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM events),
+    got AS (SELECT ts::DATE AS day, count(*) AS n, max(value) AS top FROM events WHERE event_type = 'signup' GROUP BY 1)
+    SELECT day, CASE WHEN n IS NULL THEN 'missed' ELSE 'captured' END AS status, n, top, CASE WHEN n IS NULL THEN 'no record' END AS reason FROM days LEFT JOIN got USING (day)"""
+)
+def capture_status(spark, d):
+    e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
+    days = e.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    got = e.filter("event_type = 'signup'").groupBy("day").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    none = F.col("n").isNull()
+    return days.join(got, "day", "left").select("day", F.when(none, "missed").otherwise("captured").alias("status"), "n", "top", F.when(none, "no record").alias("reason"))
+
+
+@query(panel_sql("SELECT date, series, value FROM (UNPIVOT (SELECT date, rate, p25, p75 FROM panel) ON rate, p25, p75 INTO NAME series VALUE value)"))
+def panel_unpivot(spark, d):
+    return daily_panel(spark, d).unpivot(["date"], ["rate", "p25", "p75"], "series", "value")
+
+
+# --- as-of
+
+
+@query(f"WITH {VINTAGES_SQL} SELECT series, ref_date, arg_min(struct_pack(a := available_at, v := vintage, x := value), struct_pack(a := available_at, v := vintage)).a AS available_at, arg_min(vintage, struct_pack(a := available_at, v := vintage)) AS vintage, arg_min(value, struct_pack(a := available_at, v := vintage)) AS value FROM vintages GROUP BY 1, 2")
+def first_published(spark, d):
+    return asof.first_published(vintages(spark, d))
+
+
+@query(f"WITH {VINTAGES_SQL} SELECT series, ref_date, max(available_at) AS available_at, arg_max(vintage, struct_pack(a := available_at, v := vintage)) AS vintage, arg_max(value, struct_pack(a := available_at, v := vintage)) AS value FROM vintages WHERE available_at <= TIMESTAMP '1998-06-30' GROUP BY 1, 2")
+def latest_vintage_at_cutoff(spark, d):
+    return asof.latest_at(vintages(spark, d), "1998-06-30")
+
+
+@query(f"WITH {VINTAGES_SQL}, f AS (SELECT series, ref_date, arg_min(value, struct_pack(a := available_at, v := vintage)) AS value FROM vintages GROUP BY 1, 2) SELECT ref_date, max(value) FILTER (series = 'A') AS \"A\", max(value) FILTER (series = 'N') AS \"N\", max(value) FILTER (series = 'R') AS \"R\" FROM f GROUP BY 1")
+def panel_pivot(spark, d):
+    return asof.first_published(vintages(spark, d)).groupBy("ref_date").pivot("series", ["A", "N", "R"]).agg(F.max("value"))
+
+
+ANCHOR_SQL = """
+dl AS (SELECT pos, date, lag(date, 1) OVER (ORDER BY pos)::TIMESTAMP + INTERVAL 18 HOUR AS deadline FROM panel),
+av AS (SELECT pos AS anchor, spread AS anchor_spread, lead(date, 1) OVER (ORDER BY pos)::TIMESTAMP + INTERVAL 9 HOUR AS available_at FROM panel),
+anchors AS (SELECT dl.pos, dl.date, dl.deadline, av.anchor, av.anchor_spread FROM dl ASOF LEFT JOIN av ON dl.deadline >= av.available_at WHERE dl.deadline IS NOT NULL)
+"""
+
+
+@query(panel_sql("SELECT * FROM anchors", ANCHOR_SQL))
+def asof_anchor(spark, d):
+    return asof.anchors(daily_panel(spark, d))
+
+
+@query(panel_sql("SELECT pos - anchor AS rows_before, count(*) AS n, min(date_diff('hour', (date - 0)::TIMESTAMP, deadline)) AS least_hours FROM anchors GROUP BY 1", ANCHOR_SQL))
+def information_summary(spark, d):
+    a = asof.anchors(daily_panel(spark, d))
+    hours = F.timestamp_diff("HOUR", F.col("date").cast("timestamp"), "deadline")
+    return a.groupBy((F.col("pos") - F.col("anchor")).alias("rows_before")).agg(F.count("*").alias("n"), F.min(hours).alias("least_hours"))
+
+
+@query(panel_sql("SELECT count(*) FILTER (anchor >= pos) AS look_ahead, count(*) FILTER (anchor IS NULL) AS without_read, count(*) AS n FROM anchors", ANCHOR_SQL))
+def look_ahead_guard(spark, d):
+    a = asof.anchors(daily_panel(spark, d))
+    return a.agg(F.count_if(F.col("anchor") >= F.col("pos")).alias("look_ahead"), F.count_if(F.col("anchor").isNull()).alias("without_read"), F.count("*").alias("n"))
+
+
+@query(panel_sql("SELECT pos, CAST((row_number() OVER (ORDER BY pos) - 1) // 21 AS BIGINT) AS block, first_value(pos) OVER (PARTITION BY (pos - 251) // 21 ORDER BY pos) AS block_start FROM anchors WHERE anchor + 1 >= 250 AND pos >= 251", ANCHOR_SQL))
+def refit_blocks(spark, d):
+    a = asof.anchors(daily_panel(spark, d)).filter("anchor + 1 >= 250 and pos >= 251")
+    b = a.withColumn("block", F.floor((F.row_number().over(windows.by_pos()) - 1) / 21))
+    return b.select("pos", "block", F.min("pos").over(Window.partitionBy("block")).alias("block_start"))
+
+
+EVENT_ASOF = "SELECT p.event_id, p.user_id, p.ts, v.value AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL) v ON p.user_id = v.user_id AND p.ts >= v.ts"
+
+
+def _purchases(spark, d, tolerance=None):
+    e = read(spark, d, "events")
+    views = e.filter("event_type = 'view'").groupBy("user_id", F.col("ts").alias("at")).agg(F.max("value").alias("seen"))
+    return asof.asof_join(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "at", ["seen"], tolerance)
+
+
+@query(EVENT_ASOF)
+def asof_by_key(spark, d):
+    return _purchases(spark, d)
+
+
+@query(f"SELECT event_id, user_id, ts, CASE WHEN seen_at >= ts - INTERVAL 6 HOUR THEN seen END AS seen FROM ({EVENT_ASOF.replace('v.value AS seen', 'v.value AS seen, v.ts AS seen_at')})")
+def asof_with_tolerance(spark, d):
+    return _purchases(spark, d, "6 HOURS")
+
+
+@query("SELECT o_orderpriority AS kind, o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= TIMESTAMP '1999-03-01' QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def policy_in_force(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("kind"), "o_orderkey", "o_orderdate")
+    at = F.lit("1999-03-01").cast("timestamp")
+    return asof.in_force(o, ["kind"], "o_orderdate", "o_orderkey", at, F.lit(1 << 60))
+
+
+TIERS = [("development", "1995-01-01", "1998-12-31"), ("holdout", "1999-01-01", "2000-06-30"), ("locked", "2000-07-01", "2099-12-31")]
+TIERS_SQL = "tiers(tier, first_day, last_day) AS (VALUES " + ", ".join(f"('{t}', DATE '{a}', DATE '{b}')" for t, a, b in TIERS) + ")"
+
+
+@query(panel_sql("SELECT tier, count(*) AS n_days, round(avg(spread), 6) AS mean_spread FROM panel JOIN tiers ON date BETWEEN first_day AND last_day GROUP BY 1", TIERS_SQL))
+def tier_ranges(spark, d):
+    tiers = F.broadcast(spark.createDataFrame(TIERS, "tier string, first_day string, last_day string"))  # three rows
+    p = daily_panel(spark, d)
+    joined = p.join(tiers, p.date.between(F.col("first_day").cast("date"), F.col("last_day").cast("date")))
+    return joined.groupBy("tier").agg(F.count("*").alias("n_days"), r(F.avg("spread")).alias("mean_spread"))
+
+
+# --- calendars, projections
+
+CAL_SQL = """
+c0 AS (SELECT *, date_trunc('month', date)::DATE AS month, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS bday, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date DESC) AS from_end FROM panel),
+cal AS (SELECT *, CASE WHEN bday = 1 OR from_end = 1 THEN CASE WHEN CASE WHEN from_end = 1 THEN month(date) ELSE month(date - INTERVAL 1 MONTH) END = 12 THEN 'year_end'
+  WHEN CASE WHEN from_end = 1 THEN month(date) ELSE month(date - INTERVAL 1 MONTH) END IN (3, 6, 9) THEN 'quarter_end_turn' ELSE 'turn' END
+  WHEN month(date) IN (1, 4, 6, 9, 12) AND day(date) BETWEEN 15 AND 17 THEN 'tax_date' ELSE 'ordinary' END AS day_type FROM c0)
+"""
+
+
+@query(panel_sql(f"SELECT date, CAST(bday AS INTEGER) AS bday, day_type, CAST(((date_diff('day', DATE '{calendars.MAINTENANCE}', date) % 14) + 14) % 14 AS INTEGER) AS maintenance_day, CAST(least(4, (day(date) - 1) // 7) AS INTEGER) AS bucket, (date - CAST((dayofweek(date) + 4) % 7 AS INTEGER))::DATE AS wednesday, from_end = 2 AS penultimate FROM cal", CAL_SQL))
+def day_types(spark, d):
+    return calendars.calendar_columns(daily_panel(spark, d)).select("date", "bday", "day_type", "maintenance_day", "bucket", "wednesday", "penultimate")
+
+
+@query(panel_sql("SELECT CAST(month(date) AS INTEGER) AS month, CAST(sum(c) AS BIGINT) AS days FROM (SELECT date, CAST(date_diff('day', date, least(coalesce(lead(date) OVER (ORDER BY date), date + 1), (last_day(date) + 1)::DATE)) AS BIGINT) AS c FROM panel) GROUP BY 1"))
+def carried_days(spark, d):
+    return calendars.carried_days(daily_panel(spark, d)).groupBy(F.month("date").alias("month")).agg(F.sum("carried_days").alias("days"))
+
+
+SCARCITY_SQL = """
+s AS (SELECT date, CASE WHEN volume > 0 THEN n / volume END AS ratio, CASE WHEN n > 3 THEN volume END AS buffer FROM panel),
+st AS (SELECT date, ratio, CASE WHEN ratio IS NULL OR buffer IS NULL THEN NULL ELSE CASE WHEN ratio >= 0.5 THEN 0 WHEN ratio >= 0.4 THEN 1 ELSE 2 END + CASE WHEN buffer < 12 THEN 1 ELSE 0 END END AS state FROM s)
+"""
+
+
+def _states(spark, d):
+    p = daily_panel(spark, d).withColumn("ratio", F.when(F.col("volume") > 0, F.col("n") / F.col("volume"))).withColumn("buffer", F.when(F.col("n") > 3, F.col("volume")))
+    level = F.when(F.col("ratio") >= 0.5, 0).when(F.col("ratio") >= 0.4, 1).otherwise(2)
+    known = F.col("ratio").isNotNull() & F.col("buffer").isNotNull()
+    return p.withColumn("state", F.when(known, level + F.when(F.col("buffer") < 12, 1).otherwise(0)))
+
+
+@query(panel_sql("SELECT date, round(ratio, 6) AS ratio, CAST(state AS INTEGER) AS state, round(greatest(0, 100 * (0.45 - ratio)), 6) AS hinge, CASE WHEN state IS NULL THEN 'unknown' WHEN state < 2 THEN 'low' ELSE 'high' END AS state_group FROM st", SCARCITY_SQL))
+def scarcity_state(spark, d):
+    group = F.when(F.col("state").isNull(), "unknown").when(F.col("state") < 2, "low").otherwise("high")
+    return _states(spark, d).select("date", r("ratio").alias("ratio"), "state", r(F.greatest(F.lit(0.0), 100 * (0.45 - F.col("ratio")))).alias("hinge"), group.alias("state_group"))
+
+
+@query(panel_sql("SELECT CAST(state AS INTEGER) AS state, CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM st GROUP BY GROUPING SETS ((state), (state, year(date)))", SCARCITY_SQL))
+def state_table(spark, d):
+    s = _states(spark, d).withColumn("year", F.year("date"))
+    return s.groupingSets([["state"], ["state", "year"]], "state", "year").agg(F.count("*").alias("n"))
+
+
+# --- windows
+
+
+@query(panel_sql("SELECT pos, round(spread - lag(spread, 5) OVER (ORDER BY pos), 8) AS change_5, lag(bp, 1) OVER (ORDER BY pos) AS bp_before FROM panel"))
+def lag_change(spark, d):
+    return daily_panel(spark, d).select("pos", r(windows.change("spread", 5), 8).alias("change_5"), F.lag("bp").over(windows.by_pos()).alias("bp_before"))
+
+
+@query(panel_sql("SELECT pos, round(CASE WHEN count(dd) OVER w = 20 THEN stddev_samp(dd) OVER w END, 6) AS vol FROM (SELECT pos, spread - lag(spread) OVER (ORDER BY pos) AS dd FROM panel) WINDOW w AS (ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))
+def realised_vol(spark, d):
+    return windows.realised_vol(daily_panel(spark, d), "spread", 20).select("pos", r("vol").alias("vol"))
+
+
+@query(panel_sql("SELECT pos, round(CASE WHEN count(dd) OVER w = 20 THEN greatest(0.5, 1.4826 * quantile_cont(dd, 0.5) OVER w) END, 6) AS scale FROM (SELECT pos, abs(spread - lag(spread) OVER (ORDER BY pos)) AS dd FROM panel) WINDOW w AS (ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))
+def mad_scale(spark, d):
+    return windows.mad_scale(daily_panel(spark, d), "spread").select("pos", r("scale").alias("scale"))
+
+
+@query(
+    panel_sql(
+        "SELECT b.pos, round(CASE WHEN count(a.dd) = 40 THEN sqrt(pi() / 2) * sum(pow(0.5, (b.pos - a.pos) / 10.0) * abs(a.dd) * CASE WHEN a.dd > 0 THEN 1.5 ELSE 0.5 END) / (SELECT sum(pow(0.5, i / 10.0)) FROM range(40) t(i)) END, 6) AS scale FROM dd b LEFT JOIN dd a ON a.pos BETWEEN b.pos - 39 AND b.pos GROUP BY b.pos",
+        "dd AS (SELECT pos, spread - lag(spread) OVER (ORDER BY pos) AS dd FROM panel)",
+    )
+)
+def ewma_scale(spark, d):
+    return windows.ewma_scale(daily_panel(spark, d), "spread").select("pos", r("scale").alias("scale"))
+
+
+@query(panel_sql("SELECT pos, round(CASE WHEN c = 60 THEN spread - lo END, 6) AS above_low, round(CASE WHEN c = 60 THEN hi - spread END, 6) AS below_high, round(CASE WHEN c = 60 AND sd > 0 THEN (spread - m) / sd END, 6) AS z FROM (SELECT pos, spread, count(spread) OVER w AS c, min(spread) OVER w AS lo, max(spread) OVER w AS hi, avg(spread) OVER w AS m, stddev_samp(spread) OVER w AS sd FROM panel WINDOW w AS (ORDER BY pos ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"))
+def range_stats(spark, d):
+    return windows.range_stats(daily_panel(spark, d), "spread", 60).select("pos", *(r(c).alias(c) for c in ("above_low", "below_high", "z")))
+
+
+@query(panel_sql("SELECT pos, CASE WHEN x IS NOT NULL THEN x WHEN lag(x) OVER (ORDER BY pos) IS NOT NULL AND lead(x) OVER (ORDER BY pos) IS NOT NULL THEN lag(x) OVER (ORDER BY pos) END AS carried FROM (SELECT pos, CASE WHEN n > 4 THEN spread END AS x FROM panel)"))
+def carry_one_row_holes(spark, d):
+    p = daily_panel(spark, d).select("pos", F.when(F.col("n") > 4, F.col("spread")).alias("x"))
+    return windows.carry_one_row_holes(p, "x").select("pos", "carried")
+
+
+EVENT = f"(bp > {TAU})"
+
+
+@query(panel_sql(f"SELECT pos, pos - max(CASE WHEN {EVENT} THEN pos END) OVER (ORDER BY pos) AS since FROM panel"))
+def rows_since_event(spark, d):
+    return windows.rows_since(daily_panel(spark, d), F.col("bp") > TAU).select("pos", "since")
+
+
+@query(panel_sql(f"SELECT pos, least(pos - max(CASE WHEN {EVENT} THEN pos END) OVER (ORDER BY pos), min(CASE WHEN {EVENT} THEN pos END) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - pos) AS distance FROM panel"))
+def nearest_event(spark, d):
+    return windows.nearest_event(daily_panel(spark, d), F.col("bp") > TAU).select("pos", "distance")
+
+
+ONSET_SQL = f"on_ AS (SELECT pos, date, {EVENT}::INTEGER AS event, coalesce(count(*) OVER w = 5 AND sum({EVENT}::INTEGER) OVER w = 0, false) AS at_risk FROM panel WINDOW w AS (ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))"
+
+
+@query(panel_sql("SELECT pos, event, at_risk, at_risk AND event = 1 AS onset FROM on_", ONSET_SQL))
+def onset_flags(spark, d):
+    return windows.onsets(daily_panel(spark, d), F.col("bp") > TAU).select("pos", "event", "at_risk", "onset")
+
+
+@query(panel_sql(f"SELECT min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_rows, max(spread) AS peak FROM (SELECT *, pos - row_number() OVER (ORDER BY pos) AS island FROM panel WHERE {EVENT}) GROUP BY island"))
+def episodes(spark, d):
+    return windows.episodes(daily_panel(spark, d), F.col("bp") > TAU)
+
+
+@query(panel_sql("SELECT pos, pos - coalesce(max(CASE WHEN NOT up THEN pos END) OVER (ORDER BY pos), -1) AS run FROM (SELECT pos, coalesce(count(*) OVER w = 30 AND spread > quantile_cont(spread, 0.5) OVER w, false) AS up FROM panel WINDOW w AS (ORDER BY pos ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"))
+def above_median_run(spark, d):
+    return windows.above_median_run(daily_panel(spark, d), "spread", 30).select("pos", "run")
+
+
+@query(panel_sql("SELECT pos, round(CASE WHEN count(*) OVER w >= 63 THEN quantile_cont(n / volume, 0.1) OVER w ELSE 0.12 END, 6) AS level FROM panel WINDOW w AS (ORDER BY pos ROWS BETWEEN 503 PRECEDING AND CURRENT ROW)"))
+def rolling_level(spark, d):
+    frame = windows.rows(-503, 0)
+    p = daily_panel(spark, d).withColumn("ratio", F.col("n") / F.col("volume"))
+    return p.select("pos", r(F.when(F.count("ratio").over(frame) >= 63, F.percentile("ratio", F.lit(0.1)).over(frame)).otherwise(0.12)).alias("level"))
+
+
+@query(panel_sql("SELECT pos, round((rank() OVER (ORDER BY bp) - 1 + count(*) OVER (PARTITION BY bp) / 2.0) / count(*) OVER (), 6) AS mid_rank, rank() OVER (ORDER BY bp) + (count(*) OVER (PARTITION BY bp) - 1) / 2.0 AS average_rank FROM panel"))
+def mid_ranks(spark, d):
+    return windows.mid_ranks(daily_panel(spark, d), "bp").select("pos", r("mid_rank").alias("mid_rank"), "average_rank")
+
+
+@query(panel_sql("SELECT CAST(year(date) AS INTEGER) AS year, round(sum(greatest(0, least(1, (20 - above) / ties)) * flag), 6) AS hits, CAST(sum(flag) AS BIGINT) AS events FROM (SELECT date, (bp > 5)::INTEGER AS flag, rank() OVER (PARTITION BY year(date) ORDER BY n DESC) - 1 AS above, count(*) OVER (PARTITION BY year(date), n) AS ties FROM panel) GROUP BY 1"))
+def top_k_expected_hits(spark, d):
+    p = daily_panel(spark, d).select(F.year("date").alias("year"), "n", (F.col("bp") > TAU).cast("int").alias("flag"))
+    return windows.top_k_hits(p, "year", "n", "flag", 20).select("year", r("hits").alias("hits"), "events")
+
+
+@query(panel_sql("SELECT pos, CASE WHEN b > 0 AND a < 0 THEN 'peak' ELSE 'trough' END AS kind FROM (SELECT pos, spread - lag(spread) OVER (ORDER BY pos) AS b, lead(spread) OVER (ORDER BY pos) - spread AS a FROM panel) WHERE (b >= 5 AND a <= -5) OR (b <= -5 AND a >= 5)"))
+def turning_points(spark, d):
+    p = daily_panel(spark, d).select("pos", windows.change("spread", 1).alias("b"), (F.lead("spread").over(windows.by_pos()) - F.col("spread")).alias("a"))
+    return p.filter("(b >= 5 and a <= -5) or (b <= -5 and a >= 5)").select("pos", F.when(F.col("b") > 0, "peak").otherwise("trough").alias("kind"))
+
+
+@query(panel_sql("SELECT CAST(k AS INTEGER) AS k, round(corr(a.spread, b.spread), 6) AS r FROM panel a, range(1, 11) t(k), panel b WHERE b.pos = a.pos - k GROUP BY 1"))
+def lag_correlations(spark, d):
+    p = daily_panel(spark, d)
+    shifted = p.select("spread", *(F.lag("spread", k).over(windows.by_pos()).alias(str(k)) for k in range(1, 11))).unpivot(["spread"], [str(k) for k in range(1, 11)], "k", "other")
+    return shifted.groupBy(F.col("k").cast("int").alias("k")).agg(r(F.corr("spread", "other")).alias("r"))
+
+
+@query(panel_sql("SELECT date, round(avg(spread) OVER (ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 6) AS week_mean FROM panel"))
+def week_average(spark, d):
+    p = daily_panel(spark, d).withColumn("day", F.unix_date("date"))
+    return p.select("date", r(F.avg("spread").over(Window.orderBy("day").rangeBetween(-6, 0))).alias("week_mean"))
+
+
+@query(panel_sql("SELECT pos, round(sum(volume) OVER (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 7) AS ahead FROM panel"))
+def window_sum_ahead(spark, d):
+    return daily_panel(spark, d).select("pos", r(F.sum("volume").over(windows.rows(1, 5)), 7).alias("ahead"))
+
+
+@query(panel_sql("SELECT o.pos, CASE WHEN count(*) OVER w = 10 THEN round(quantile_cont(o.spread, 0.5) OVER w, 6) END AS level FROM cal o WHERE day_type = 'ordinary' WINDOW w AS (ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", CAL_SQL))
+def ordinary_levels(spark, d):
+    o = calendars.calendar_columns(daily_panel(spark, d)).filter("day_type = 'ordinary'")
+    frame = windows.rows(-9, 0)
+    return o.select("pos", F.when(F.count("*").over(frame) == 10, r(F.percentile("spread", F.lit(0.5)).over(frame))).alias("level"))
+
+
+# --- aggregates, settlement
+
+NET_SQL = """
+SELECT l_shipdate::DATE AS settle, o_orderpriority AS kind, count(*) AS auctions, count(*) FILTER (o_orderdate <= TIMESTAMP '1998-01-01') AS announced,
+CASE WHEN count(*) FILTER (o_orderdate <= TIMESTAMP '1998-01-01') = 0 THEN 'unannounced' WHEN count(*) FILTER (o_orderdate <= TIMESTAMP '1998-01-01') < count(*) THEN 'incomplete' ELSE 'complete' END AS state,
+CASE WHEN count(*) FILTER (o_orderdate <= TIMESTAMP '1998-01-01') < count(*) THEN 0 ELSE round(sum(l_extendedprice) - max(l_quantity * 100), 2) END AS net
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '1997-12-01' AND l_shipdate < TIMESTAMP '1998-02-01' GROUP BY 1, 2
+"""
+
+
+@query(NET_SQL)
+def net_settlement(spark, d):
+    lines, orders = read(spark, d, "lineitem"), read(spark, d, "orders")
+    due = lines.filter("l_shipdate >= timestamp'1997-12-01' and l_shipdate < timestamp'1998-02-01'").join(orders, lines.l_orderkey == orders.o_orderkey)
+    known = F.count_if(F.col("o_orderdate") <= F.lit("1998-01-01").cast("timestamp"))
+    out = due.groupBy(F.to_date("l_shipdate").alias("settle"), F.col("o_orderpriority").alias("kind")).agg(
+        F.count("*").alias("auctions"), known.alias("announced"), F.sum("l_extendedprice").alias("offering"), F.max(F.col("l_quantity") * 100).alias("maturing")
+    )
+    whole = F.col("announced") == F.col("auctions")
+    state = F.when(F.col("announced") == 0, "unannounced").when(~whole, "incomplete").otherwise("complete")
+    return out.select("settle", "kind", "auctions", "announced", state.alias("state"), F.when(whole, r(F.col("offering") - F.col("maturing"), 2)).otherwise(0.0).alias("net"))
+
+
+@query("SELECT l_shipdate::DATE AS settle, round(sum(l_extendedprice) FILTER (l_linestatus = 'F'), 2) AS \"F\", round(sum(l_extendedprice) FILTER (l_linestatus = 'O'), 2) AS \"O\" FROM lineitem GROUP BY 1")
+def gross_by_day(spark, d):
+    return read(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("settle")).pivot("l_linestatus", ["F", "O"]).agg(r(F.sum("l_extendedprice"), 2))
+
+
+@query(panel_sql("SELECT count(*) FILTER (was = 0 AND e = 0) AS n00, count(*) FILTER (was = 0 AND e = 1) AS n01, count(*) FILTER (was = 1 AND e = 0) AS n10, count(*) FILTER (was = 1 AND e = 1) AS n11 FROM (SELECT (bp > 5)::INTEGER AS e, lag((bp > 5)::INTEGER) OVER (ORDER BY pos) AS was FROM panel)"))
+def transition_counts(spark, d):
+    return scores.transitions(daily_panel(spark, d).withColumn("hit", (F.col("bp") > TAU).cast("int")), "hit")
+
+
+@query(panel_sql("SELECT day_type, count(*) AS n, round(250.0 * sum((bp > 5)::INTEGER) / count(*), 6) AS per_year, round(avg(spread), 6) AS mean_spread FROM cal GROUP BY 1", CAL_SQL))
+def flag_rate_by_day_type(spark, d):
+    c = calendars.calendar_columns(daily_panel(spark, d))
+    return c.groupBy("day_type").agg(F.count("*").alias("n"), r(250.0 * F.sum((F.col("bp") > TAU).cast("int")) / F.count("*")).alias("per_year"), r(F.avg("spread")).alias("mean_spread"))
+
+
+@query(panel_sql("SELECT min(date) AS first_date, max(date) AS last_date, count(*) AS n_days FROM (SELECT date, date - CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS island FROM panel WHERE n <= 3) GROUP BY island"))
+def suppressed_runs(spark, d):
+    low = daily_panel(spark, d).filter("n <= 3").withColumn("island", F.date_sub("date", F.row_number().over(Window.orderBy("date"))))
+    return low.groupBy("island").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_days")).drop("island")
+
+
+@query(panel_sql("SELECT a.pos, round(avg((b.bp > 5)::INTEGER), 6) AS share, count(*) AS pool FROM cal a JOIN cal b ON a.day_type = b.day_type AND b.pos BETWEEN a.pos - 250 AND a.pos - 1 WHERE a.pos % 10 = 0 GROUP BY 1", CAL_SQL))
+def climatology(spark, d):
+    c = calendars.calendar_columns(daily_panel(spark, d)).withColumn("e", (F.col("bp") > TAU).cast("int"))
+    frame = Window.partitionBy("day_type").orderBy("pos").rangeBetween(-250, -1)
+    got = c.select("pos", r(F.avg("e").over(frame)).alias("share"), F.count("*").over(frame).alias("pool"))
+    return got.filter("pos % 10 = 0 and pool > 0")  # every tenth day is a forecast origin
+
+
+# --- forecasts and scores
+
+GRID_SQL = "[" + ", ".join(map(str, scores.GRID)) + "]"
+
+
+def forecast_sql(lead: int = 1, window: int = 500, least: int = 60) -> str:
+    return f"""
+mv AS (SELECT pos, date, spread, lead(spread, {lead}) OVER (ORDER BY pos) AS outcome, spread - lag(spread, {lead}) OVER (ORDER BY pos) AS move FROM panel),
+fc AS (SELECT pos, date, outcome, list_transform(pool, lambda x: x + spread) AS q FROM (
+  SELECT *, quantile_cont(move, {GRID_SQL}) OVER w AS pool, count(move) OVER w AS size FROM mv WINDOW w AS (ORDER BY pos ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW))
+  WHERE size >= {least} AND outcome IS NOT NULL)"""
+
+
+def crps_sql(q: str, y: str) -> str:
+    return f"2 * list_sum(list_transform(range(1, {len(scores.GRID) + 1}), lambda i: greatest({GRID_SQL}[i] * ({y} - {q}[i]), ({GRID_SQL}[i] - 1) * ({y} - {q}[i])))) / {len(scores.GRID)}"
+
+
+def _forecasts(spark, d, lead=1):
+    return scores.persistence(daily_panel(spark, d), lead)
+
+
+@query(panel_sql("SELECT pos, outcome, round(q[1], 6) AS q01, round(q[12], 6) AS q50, round(q[23], 6) AS q99 FROM fc", forecast_sql(3)))
+def persistence_forecast(spark, d):
+    f = _forecasts(spark, d, 3)
+    return f.select("pos", "outcome", *(r(scores.quantile(F.col("q"), x)).alias(n) for x, n in ((0.01, "q01"), (0.5, "q50"), (0.99, "q99"))))
+
+
+@query(panel_sql(f"SELECT pos, round({crps_sql('q', 'outcome')}, 6) AS crps, round({crps_sql('list_transform(q, lambda z: greatest(z, 0))', 'greatest(outcome, 0)')}, 6) AS tail_crps FROM fc", forecast_sql()))
+def grid_crps(spark, d):
+    q, y = F.col("q"), F.col("outcome")
+    return _forecasts(spark, d).select("pos", r(scores.crps(q, y)).alias("crps"), r(scores.upper_tail_crps(q, y)).alias("tail_crps"))
+
+
+@query(panel_sql(f"SELECT day_type, count(*) AS n, round(avg({crps_sql('q', 'outcome')}), 6) AS crps, round(avg(abs(q[12] - outcome)), 6) AS mae, round(avg((outcome BETWEEN q[3] AND q[21])::INTEGER), 6) AS coverage_90 FROM fc JOIN (SELECT pos - 1 AS pos, day_type FROM cal) USING (pos) GROUP BY 1", CAL_SQL + "," + forecast_sql()))
+def persistence_scores_by_day_type(spark, d):
+    """Forecasts of the next day by persistence, scored by the target's day type."""
+    target = calendars.calendar_columns(daily_panel(spark, d)).select((F.col("pos") - 1).alias("pos"), "day_type")
+    q, y = F.col("q"), F.col("outcome")
+    inside = y.between(scores.quantile(q, 0.05), scores.quantile(q, 0.95)).cast("int")
+    mae = F.abs(scores.quantile(q, 0.5) - y)
+    return _forecasts(spark, d).join(target, "pos").groupBy("day_type").agg(F.count("*").alias("n"), r(F.avg(scores.crps(q, y))).alias("crps"), r(F.avg(mae)).alias("mae"), r(F.avg(inside)).alias("coverage_90"))
+
+
+@query(panel_sql(f"SELECT l AS level, round(avg(greatest(l * (outcome - x), (l - 1) * (outcome - x))), 6) AS loss FROM (SELECT outcome, unnest(q) AS x, unnest({GRID_SQL}) AS l FROM fc) GROUP BY 1", forecast_sql()))
+def loss_by_level(spark, d):
+    each = _forecasts(spark, d).select("outcome", F.explode(F.arrays_zip("q", scores.levels().alias("level"))).alias("z"))
+    return each.groupBy(F.col("z.level").alias("level")).agg(r(F.avg(scores.pinball(F.col("z.level"), F.col("z.q"), F.col("outcome")))).alias("loss"))
+
+
+@query(panel_sql("SELECT count(*) AS n, CAST(sum((outcome > q[21])::INTEGER) AS BIGINT) AS hits FROM fc", forecast_sql()), "upper_tail_hits")
+def upper_tail_hits(spark, d):
+    return _forecasts(spark, d).agg(F.count("*").alias("n"), F.sum((F.col("outcome") > scores.quantile(F.col("q"), 0.95)).cast("int")).alias("hits"))
+
+
+@query(panel_sql("SELECT n, hits, round(hits / n, 6) AS share, round(greatest(0, 2 * (CASE WHEN hits = 0 THEN 0 ELSE hits * ln(hits / n) END + CASE WHEN n = hits THEN 0 ELSE (n - hits) * ln(1 - hits / n) END - hits * ln(0.05) - (n - hits) * ln(0.95))), 6) AS lr FROM (SELECT count(*) AS n, CAST(sum((outcome > q[21])::INTEGER) AS BIGINT) AS hits FROM fc)", forecast_sql()))
+def kupiec_ratio(spark, d):
+    hit = _forecasts(spark, d).withColumn("hit", (F.col("outcome") > scores.quantile(F.col("q"), 0.95)).cast("int"))
+    return scores.kupiec(hit, "hit", 0.05).select("n", "hits", r("share").alias("share"), r("lr").alias("lr"))
+
+
+@query()
+def kupiec_p_value(spark, d):
+    """The tail of chi-square has no SQL; a test compares it with math.erfc."""
+    hit = _forecasts(spark, d).withColumn("hit", (F.col("outcome") > scores.quantile(F.col("q"), 0.95)).cast("int"))
+    return scores.kupiec(hit, "hit", 0.05).select("n", "hits", r("p_value").alias("p_value"))
+
+
+@query(panel_sql("SELECT CAST(year(date) AS INTEGER) AS year, round(avg(power(p - e, 2)), 6) AS brier, CAST(sum(e) AS BIGINT) AS events FROM (SELECT date, (outcome > 5.5)::INTEGER AS e, CASE WHEN q[1] > 5.5 THEN 1.0 WHEN q[23] <= 5.5 THEN 0.0 ELSE 1 - (list_filter(list_transform(range(1, 23), lambda i: CASE WHEN q[i] <= 5.5 AND 5.5 < q[i + 1] THEN g[i] + (g[i + 1] - g[i]) * (5.5 - q[i]) / (q[i + 1] - q[i]) END), lambda x: x IS NOT NULL))[1] END AS p FROM (SELECT *, " + GRID_SQL + " AS g FROM fc)) GROUP BY 1", forecast_sql()))
+def brier_by_year(spark, d):
+    p, e = scores.exceedance(F.col("q"), TAU), (F.col("outcome") > TAU + 0.5).cast("int")
+    f = _forecasts(spark, d).select("date", p.alias("p"), e.alias("e"))
+    return f.groupBy(F.year("date").alias("year")).agg(r(F.avg(F.pow(F.col("p") - F.col("e"), 2))).alias("brier"), F.sum("e").alias("events"))
+
+
+DIFF_SQL = f"""{forecast_sql()}, cr AS (SELECT pos, {crps_sql('q', 'outcome')} - abs(q[12] - outcome) AS dd FROM fc),
+ce AS (SELECT pos, dd, dd - avg(dd) OVER () AS e FROM cr), cl AS (SELECT e, row_number() OVER (ORDER BY pos) AS i, dd FROM ce)"""
+
+
+@query(panel_sql("SELECT count(*) AS n, round(avg(dd), 6) AS mean, round((sum(e * e) + 2 * (SELECT sum((1 - (b.i - a.i) / 11.0) * a.e * b.e) FROM cl a JOIN cl b ON b.i > a.i AND b.i <= a.i + 10)) / count(*), 6) AS variance FROM cl", DIFF_SQL))
+def hac_variance(spark, d):
+    """Long-run variance of the difference between two scores."""
+    f = _forecasts(spark, d).withColumn("dd", scores.crps(F.col("q"), F.col("outcome")) - F.abs(scores.quantile(F.col("q"), 0.5) - F.col("outcome")))
+    return scores.hac_variance(f, "dd").select("n", r("mean").alias("mean"), r("variance").alias("variance"))
+
+
+@query(panel_sql("SELECT key, p, min(ok) OVER (ORDER BY p, key ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM (SELECT key, p, (p <= 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, key) + 1))::INTEGER AS ok FROM (SELECT CAST(year(date) AS VARCHAR) AS key, round(exp(-avg(spread) / 20), 6) AS p FROM panel GROUP BY 1))"))
+def holm_rejections(spark, d):
+    p = daily_panel(spark, d).groupBy(F.year("date").cast("string").alias("key")).agg(r(F.exp(-F.avg("spread") / 20)).alias("p"))
+    return scores.holm(p, "key", "p").select("key", "p", "rejected")
+
+
+@query(panel_sql("SELECT n, n1, round((s - n1 * (n1 + 1) / 2) / (n1 * (n - n1)), 6) AS auc FROM (SELECT count(*) AS n, CAST(sum(e) AS BIGINT) AS n1, sum(CASE WHEN e = 1 THEN rk END) AS s FROM (SELECT (bp > 5)::INTEGER AS e, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS rk FROM panel))"))
+def auc_of_counts(spark, d):
+    p = daily_panel(spark, d).select("n", (F.col("bp") > TAU).cast("int").alias("e"))
+    return scores.auc(p, "n", "e").select("n", "n1", r("auc").alias("auc"))

@@ -1 +1 @@
-
+"""How queries are set up: sessions whose settings fit the input."""
