@@ -43,8 +43,8 @@ PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97))
 TABLE = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().translate(TABLE).split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().translate(TABLE).split()
 
 
 def shingles(ids: np.ndarray, k: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def build_index(items: list[tuple[object, str]]) -> Index:
     word_ids: dict[bytes, int] = {}
     ids, sizes, weights, prints = [], [], [], []
     for item_id, text in items:
-        words = words_of((text or "").encode())
+        words = words_of(text)
         if not words:
             continue
         hashes = shingles(np.array([word_ids.setdefault(w, len(word_ids)) for w in words], np.int64), min(SHINGLE, len(words)))
@@ -186,7 +186,7 @@ def _scan(shared, theta: float):
             text, doc_id = common.column(batch, "text"), common.column(batch, "doc_id")
             rows, found = [], []
             for a, b in common.row_chunks(common.utf8(text)[1], CHUNK):
-                docs = [words_of(t or b"") for t in text.slice(a, b - a).cast(pa.binary()).to_pylist()]
+                docs = [words_of(t) for t in text.slice(a, b - a).to_pylist()]
                 sizes = np.fromiter(map(len, docs), np.int64, len(docs))
                 get = index.word_ids.get
                 flat = np.fromiter((get(w, -1) for ws in docs for w in ws), np.int64, int(sizes.sum()))
