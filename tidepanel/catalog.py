@@ -428,7 +428,7 @@ def persistence_scores_by_day_type(spark, d):
     return _forecasts(spark, d).join(target, "pos").groupBy("day_type").agg(F.count("*").alias("n"), r(F.avg(scores.crps(q, y))).alias("crps"), r(F.avg(mae)).alias("mae"), r(F.avg(inside)).alias("coverage_90"))
 
 
-@query(panel_sql(f"SELECT l AS level, round(avg(greatest(l * (outcome - x), (l - 1) * (outcome - x))), 6) AS loss FROM (SELECT outcome, unnest(q) AS x, unnest({GRID_SQL}) AS l FROM fc) GROUP BY 1", forecast_sql()))
+@query(panel_sql(f"SELECT l AS level, round(avg(greatest(l * (outcome - x), (l - 1) * (outcome - x))), 6) AS loss FROM (SELECT outcome, unnest(q) AS x, unnest({GRID_SQL}::DOUBLE[]) AS l FROM fc) GROUP BY 1", forecast_sql()))
 def loss_by_level(spark, d):
     each = _forecasts(spark, d).select("outcome", F.explode(F.arrays_zip("q", scores.levels().alias("level"))).alias("z"))
     return each.groupBy(F.col("z.level").alias("level")).agg(r(F.avg(scores.pinball(F.col("z.level"), F.col("z.q"), F.col("outcome")))).alias("loss"))
