@@ -25,6 +25,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +55,15 @@ class Sampler:
         order = np.argsort(net.target, kind="stable")
         self.source, target, self.piece = net.source[order], net.target[order], net.piece[order]
         share = np.exp(alpha[self.source] + arcs[order] - alpha[target])
-        # arcs into node v end in (v, v + 1], so one sorted array finds the arc for v + u
+        # the arcs into a node share out (0, 1], one behind the other
         total = np.cumsum(share)
         heads = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(heads, len(target)))
         within = total - np.repeat(total[heads] - share[heads], sizes)
-        self.edge = target + within / np.repeat(within[np.append(heads[1:], len(target)) - 1] if len(heads) else within, sizes)
+        self.edge = within / np.repeat(within[np.append(heads[1:], len(target)) - 1] if len(heads) else within, sizes)
+        self.edge[heads + sizes - 1] = 1.0
+        self.head = np.zeros(net.nodes, np.int64)
+        self.head[target[heads]] = heads
         self.first, self.last = net.first, net.last
         self.length = np.diff(np.append(net.first, net.nodes)) - 1
 
@@ -72,8 +76,11 @@ class Sampler:
             at = node[live]
             place = shift[live] + at - base[live]
             u = (common.mix64(seed[live] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = np.searchsorted(self.edge, at + u, side="right")
-            arc = np.minimum(arc, len(self.edge) - 1)
+            arc = self.head[at]
+            beyond = np.flatnonzero(self.edge[arc] <= u)
+            while len(beyond):  # a node has few arcs
+                arc[beyond] += 1
+                beyond = beyond[self.edge[arc[beyond]] <= u[beyond]]
             src = self.source[arc]
             out[shift[live] + src - base[live]] = self.piece[arc]
             node[live] = src
@@ -173,7 +180,7 @@ def decode(spark: SparkSession, encoded: DataFrame, model_path: str | None = Non
         decoder = Decoder(lattice.pieces(path))
         for batch in batches:
             ids = common.column(batch, "piece_ids")
-            sizes = np.array([len(x) if x is not None else 0 for x in ids.to_pylist()], np.int64)
+            sizes = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, ends = decoder(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]))
             texts = [data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in kept), pa.array(texts, pa.string())], [*kept, "decoded"])
