@@ -112,6 +112,15 @@ def _rows(batch: pa.RecordBatch) -> tuple[list, list[bytes]]:
     return common.column(batch, "doc_id").to_pylist(), [t or b"" for t in common.column(batch, "text").cast(pa.binary()).to_pylist()]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most 4 * CHUNK bytes of text, so that few copies of texts are alive at once."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+        for a, b in common.row_chunks(common.utf8(common.column(batch, "text"))[1], 4 * CHUNK):
+            yield batch.slice(a, b - a)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each text with windows: its keys and lists of its contexts, neighbours that are alike as one with their number."""
     for batch in batches:
@@ -175,7 +184,7 @@ def _keyed(shared, wanted: bool | None, names: list[str]):
     """Rows whose first key may be (or surely is not) in the bit set, with their keys."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             k1, k2 = keys_of(*_rows(batch)) if batch.num_rows else (np.zeros(0, np.int64),) * 2
             at = pa.array(np.flatnonzero(Bits.have(shared.value, k1) == wanted))
             yield pa.RecordBatch.from_arrays([*(common.column(batch, c).take(at) for c in names), pa.array(k1).take(at), pa.array(k2).take(at)], [*names, " k1", " k2"])
@@ -185,7 +194,7 @@ def _keyed(shared, wanted: bool | None, names: list[str]):
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that a text was asked for; another row under the same key has others, and is passed over."""
-    for batch in batches:
+    for batch in _parts(batches):
         texts = _rows(batch)[1]
         asked = common.column(batch, "asked")
         values = asked.flatten()
@@ -366,7 +375,7 @@ def _cut(names: list[str]):
     """The texts without their spans."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             spans = common.column(batch, "spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
             kept, numbers = [], []
             for t, s in zip(_rows(batch)[1], spans):
@@ -417,7 +426,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with the repeated strings cut out of text, and n_chars, where there is such a column, brought up to date."""
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             same = common.column(batch, "n_removed").to_pylist()
             old, kept = common.column(batch, "text").to_pylist(), common.column(batch, "kept_bytes").to_pylist()
             new = pa.array([decoded(k) if n else t for t, k, n in zip(old, kept, same)], pa.string())
