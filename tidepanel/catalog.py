@@ -241,9 +241,9 @@ def ewma_scale(spark, d):
     return windows.ewma_scale(daily_panel(spark, d), "spread").select("pos", r("scale").alias("scale"))
 
 
-@query(panel_sql("SELECT pos, round(CASE WHEN c = 60 THEN spread - lo END, 6) AS above_low, round(CASE WHEN c = 60 THEN hi - spread END, 6) AS below_high, round(CASE WHEN c = 60 AND sd > 0 THEN (spread - m) / sd END, 6) AS z FROM (SELECT pos, spread, count(spread) OVER w AS c, min(spread) OVER w AS lo, max(spread) OVER w AS hi, avg(spread) OVER w AS m, stddev_samp(spread) OVER w AS sd FROM panel WINDOW w AS (ORDER BY pos ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"))
+@query(panel_sql("SELECT pos, round(CASE WHEN c = 60 THEN spread - lo END, 8) AS above_low, round(CASE WHEN c = 60 THEN hi - spread END, 8) AS below_high, round(CASE WHEN c = 60 AND sd > 0 THEN (spread - m) / sd END, 6) AS z FROM (SELECT pos, spread, count(spread) OVER w AS c, min(spread) OVER w AS lo, max(spread) OVER w AS hi, avg(spread) OVER w AS m, stddev_samp(spread) OVER w AS sd FROM panel WINDOW w AS (ORDER BY pos ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"))
 def range_stats(spark, d):
-    return windows.range_stats(daily_panel(spark, d), "spread", 60).select("pos", *(r(c).alias(c) for c in ("above_low", "below_high", "z")))
+    return windows.range_stats(daily_panel(spark, d), "spread", 60).select("pos", *(r(c, 8).alias(c) for c in ("above_low", "below_high")), r("z").alias("z"))
 
 
 @query(panel_sql("SELECT pos, CASE WHEN x IS NOT NULL THEN x WHEN lag(x) OVER (ORDER BY pos) IS NOT NULL AND lead(x) OVER (ORDER BY pos) IS NOT NULL THEN lag(x) OVER (ORDER BY pos) END AS carried FROM (SELECT pos, CASE WHEN n > 4 THEN spread END AS x FROM panel)"))
@@ -325,11 +325,11 @@ def window_sum_ahead(spark, d):
     return daily_panel(spark, d).select("pos", r(F.sum("volume").over(windows.rows(1, 5)), 7).alias("ahead"))
 
 
-@query(panel_sql("SELECT o.pos, CASE WHEN count(*) OVER w = 10 THEN round(quantile_cont(o.spread, 0.5) OVER w, 6) END AS level FROM cal o WHERE day_type = 'ordinary' WINDOW w AS (ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", CAL_SQL))
+@query(panel_sql("SELECT o.pos, CASE WHEN count(*) OVER w = 10 THEN round(quantile_cont(o.spread, 0.5) OVER w, 9) END AS level FROM cal o WHERE day_type = 'ordinary' WINDOW w AS (ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", CAL_SQL))
 def ordinary_levels(spark, d):
     o = calendars.calendar_columns(daily_panel(spark, d)).filter("day_type = 'ordinary'")
     frame = windows.rows(-9, 0)
-    return o.select("pos", F.when(F.count("*").over(frame) == 10, r(F.percentile("spread", F.lit(0.5)).over(frame))).alias("level"))
+    return o.select("pos", F.when(F.count("*").over(frame) == 10, r(F.percentile("spread", F.lit(0.5)).over(frame), 9)).alias("level"))
 
 
 # --- aggregates, settlement
