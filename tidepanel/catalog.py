@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import asof, calendars, scores, windows
+from .operators import asof, calendars, resampling, reversion, scores, windows
 from .sources.tables import PANEL_SQL, VINTAGES_SQL, daily_panel, read, vintages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,3 +480,75 @@ def holm_rejections(spark, d):
 def auc_of_counts(spark, d):
     p = daily_panel(spark, d).select("n", (F.col("bp") > TAU).cast("int").alias("e"))
     return scores.auc(p, "n", "e").select("n", "n1", r("auc").alias("auc"))
+
+
+HITS_SQL = "ht AS (SELECT pos, (outcome > q[21])::INTEGER AS e, lag((outcome > q[21])::INTEGER) OVER (ORDER BY pos) AS was FROM fc), nn AS (SELECT count(*) FILTER (was = 0 AND e = 0) AS n00, count(*) FILTER (was = 0 AND e = 1) AS n01, count(*) FILTER (was = 1 AND e = 0) AS n10, count(*) FILTER (was = 1 AND e = 1) AS n11 FROM ht)"
+
+
+def xlogy_sql(n: str, p: str) -> str:
+    return f"(CASE WHEN {n} = 0 THEN 0 ELSE {n} * ln({p}) END)"
+
+
+CHAIN_SQL = f"""{xlogy_sql('n00', 'n00 / (n00 + n01)')} + {xlogy_sql('n01', 'n01 / (n00 + n01)')} + {xlogy_sql('n10', 'n10 / (n10 + n11)')} + {xlogy_sql('n11', 'n11 / (n10 + n11)')}
+- {xlogy_sql('(n00 + n10)', '(n00 + n10) / (n00 + n01 + n10 + n11)')} - {xlogy_sql('(n01 + n11)', '(n01 + n11) / (n00 + n01 + n10 + n11)')}"""
+
+
+def _tail_hits(spark, d):
+    return _forecasts(spark, d).withColumn("hit", (F.col("outcome") > scores.quantile(F.col("q"), 0.95)).cast("int"))
+
+
+@query(panel_sql(f"SELECT n00, n01, n10, n11, round(greatest(0, 2 * ({CHAIN_SQL})), 6) AS lr FROM nn", f"{forecast_sql()}, {HITS_SQL}"))
+def christoffersen_independence(spark, d):
+    got = scores.independence(scores.transitions(_tail_hits(spark, d), "hit"))
+    return got.select("n00", "n01", "n10", "n11", r("lr").alias("lr"))
+
+
+@query(panel_sql("SELECT CAST(list_sum(list_transform([q[3], q[7], q[12], q[17], q[21]], lambda x: (x < outcome)::INTEGER)) AS INTEGER) AS bin, count(*) AS n FROM fc GROUP BY 1", forecast_sql()))
+def pit_histogram(spark, d):
+    return scores.pit_bins(_forecasts(spark, d), "q", "outcome", [0.05, 0.25, 0.5, 0.75, 0.95])
+
+
+@query(panel_sql("SELECT count(*) AS n, round(avg(dd) / sqrt((sum(e * e) + 2 * (SELECT sum((1 - (b.i - a.i) / 11.0) * a.e * b.e) FROM cl a JOIN cl b ON b.i > a.i AND b.i <= a.i + 10)) / count(*) / count(*)), 5) AS statistic FROM cl", DIFF_SQL))
+def diebold_mariano(spark, d):
+    f = _forecasts(spark, d).withColumn("dd", scores.crps(F.col("q"), F.col("outcome")) - F.abs(scores.quantile(F.col("q"), 0.5) - F.col("outcome")))
+    return scores.hac_variance(f, "dd").select("n", r(F.col("mean") / F.sqrt(F.col("variance") / F.col("n")), 5).alias("statistic"))
+
+
+@query(panel_sql("SELECT CAST(year(date) AS INTEGER) AS year, CAST(quarter(date) AS INTEGER) AS quarter, round(max(outcome), 6) AS peak, round(max(q[21]), 6) AS highest_forecast, count(*) AS n FROM fc GROUP BY 1, 2", forecast_sql()))
+def quarter_peaks(spark, d):
+    top = F.max(scores.quantile(F.col("q"), 0.95))
+    return _forecasts(spark, d).groupBy(F.year("date").alias("year"), F.quarter("date").alias("quarter")).agg(r(F.max("outcome")).alias("peak"), r(top).alias("highest_forecast"), F.count("*").alias("n"))
+
+
+@query(panel_sql("SELECT CAST(sum(hits) AS BIGINT) AS hits, round(sum(hits * top / seen) / sum(hits), 6) AS average_precision FROM (SELECT hits, sum(hits) OVER w AS top, sum(m) OVER w AS seen FROM (SELECT n, count(*) AS m, sum((bp > 5)::INTEGER) AS hits FROM panel GROUP BY n) WINDOW w AS (ORDER BY n DESC ROWS UNBOUNDED PRECEDING))"))
+def average_precision(spark, d):
+    p = daily_panel(spark, d).select("n", (F.col("bp") > TAU).cast("int").alias("e"))
+    return scores.average_precision(p, "n", "e").select("hits", r("average_precision").alias("average_precision"))
+
+
+@query(panel_sql("SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS a, rank() OVER (ORDER BY bp) + (count(*) OVER (PARTITION BY bp) - 1) / 2.0 AS b FROM panel)"))
+def spearman(spark, d):
+    return scores.spearman(daily_panel(spark, d), "n", "bp").select("n", r("rho").alias("rho"))
+
+
+@query(panel_sql("""SELECT k, n, phi, loss FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY loss, phi) AS place FROM (
+  SELECT k, n, i / 100 AS phi, round(yy - 2 * power(i / 100, k) * xy + power(i / 100, 2 * k) * xx, 4) AS loss FROM (
+    SELECT k, count(*) AS n, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM pr GROUP BY k HAVING count(*) >= 60), unnest(range(0, 101)) AS g(i))) WHERE place = 1""",
+  """lv AS (SELECT *, CASE WHEN count(*) OVER w = 10 THEN round(quantile_cont(spread, 0.5) OVER w, 9) END AS level FROM panel WINDOW w AS (ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+  pr AS (SELECT CAST(k AS INTEGER) AS k, a.spread - a.level AS x, b.spread - a.level AS y FROM lv a, unnest([1, 2, 3, 4, 5]) AS u(k), panel b WHERE b.pos = a.pos + k AND a.level IS NOT NULL)"""))
+def mean_reversion_phi(spark, d):
+    before = windows.rows(-10, -1)
+    level = F.when(F.count("spread").over(before) == 10, r(F.percentile("spread", F.lit(0.5)).over(before), 9))
+    return reversion.fit_phi(reversion.pairs(daily_panel(spark, d).withColumn("level", level), [1, 2, 3, 4, 5]))
+
+
+@query(panel_sql("""SELECT count(*) AS replicates, round(quantile_cont(mean, 0.05), 6) AS low, round(quantile_cont(mean, 0.95), 6) AS high FROM (
+  SELECT replicate, sum(block) / (count(*) * 10) AS mean FROM st JOIN bl USING (place) GROUP BY replicate)""",
+  """sz AS (SELECT count(*) AS n FROM panel),
+  wr AS (SELECT pos AS place, spread FROM panel UNION ALL SELECT pos + sz.n AS place, spread FROM panel, sz WHERE pos < 9),
+  bl AS (SELECT place, sum(spread) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS block FROM wr),
+  st AS (SELECT replicate, CAST(('0x' || left(md5('0-' || replicate || '-' || b), 8))::BIGINT % n AS INTEGER) AS place FROM sz, unnest(range(0, 500)) AS g(replicate), unnest(range(0, CAST(ceil(n / 10) AS BIGINT))) AS h(b))"""))
+def block_bootstrap_interval(spark, d):
+    """Interval of the mean spread from 500 resamples in circular blocks of ten days."""
+    means = resampling.block_means(spark, daily_panel(spark, d), "spread", 10, 500)
+    return resampling.interval(means).select("replicates", r("low").alias("low"), r("high").alias("high"))

@@ -113,3 +113,35 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     rank = F.rank().over(Window.orderBy(score)) + (F.count("*").over(Window.partitionBy(score)) - 1) / 2
     got = df.withColumn("r", rank).agg(F.sum(F.when(F.col(label) == 1, F.col("r"))).alias("s"), F.sum(label).alias("n1"), F.count("*").alias("n"))
     return got.select("n", "n1", ((F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * (F.col("n") - F.col("n1")))).alias("auc"))
+
+
+def independence(counts: DataFrame) -> DataFrame:
+    """Likelihood ratio of a first-order chain against independence, from n00, n01, n10 and n11."""
+    n00, n01, n10, n11 = (F.col(f"n{k}") for k in ("00", "01", "10", "11"))
+    total, ones = n00 + n01 + n10 + n11, n01 + n11
+    share = F.try_divide(ones, total)
+    after = [(n00, n01, F.try_divide(n01, n00 + n01)), (n10, n11, F.try_divide(n11, n10 + n11))]
+    chain = sum((F.coalesce(xlogy(a, 1 - p) + xlogy(b, p), F.lit(0.0)) for a, b, p in after), F.lit(0.0))
+    return counts.withColumn("lr", F.greatest(F.lit(0.0), 2 * (chain - xlogy(total - ones, 1 - share) - xlogy(ones, share))))
+
+
+def pit_bins(df: DataFrame, q: str, y: str, edges: list[float]) -> DataFrame:
+    """bin and n: between which of the levels ``edges`` the outcome fell, 0 below the first; empty bins are absent."""
+    below = F.array(*(quantile(F.col(q), e) for e in edges))
+    return df.groupBy(F.size(F.filter(below, lambda x: x < F.col(y))).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Mean over hits of the precision at their score; rows of one score enter together, so only distinct scores are ordered."""
+    by_score = df.groupBy(score).agg(F.count("*").alias("rows"), F.sum(label).alias("hits"))
+    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    each = by_score.select("hits", (F.sum("hits").over(down) / F.sum("rows").over(down)).alias("precision"))
+    return each.agg(F.sum("hits").alias("hits"), (F.sum(F.col("hits") * F.col("precision")) / F.sum("hits")).alias("average_precision"))
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Correlation of average ranks."""
+    def rank(c):
+        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
+
+    return df.select(rank(x).alias("a"), rank(y).alias("b")).agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"))
