@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near duplicates (five words, similarity 0.85), one row of it."""
-    gone = near_dups.near_duplicates(spark, docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    """Keeps the document of the smallest id of each group of near duplicates (five words, similarity 0.8), one row of it."""
+    gone = near_dups.near_duplicates(spark, docs, threshold=80).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(docs.columns)
 
 
