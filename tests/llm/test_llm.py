@@ -256,3 +256,17 @@ def test_audit_finds_the_damage_and_nothing_else(spark):
     assert fixity.audit(spark, replica, replica).count() == 0
     assert fixity.audit(spark, replica.limit(0), replica.limit(0)).count() == 0
     assert fixity.audit(spark, replica, replica.limit(0), 2048, 4).count() == len(a)
+
+
+def test_a_document_without_an_id_links_its_neighbours(spark):
+    own = random.Random(5)
+    words = [own.choice(WORDS) + str(i) for i in range(200)]
+    bridge = ["x", *words[1:]]
+    last = [*bridge[:100], "y", *bridge[101:150], "z", *bridge[151:]]
+    first = [*words[:50], "v", *words[51:]]  # linked with the bridge only
+    sets = [{tuple(t[i : i + 5]) for i in range(196)} for t in (first, bridge, last)]
+    near = [100 * len(a & b) >= 90 * len(a | b) for a, b in ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))]
+    rows = [(1, " ".join(first)), (None, " ".join(bridge)), (2, " ".join(last)), (None, "alone"), (None, None)]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), threshold=90).collect())
+    assert near == [True, True, False]
+    assert got == Counter({(1, 1, True): 1, (None, 1, False): 1, (2, 1, False): 1, (None, None, True): 2})

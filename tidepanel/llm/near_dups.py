@@ -126,13 +126,13 @@ def _texts(array: pa.Array, a: int, b: int) -> list[bytes]:
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[bytes, int] = {}
     for batch in batches:
-        text, ids = common.column(batch, "text"), common.column(batch, "doc_id")
+        text, row, ids = (common.column(batch, c) for c in ("text", "row", "doc_id"))
         for a, b in common.row_chunks(common.utf8(text)[1], CHUNK):
             values, offsets = shingle_hashes(_texts(text, a, b), memo)
             sids = [xxhash.xxh3_128_digest(values[x:y].tobytes()) if y > x else None for x, y in zip(offsets, offsets[1:])]
             keys = band_keys(sketches(values, offsets)).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sids, pa.binary()), pa.array(np.diff(offsets)), bands], ["doc_id", "sid", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([row.slice(a, b - a), ids.slice(a, b - a), pa.array(sids, pa.binary()), pa.array(np.diff(offsets)), bands], ["row", "doc_id", "sid", "n_shingles", "bands"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +142,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in common.row_chunks(common.utf8(text)[1], CHUNK):
             values, offsets = shingle_hashes(_texts(text, a, b), memo)
             sets = [values[x:y].tobytes() for x, y in zip(offsets, offsets[1:])]
-            sids = [xxhash.xxh3_128_digest(s) for s in sets]
             words = parities(values, offsets)
-            yield pa.RecordBatch.from_arrays([nid.slice(a, b - a), pa.array(sids, pa.binary()), pa.array(sets, pa.binary()), *(pa.array(words[:, i]) for i in range(len(PARITIES)))], ["nid", "found", "elements", *PARITIES])
+            yield pa.RecordBatch.from_arrays([nid.slice(a, b - a), pa.array(sets, pa.binary()), *(pa.array(words[:, i]) for i in range(len(PARITIES)))], ["nid", "elements", *PARITIES])
 
 
 def _verifier(threshold: int):
@@ -164,20 +163,21 @@ def _verifier(threshold: int):
     return verify
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85, key: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
 
     Documents whose sets have 100 * intersection >= threshold * union are linked; component_id
-    is the smallest doc_id reachable by links.
+    is the smallest doc_id reachable by links. key: a column of docs that is a number of its own
+    in every row, however often docs are read; without one the rows are numbered and written.
     """
     scratch = common.Scratch(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    rows = scratch.save(texts.mapInArrow(_sketch_rows, f"doc_id {kind}, sid binary, n_shingles long, bands array<long>"), "rows")
+    texts = docs.select(F.col(key).alias("row"), "doc_id", "text") if key else scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "texts")
+    rows = scratch.save(texts.mapInArrow(_sketch_rows, f"row long, doc_id {kind}, sid binary, n_shingles long, bands array<long>"), "rows")
     nodes = scratch.save(
         rows.filter("sid is not null")
         .groupBy("sid")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.min("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.min("bands").alias("bands"))
         .select(F.monotonically_increasing_id().alias("nid"), "*"),
         "nodes",
     )
@@ -189,11 +189,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85) -
     members = scratch.save(shared.drop("size").join(central, "nid").join(nodes.select("nid", "n"), "nid"), "members")
     scratch.drop("shared")
     # full sets of the nodes that share a bucket
-    wanted = nodes.select("nid", "doc_id", "sid").join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "sid", "doc_id")
-    sets = scratch.save(
-        texts.join(wanted, "doc_id").select("nid", "sid", "text").mapInArrow(_set_rows_for, "nid long, elements binary, " + ", ".join(f"{p} long" for p in PARITIES)).dropDuplicates(["nid"]),
-        "sets",
-    )
+    wanted = nodes.select("nid", "row").join(members.select("nid").distinct(), "nid", "left_semi")
+    sets = scratch.save(texts.join(wanted, "row").select("nid", "text").mapInArrow(_set_rows, "nid long, elements binary, " + ", ".join(f"{p} long" for p in PARITIES)), "sets")
+    if not key:
+        scratch.drop("texts")
     labels, tested = None, None
     for turn in range(STARS + 1):
         left = members.withColumn("comp", F.col("nid")) if labels is None else members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
@@ -236,19 +235,3 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85) -
     out = rows.select("doc_id", "sid", "n_shingles").join(owner, "sid", "left")
     out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _set_rows_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the rows whose text is the node's own; a repeated doc_id may bring another's text along."""
-
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sid = common.column(batch, "sid").to_pylist()
-        at = 0
-        for rows in _set_rows(iter([batch])):
-            found = common.column(rows, "found").to_pylist()
-            own = pa.array([f == s for f, s in zip(found, sid[at : at + len(found)])], pa.bool_())
-            at += len(found)
-            yield rows.select(["nid", "elements", *PARITIES]).filter(own)
-
-    for batch in batches:
-        yield from one(batch)
