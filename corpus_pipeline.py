@@ -14,6 +14,8 @@ from tidepanel.llm import common, decontamination, language_id, near_dups, repea
 
 #: A language must be at least so likely, or the document goes.
 LEAST_SCORE = 0.5
+#: Words of the shortest repeated passage that is cut out, whatever its bytes.
+PASSAGE = 51
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes that occur twice out of the texts; every document stays."""
-    return repeats.without_repeats(spark, docs)
+    """Cuts passages of over 50 words and strings of 400 bytes that occur twice out of the texts; every document stays."""
+    return repeats.without_repeats(spark, docs, words=PASSAGE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

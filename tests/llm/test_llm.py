@@ -270,3 +270,23 @@ def test_a_document_without_an_id_links_its_neighbours(spark):
     got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), threshold=90).collect())
     assert near == [True, True, False]
     assert got == Counter({(1, 1, True): 1, (None, 1, False): 1, (2, 1, False): 1, (None, None, True): 2})
+
+
+@pytest.mark.parametrize("hot", [1, 256])
+def test_passages_of_words_are_cut_under_the_span_too(spark, empty, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    own = random.Random(3)
+    words = lambda n: [f"{own.randrange(10**5):x}" for _ in range(n)]
+    passage, less = words(51), words(50)
+    texts = [words(9) + passage + words(9), passage, words(3) + less + words(3), words(2) + less, ["a", "bb", "c"] * 40, words(51)]
+    rows = [(i, own.choice([" ", "\n\t"]).join(t)) for i, t in enumerate(texts)] + [(6, None), (7, "é" * 500), (8, "é" * 450 + " x")]
+    seen = Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    want = {}
+    for k, t in rows:
+        w = (t or "").split()
+        gone = {j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want[k] = [x for j, x in enumerate(w) if j not in gone] if k < 7 else ["x"] if k == 8 else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept_bytes"]).decode().split() for r in repeats.remove_repeats(spark, docs, words=51).collect()}
+    assert len(" ".join(passage)) < repeats.SPAN and got == want and want[0] != texts[0] and want[2] == texts[2]
+    assert repeats.remove_repeats(spark, empty, words=51).count() == 0

@@ -1,6 +1,7 @@
 """run() against brute force: languages, near duplicates of 0.8 and more, repeated strings, benchmark items."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -49,12 +50,15 @@ def near_kept(rows):
 
 
 def cut(texts):
-    """Texts without what lies in a string of SPAN bytes that occurs twice."""
+    """Texts without what lies in a string of SPAN bytes or in a passage of 51 words that occurs twice."""
     span = repeats.SPAN
     seen = Counter(t[i : i + span] for t in texts for i in range(len(t) - span + 1))
+    words = [[m.span() for m in re.finditer(r"\S+", t)] for t in texts]
+    passages = [[tuple(t[x:y] for x, y in w[i : i + 51]) for i in range(len(w) - 50)] for t, w in zip(texts, words)]
+    often = Counter(p for found in passages for p in found)
     out = []
-    for t in texts:
-        gone = set()
+    for t, w, found in zip(texts, words, passages):
+        gone = {c for i, p in enumerate(found) if often[p] > 1 for c in range(w[i][0], w[i + 50][1])}
         for i in range(len(t) - span + 1):
             if seen[t[i : i + span]] > 1:
                 gone.update(range(i, i + span))
@@ -85,6 +89,10 @@ def test_run_is_brute_force(outcome):
     base, passage, item = prose(100), prose(80), prose(30)
     rows = [(1, base), (2, with_word(base, 30, 70)), (3, prose(30) + " " + passage + " " + prose(20)), (4, prose(20) + " " + passage + " " + prose(25))]
     rows += [(5, prose(40) + " " + item + " " + prose(9)), (6, None), (7, "12 !"), *((10 + k, prose(60, "ab"[k % 2] * 2)) for k in range(20))]
-    assert 0.8 <= similar(rows[0][1], rows[1][1]) < 0.85
+    short = " ".join(sorted(WORDS["aa"], key=len)[:55])  # over 50 words, under 400 bytes
+    rows += [(30, prose(70) + " " + short + " " + prose(30)), (31, prose(80) + "\n" + short + "\t" + prose(60))]
+    assert 0.8 <= similar(rows[0][1], rows[1][1]) < 0.85 and len(short) < 400
     got = outcome(rows, [item])
-    assert got == wanted(rows, [item]) and 2 not in {i for i, _ in got} and 5 not in {i for i, _ in got}
+    assert got == wanted(rows, [item])
+    assert 2 not in {i for i, _ in got} and 5 not in {i for i, _ in got}
+    assert not any(short in t for _, t in got)

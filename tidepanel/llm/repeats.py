@@ -19,13 +19,20 @@ so only contexts of one anchor have to be compared, and the contexts of a text t
 Membership bits are fixed-size bit sets (one hash) that spare the shuffle most of the rows
 that a following join drops anyway; what they let through in vain the join still drops.
 
+Passages of a number of words go the same way: a text is coded, eight bytes of hash for each word,
+and SPAN is eight times that number. A repeated string of the code that starts within a word
+brings along the word before or after it only if that is equal too, but for hashes that collide;
+only words of which all eight bytes are marked are cut out.
+
 Cases: null counts as empty; texts under SPAN bytes keep all. Repeated rows are copies of each
 other. A null doc_id is an id as any other. Extra columns stay, none is read but doc_id and text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +55,34 @@ _FACTOR = 0x9E3779B97F4A7C15 | 1
 #: A 64-bit number for each byte value.
 TABLE = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 PLACE = np.uint64((1 << 31) - 1)
+#: Bytes of a word's code, and words whose codes a Python worker remembers.
+CODE, MEMORY = 8, 300_000
+#: Words as bytes.split() finds them.
+WORD = re.compile(rb"\S+")
+
+
+class Length(NamedTuple):
+    """Bytes of a repeated string, and whether they are those of the texts or of their words' codes."""
+
+    span: int = SPAN
+    words: bool = False
+
+
+def _of(step: Callable, length: Length):
+    return lambda batches: step(batches, length)
+
+
+def word_codes(texts: list[bytes], memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all words, and n + 1 offsets."""
+    words = [t.split() for t in texts]
+    fresh = set().union(*words).difference(memo)
+    if len(memo) + len(fresh) > MEMORY:
+        memo.clear()
+        fresh = set().union(*words)
+    memo.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter((memo[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
+    return flat.view(np.uint8), np.concatenate([[0], np.cumsum(sizes * CODE)])
 
 
 class Rolling:
@@ -81,18 +116,18 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def contexts(data: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, ...]:
     """start, windows, anchor place (from the start) and anchor hash of all contexts of texts that lie side by side."""
     found = []
     n = len(data)
-    for a in range(0, max(n - SPAN + 1, 0), 4 * CHUNK):  # a very long text goes in pieces; that cuts a context, no window
-        part = data[a : a + 4 * CHUNK + SPAN - 1]
+    for a in range(0, max(n - span + 1, 0), 4 * CHUNK):  # a very long text goes in pieces; that cuts a context, no window
+        part = data[a : a + 4 * CHUNK + span - 1]
         grams = Rolling(part).all(GRAM)
-        least = sliding_least(grams >> np.uint64(31) << np.uint64(31) | np.arange(len(grams), dtype=np.uint64), SPAN - GRAM + 1)
+        least = sliding_least(grams >> np.uint64(31) << np.uint64(31) | np.arange(len(grams), dtype=np.uint64), span - GRAM + 1)
         anchor = (least & PLACE).astype(np.int64)
         start = np.arange(len(anchor)) + a
         doc = np.searchsorted(offsets, start, side="right") - 1 if len(offsets) > 2 else np.zeros(len(start), np.int64)
-        inside = start + SPAN <= offsets[doc + 1]
+        inside = start + span <= offsets[doc + 1]
         cut = np.ones(len(start), bool)
         cut[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
         heads = np.flatnonzero(cut & inside)
@@ -121,17 +156,18 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.RecordBatch]:
     """One row for each text with windows: its keys and lists of its contexts, neighbours that are alike as one with their number."""
+    memo: dict[bytes, int] = {}
     for batch in batches:
         for a, b in common.row_chunks(common.utf8(common.column(batch, "text"))[1], CHUNK):
             part = batch.slice(a, b - a)
-            data, offsets = common.utf8(common.column(part, "text"))
-            start, windows, anchor_at, anchor = contexts(data, offsets)
+            data, offsets = word_codes(_rows(part)[1], memo) if length.words else common.utf8(common.column(part, "text"))
+            start, windows, anchor_at, anchor = contexts(data, offsets, length.span)
             if not len(start):
                 continue
             view = memoryview(data)
-            ctx = np.array([xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(start.tolist(), (start + windows + SPAN - 1).tolist())], np.uint64).view(np.int64)
+            ctx = np.array([xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(start.tolist(), (start + windows + length.span - 1).tolist())], np.uint64).view(np.int64)
             doc = np.searchsorted(offsets, start, side="right") - 1
             new = np.ones(len(start), bool)
             new[1:] = (ctx[1:] != ctx[:-1]) | (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1]) | (doc[1:] != doc[:-1])
@@ -192,10 +228,14 @@ def _keyed(shared, wanted: bool | None, names: list[str]):
     return pick
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that a text was asked for; another row under the same key has others, and is passed over."""
+    memo: dict[bytes, int] = {}
     for batch in _parts(batches):
         texts = _rows(batch)[1]
+        if length.words:
+            data, offsets = word_codes(texts, memo)
+            texts = [data[x:y].tobytes() for x, y in zip(offsets, offsets[1:])]
         asked = common.column(batch, "asked")
         values = asked.flatten()
         names = ["anchor", "ctx", "copies", "start", "windows", "anchor_at", "n_contexts"]
@@ -203,7 +243,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.repeat(np.arange(len(texts)), np.diff(asked.offsets.to_numpy()))
         for a in range(0, len(own), 20_000):
             some = slice(a, a + 20_000)
-            found = [texts[i][s : s + w + SPAN - 1] for i, s, w in zip(own[some].tolist(), cols["start"][some].tolist(), cols["windows"][some].tolist())]
+            found = [texts[i][s : s + w + length.span - 1] for i, s, w in zip(own[some].tolist(), cols["start"][some].tolist(), cols["windows"][some].tolist())]
             same = np.array([xxhash.xxh3_64_intdigest(x) for x in found], np.uint64).view(np.int64) == cols["ctx"][some]
             out = pa.RecordBatch.from_arrays([*(pa.array(cols[c][some]) for c in names if c != "start"), pa.array(found, pa.binary())], [*(c for c in names if c != "start"), "bytes"])
             yield out.filter(pa.array(same))
@@ -222,14 +262,14 @@ def _marks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], ["anchor", "ctx", "runs"])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; a shard ends between two anchors."""
     held: list[tuple] = []
     size = 0
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         shard = Shard([r[4] for r in rows])
-        found = shard.repeated(np.array([r[3] for r in rows], np.int64), SPAN)
+        found = shard.repeated(np.array([r[3] for r in rows], np.int64), length.span)
         out = []
         for (anchor, ctx, copies, windows, _), at in zip(rows, shard.starts.tolist()):
             runs = [0, windows] if copies > 1 else _runs(found[at : at + windows])
@@ -259,14 +299,14 @@ def _digest(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
     return common.mix64(hashes + more.astype(np.uint64) * np.uint64(_FACTOR)).view(np.int64)
 
 
-def _core_digests(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _core_digests(batch: pa.RecordBatch, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """context, block and digest of all blocks: windows whose distance to the anchor has the same quotient by CORE share SPAN - CORE + 1 bytes."""
     rolling, first, _, windows, anchor_at = _blocks(batch)
     low, high = (anchor_at - windows + 1) // CORE, anchor_at // CORE
     count = high - low + 1
     own = np.repeat(np.arange(len(first)), count)
     block = np.arange(len(own)) - np.repeat(np.cumsum(count) - count - low, count)
-    return own, block, _digest(rolling.at(first[own] + anchor_at[own] - CORE * block, SPAN - CORE + 1), block)
+    return own, block, _digest(rolling.at(first[own] + anchor_at[own] - CORE * block, span - CORE + 1), block)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +315,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, 4000)
 
 
-def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cores(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        own, _, digest = _core_digests(batch)
+        own, _, digest = _core_digests(batch, length.span)
         cuts = np.searchsorted(own, np.arange(batch.num_rows + 1))
         yield pa.RecordBatch.from_arrays([common.column(batch, "anchor"), common.column(batch, "ctx"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(digest))], ["anchor", "ctx", "cores"])
 
@@ -299,51 +339,51 @@ def _bounds(own: np.ndarray, block: np.ndarray, windows: np.ndarray, anchor_at:
     return np.maximum(last - CORE + 1, 0), np.minimum(last, windows[own] - 1)
 
 
-def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wholes(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.RecordBatch]:
     """For the blocks whose cores are repeated, digests of all that their windows cover."""
     for batch in _slices(batches):
         rolling, first, anchor, windows, anchor_at = _blocks(batch)
-        own, block, digest = _core_digests(batch)
+        own, block, digest = _core_digests(batch, length.span)
         at = _listed(batch, own, digest)
         own, block, digest = own[at], block[at], digest[at]
         low, high = _bounds(own, block, windows, anchor_at)
         value = np.zeros(len(own), np.int64)
         for size in np.unique(high - low):  # CORE sizes at most
             some = high - low == size
-            value[some] = _digest(rolling.at(first[own[some]] + low[some], SPAN + int(size)), (anchor_at[own[some]] - low[some]) * CORE + size)
+            value[some] = _digest(rolling.at(first[own[some]] + low[some], length.span + int(size)), (anchor_at[own[some]] - low[some]) * CORE + size)
         take = pa.array(own)
         yield pa.RecordBatch.from_arrays([common.column(batch, "anchor").take(take), common.column(batch, "ctx").take(take), pa.array(digest), pa.array(value), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32) + 1)], ["anchor", "ctx", "core", "whole", "low", "high"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.RecordBatch]:
     """Digests of the windows in those blocks whose cores are in the column ``repeated``."""
     for batch in _slices(batches):
         rolling, first, anchor, windows, anchor_at = _blocks(batch)
-        own, block, digest = _core_digests(batch)
+        own, block, digest = _core_digests(batch, length.span)
         at = _listed(batch, own, digest)
         own, block = own[at], block[at]
         low, high = _bounds(own, block, windows, anchor_at)
         count = high - low + 1
         start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - low, count)
         own = np.repeat(own, count)
-        value = _digest(rolling.at(first[own] + start, SPAN), anchor_at[own] - start)
+        value = _digest(rolling.at(first[own] + start, length.span), anchor_at[own] - start)
         cuts = pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)), pa.int32())
         yield pa.RecordBatch.from_arrays([common.column(batch, "anchor"), common.column(batch, "ctx"), pa.ListArray.from_arrays(cuts, pa.array(start, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(value))], ["anchor", "ctx", "start", "digest"])
 
 
-def _hot_marks(scratch: common.Scratch, hot: DataFrame) -> DataFrame:
+def _hot_marks(scratch: common.Scratch, hot: DataFrame, length: Length) -> DataFrame:
     """Marks of contexts whose anchors are spread over many shards."""
-    cores = scratch.save(hot.mapInArrow(_cores, "anchor long, ctx long, cores array<long>"), "cores")
+    cores = scratch.save(hot.mapInArrow(_of(_cores, length), "anchor long, ctx long, cores array<long>"), "cores")
     each = cores.select("anchor", "ctx", F.explode("cores").alias("core"))
     twice = each.groupBy("anchor", "core").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "core")
     asked = each.join(twice, ["anchor", "core"], "left_semi").groupBy("anchor", "ctx").agg(F.collect_list("core").alias("repeated"))  # a context has few blocks
-    blocks = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(_wholes, "anchor long, ctx long, core long, whole long, low int, high int"), "blocks")
+    blocks = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(_of(_wholes, length), "anchor long, ctx long, core long, whole long, low int, high int"), "blocks")
     twice = blocks.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("ctx", "core")).alias("one")).filter("n > 1")
     full = blocks.join(twice, ["anchor", "whole"], "left_semi").select("anchor", "ctx", "low", "high")
     rest = blocks.join(twice, ["anchor", "whole"], "left_anti").select("anchor", "ctx", "core")
     # one block of each repeated whole stands for all of them, as windows of other blocks may equal its windows
     asked = rest.unionByName(twice.select("anchor", "one.ctx", "one.core")).groupBy("anchor", "ctx").agg(F.collect_set("core").alias("repeated"))
-    found = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(_windows, "anchor long, ctx long, start array<int>, digest array<long>"), "windows")
+    found = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(_of(_windows, length), "anchor long, ctx long, start array<int>, digest array<long>"), "windows")
     each = found.select("anchor", "ctx", F.explode(F.arrays_zip("start", "digest")).alias("w")).select("anchor", "ctx", F.col("w.start").alias("low"), F.col("w.digest").alias("digest"))
     twice = each.groupBy("anchor", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "digest")
     single = each.join(twice, ["anchor", "digest"], "left_semi").select("anchor", "ctx", "low", (F.col("low") + 1).alias("high"))
@@ -352,7 +392,7 @@ def _hot_marks(scratch: common.Scratch, hot: DataFrame) -> DataFrame:
     return runs.join(copied.select("anchor", "ctx"), ["anchor", "ctx"], "left_anti").unionByName(copied)
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.RecordBatch]:
     """The maximal removed runs of each text from the repeated windows of its contexts."""
     for batch in batches:
         out = []
@@ -364,23 +404,41 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edges.append((base[:, None, None] + runs[None]).reshape(-1, 2))
             edges = np.concatenate(edges)
             edges = edges[np.argsort(edges[:, 0], kind="stable")]
-            reach = np.maximum.accumulate(edges[:, 1] + SPAN - 1)
+            reach = np.maximum.accumulate(edges[:, 1] + length.span - 1)
             new = np.concatenate([[True], edges[1:, 0] > reach[:-1]])
             heads = np.flatnonzero(new)
             out.append(np.stack([edges[heads, 0], reach[np.append(heads[1:], len(edges)) - 1]], 1).ravel().astype(np.int32).tolist())
         yield pa.RecordBatch.from_arrays([common.column(batch, "k1"), common.column(batch, "k2"), pa.array(out, pa.list_(pa.int32()))], ["k1", "k2", "spans"])
 
 
+def _united(text: bytes, spans: list[int] | None, word_spans: list[int] | None) -> list[int]:
+    """Byte offsets of what lies in either: spans of bytes, and spans of the words' codes."""
+    if not word_spans:
+        return spans or []
+    words = [m.span() for m in WORD.finditer(text)]
+    pairs = list(zip(spans[::2], spans[1::2])) if spans else []
+    for x, y in zip(word_spans[::2], word_spans[1::2]):
+        pairs.append((words[-(-x // CODE)][0], words[y // CODE - 1][1]))
+    out: list[int] = []
+    for x, y in sorted(pairs):
+        if out and x <= out[-1]:
+            out[-1] = max(out[-1], y)
+        else:
+            out += x, y
+    return out
+
+
 def _cut(names: list[str]):
     """The texts without their spans."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            spans = common.column(batch, "spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
+            spans, word_spans = (common.column(batch, c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("spans", "word_spans"))
             kept, numbers = [], []
-            for t, s in zip(_rows(batch)[1], spans):
-                pairs = list(zip(s[::2], s[1::2])) if s else []
-                edges = [0, *(s or ()), len(t)]
+            for t, s, w in zip(_rows(batch)[1], spans, word_spans):
+                s = _united(t, s, w)
+                pairs = list(zip(s[::2], s[1::2]))
+                edges = [0, *s, len(t)]
                 kept.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2])))
                 numbers.append((len(t), sum(y - x for x, y in pairs), len(pairs)))
             cols = list(zip(*numbers)) if numbers else [(), (), ()]
@@ -389,10 +447,11 @@ def _cut(names: list[str]):
     return cut
 
 
-def repeated_spans(scratch: common.Scratch, docs: DataFrame) -> DataFrame:
-    """k1, k2 and spans (byte offsets: from, to, from, to ...) of all texts that hold a repeated string."""
+def repeated_spans(scratch: common.Scratch, docs: DataFrame, length: Length = Length()) -> DataFrame:
+    """k1, k2 and spans (byte offsets: from, to, from, to ...) of all texts that hold a repeated string; offsets of the code where ``length`` is words."""
     texts = docs.select("doc_id", "text")
-    rows = scratch.save(texts.filter(F.octet_length("text") >= SPAN).mapInArrow(_scan, "k1 long, k2 long, anchor array<long>, ctx array<long>, start array<int>, windows array<short>, anchor_at array<short>, times array<int>"), "rows")
+    least = 2 * (length.span // CODE) - 1 if length.words else length.span  # bytes of a text that has a window
+    rows = scratch.save(texts.filter(F.octet_length("text") >= least).mapInArrow(_of(_scan, length), "k1 long, k2 long, anchor array<long>, ctx array<long>, start array<int>, windows array<short>, anchor_at array<short>, times array<int>"), "rows")
     anchors = rows.select(F.explode(F.arrays_zip("anchor", "times")).alias("a")).groupBy(F.col("a.anchor").alias("anchor")).agg(F.sum("a.times").alias("n"))
     bits = Bits(anchors.filter("n > 1"), "anchor")
     cand = scratch.save(rows.mapInArrow(_candidates(bits.shared), "k1 long, k2 long, anchor long, ctx long, start int, windows short, anchor_at short, times int"), "cand")
@@ -407,14 +466,14 @@ def repeated_spans(scratch: common.Scratch, docs: DataFrame) -> DataFrame:
     bits = Bits(live.filter("n_contexts > 1").select("k1").distinct(), "k1")
     kind = docs.schema["doc_id"].dataType.simpleString()
     owners = texts.mapInArrow(_keyed(bits.shared, True, ["doc_id", "text"]), f"doc_id {kind}, text string, ` k1` long, ` k2` long").dropDuplicates([" k1", " k2"])
-    fetched = owners.select("doc_id", "text", F.col(" k1").alias("k1")).join(asked, "k1").mapInArrow(_fetch, "anchor long, ctx long, copies long, windows short, anchor_at short, n_contexts long, bytes binary")
+    fetched = owners.select("doc_id", "text", F.col(" k1").alias("k1")).join(asked, "k1").mapInArrow(_of(_fetch, length), "anchor long, ctx long, copies long, windows short, anchor_at short, n_contexts long, bytes binary")
     fetched = scratch.save(fetched, "fetched")
     cold = fetched.filter(F.col("n_contexts") <= HOT).drop("anchor_at", "n_contexts").repartition("anchor").sortWithinPartitions("anchor", "ctx")
-    sharded = scratch.save(cold.mapInArrow(_shards, MARKS), "sharded")
-    hot = _hot_marks(scratch, fetched.filter(F.col("n_contexts") > HOT).drop("n_contexts"))
+    sharded = scratch.save(cold.mapInArrow(_of(_shards, length), MARKS), "sharded")
+    hot = _hot_marks(scratch, fetched.filter(F.col("n_contexts") > HOT).drop("n_contexts"), length)
     marks = alone.unionByName(sharded).unionByName(hot)
     marked = cand.join(marks, ["anchor", "ctx"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "windows", "times", "runs")).alias("marks"))  # of one text
-    return scratch.save(marked.mapInArrow(_spans, "k1 long, k2 long, spans array<int>"), "spans")
+    return scratch.save(marked.mapInArrow(_of(_spans, length), "k1 long, k2 long, spans array<int>"), "spans")
 
 
 def decoded(kept: bytes) -> str:
@@ -422,8 +481,8 @@ def decoded(kept: bytes) -> str:
     return kept.decode("utf-8", "ignore")
 
 
-def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with the repeated strings cut out of text, and n_chars, where there is such a column, brought up to date."""
+def without_repeats(spark: SparkSession, docs: DataFrame, words: int | None = None) -> DataFrame:
+    """docs with the repeated strings (and passages of so many words) cut out of text, and n_chars, where there is such a column, brought up to date."""
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
@@ -436,14 +495,22 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     schema = docs.schema
     for field in schema:
         field.nullable = True
-    out = remove_repeats(spark, docs).mapInArrow(text, schema)
+    out = remove_repeats(spark, docs, words).mapInArrow(text, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes, the bytes that stay."""
+def remove_repeats(spark: SparkSession, docs: DataFrame, words: int | None = None) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes, the bytes that stay.
+
+    words: also removes every passage of so many words that occurs elsewhere too, whatever white space is between them.
+    """
+    if words is not None and words * CODE < 2 * GRAM:
+        raise ValueError(f"a passage has {2 * GRAM // CODE} words at least")
     scratch = common.Scratch(spark)
     spans = repeated_spans(scratch, docs)
+    if words:
+        found = repeated_spans(common.Scratch(spark), docs, Length(words * CODE, True)).withColumnRenamed("spans", "word_spans")
+        spans = scratch.save(spans.join(found, ["k1", "k2"], "full"), "united")
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_bytes")]
     plain = docs.select(*names)
     keyed = plain.selectExpr("*", "0L ` k1`", "0L ` k2`").schema
@@ -453,7 +520,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bits = Bits(spans, "k1")
     whole = plain.mapInArrow(_keyed(bits.shared, False, names), keyed).mapInArrow(_cut(names), out)
     parts = plain.mapInArrow(_keyed(bits.shared, True, names), keyed)
-    found = spans.select(F.col("k1").alias(" k1"), F.col("k2").alias(" k2"), "spans")
-    if "spans" in names:
-        raise ValueError("a column is called spans")
+    found = spans.withColumnsRenamed({"k1": " k1", "k2": " k2"})
+    if {"spans", "word_spans"} & set(names):
+        raise ValueError("a column is called spans or word_spans")
     return parts.join(found, [" k1", " k2"], "left").mapInArrow(_cut(names), out).unionByName(whole)
