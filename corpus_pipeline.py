@@ -16,6 +16,13 @@ from tidepanel.llm import common, decontamination, language_id, near_dups, repea
 LEAST_SCORE = 0.5
 #: Words of the shortest repeated passage that is cut out, whatever its bytes.
 PASSAGE = 51
+#: A number of its own for every row, as ids can be null or repeat.
+ROW = " row"
+
+
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with ROW, written, so that a row has the same number whenever it is read."""
+    return common.Scratch(spark).save(docs.select(F.monotonically_increasing_id().alias(ROW), "*"), "numbered")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +36,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near duplicates (five words, similarity 0.8), one row of it."""
-    gone = near_dups.near_duplicates(spark, docs, threshold=80).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(docs.columns)
+    rows = numbered(spark, docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))  # no two rows have the same, null ids come last
+    found = near_dups.near_duplicates(spark, rows.select(ROW, order.alias("doc_id"), "text"), threshold=80, key=ROW)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id.row").alias("gone"))
+    return rows.join(gone, F.col(ROW) == F.col("gone"), "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +49,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    leaks = decontamination.contaminated(spark, docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti").select(docs.columns)
+    """Drops documents that hold a benchmark item, and no others of their ids."""
+    rows = numbered(spark, docs)
+    leaks = decontamination.contaminated(spark, rows.select(F.col(ROW).alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
+    return rows.join(leaks, F.col(ROW) == F.col("leak"), "left_anti").select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,3 +96,12 @@ def test_run_is_brute_force(outcome):
     assert got == wanted(rows, [item])
     assert 2 not in {i for i, _ in got} and 5 not in {i for i, _ in got}
     assert not any(short in t for _, t in got)
+
+
+def test_run_keeps_one_row_of_a_text_and_drops_only_rows_that_leak(outcome):
+    base, item, other, unnamed = prose(100), prose(30), prose(90), prose(80)
+    rows = [(1, base), (1, base), (1, prose(50)), (None, base), (None, prose(60)), (None, other), (2, other), (None, unnamed), (None, unnamed)]
+    rows += [(None, prose(20) + " " + item + " " + prose(20)), (3, prose(9) + " " + item + " " + prose(30)), (3, prose(55)), *((10 + k, prose(60, "ab"[k % 2] * 2)) for k in range(10))]
+    got = outcome(rows, [item])
+    assert got == wanted(rows, [item])
+    assert {(1, base): 1, (2, other): 1, (None, unnamed): 1, rows[2]: 1, rows[4]: 1, rows[11]: 1}.items() <= got.items()
