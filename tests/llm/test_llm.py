@@ -290,3 +290,26 @@ def test_passages_of_words_are_cut_under_the_span_too(spark, empty, hot, monkeyp
     got = {r["doc_id"]: bytes(r["kept_bytes"]).decode().split() for r in repeats.remove_repeats(spark, docs, words=51).collect()}
     assert len(" ".join(passage)) < repeats.SPAN and got == want and want[0] != texts[0] and want[2] == texts[2]
     assert repeats.remove_repeats(spark, empty, words=51).count() == 0
+
+
+def test_long_items_with_a_run_of_foreign_words_are_found(spark):
+    own = random.Random(9)
+    items = [[f"w{own.randrange(5000)}" for _ in range(n)] for n in (60, 100, 150, 200, 300) for _ in range(4)]
+
+    def similarity(a, b):
+        x, y = (Counter(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in (a, b))
+        return (x & y).total() / (x | y).total()
+
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        for more in (0, 1):  # the longest foreign run that stays at 0.8, and one word more
+            n = max(n for n in range(len(item)) if similarity(item, item[: len(item) - n] + [f"x{i}" for i in range(n)]) >= 0.8) + more
+            copy = item[: len(item) - n] + [f"x{own.randrange(9**9)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(copy)))
+            if similarity(item, copy) >= 0.8:
+                want.add((rows[-1][0], k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    whole, blocks = (Counter((r["doc_id"], r["item_id"], r["similarity"], r["bits_apart"]) for r in decontamination.contaminated(spark, docs, bench, block_items=b).collect()) for b in (10_000, 3))
+    assert {(d, i) for d, i, _, _ in whole} == want and len(want) == len(items)
+    assert whole == blocks

@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 19
 BLOCK_ITEMS = 10_000
 CHUNK = 1 << 21
+#: Words outside the benchmark that a worker remembers.
+MEMORY = 300_000
 #: ASCII punctuation and digits' neighbours count as white space; letters are lower-cased.
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 TABLE = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
@@ -47,12 +50,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(TABLE).split()
 
 
-def shingles(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k words that start at each place."""
-    n = max(len(ids) - k + 1, 0)
+def word_hashes(words) -> np.ndarray:
+    """A hash of each word's own bytes, the same in every block of the benchmark."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words, given by their hashes, that start at each place."""
+    n = max(len(words) - k + 1, 0)
     total = np.full(n, k, np.uint64)
     for j in range(k):
-        total = common.mix64(total * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + n].astype(np.uint64))
+        total = common.mix64(total * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n])
     return total
 
 
@@ -71,7 +79,8 @@ class Index:
     """Items of one block of the benchmark, ready for the workers."""
 
     item_ids: list
-    word_ids: dict[bytes, int]
+    words: dict[bytes, int]  # numbers of all words of the block
+    word_hashes: np.ndarray
     sizes: np.ndarray  # words of each item
     weights: list[dict[int, int]]  # shingle hash -> number
     prints: np.ndarray
@@ -86,13 +95,15 @@ def near_values(bits: int, radius: int) -> np.ndarray:
 
 
 def build_index(items: list[tuple[object, str]]) -> Index:
-    word_ids: dict[bytes, int] = {}
+    known_words: dict[bytes, int] = {}
     ids, sizes, weights, prints = [], [], [], []
     for item_id, text in items:
         words = words_of(text)
         if not words:
             continue
-        hashes = shingles(np.array([word_ids.setdefault(w, len(word_ids)) for w in words], np.int64), min(SHINGLE, len(words)))
+        for w in words:
+            known_words.setdefault(w, len(known_words))
+        hashes = shingles(word_hashes(words), min(SHINGLE, len(words)))
         value, number = np.unique(hashes, return_counts=True)
         ids.append(item_id)
         sizes.append(len(words))
@@ -109,7 +120,7 @@ def build_index(items: list[tuple[object, str]]) -> Index:
             counts = np.bincount(own, minlength=1 << BITS // BLOCKS)
             buckets[size].append((at[np.argsort(own, kind="stable")], np.concatenate([[0], np.cumsum(counts)])))
     known = np.unique(np.fromiter((h for w in weights for h in w), np.uint64))
-    return Index(ids, word_ids, sizes_, weights, prints, known, buckets)
+    return Index(ids, known_words, word_hashes(known_words), sizes_, weights, prints, known, buckets)
 
 
 def block_value(prints: np.ndarray, block: int) -> np.ndarray:
@@ -142,28 +153,28 @@ def similarity(window: np.ndarray, weights: dict[int, int]) -> float:
     return both / (len(window) + sum(weights.values()) - both)
 
 
-def known_at(index: Index, ids: np.ndarray, k: int, places: np.ndarray) -> np.ndarray:
+def known_at(index: Index, words: np.ndarray, k: int, places: np.ndarray) -> np.ndarray:
     """Those of the places at which k words start that are a shingle of the benchmark."""
     total = np.full(len(places), k, np.uint64)
     for j in range(k):
-        total = common.mix64(total * np.uint64(0x9E3779B97F4A7C15) + ids[places + j].astype(np.uint64))
+        total = common.mix64(total * np.uint64(0x9E3779B97F4A7C15) + words[places + j])
     at = np.minimum(np.searchsorted(index.known, total), len(index.known) - 1)
     return places[index.known[at] == total]
 
 
-def find(index: Index, ids: np.ndarray, theta: float) -> list[tuple[int, int, int, float, int]]:
-    """(item, start, words, similarity, bits apart) of the best window of each item in one document; ids: -1 for other words."""
+def find(index: Index, words: np.ndarray, theta: float) -> list[tuple[int, int, int, float, int]]:
+    """(item, start, words, similarity, bits apart) of the best window of each item in one document; words: their hashes."""
     best: dict[int, tuple] = {}
     hashed: dict[int, tuple] = {}
     for size in np.unique(index.sizes):
         size = int(size)
         k = min(SHINGLE, size)
-        if len(ids) < size:
+        if len(words) < size:
             continue
         if k not in hashed:
-            values = shingles(ids, k)
+            values = shingles(words, k)
             place = np.minimum(np.searchsorted(index.known, values), len(index.known) - 1)
-            hashed[k] = values, np.concatenate([[0], np.cumsum((index.known[place] == values) & (ids[: len(values)] >= 0))])
+            hashed[k] = values, np.concatenate([[0], np.cumsum(index.known[place] == values)])
         hashes, total = hashed[k]
         span = size - k + 1  # shingles of a window
         enough = np.flatnonzero(total[span:] - total[:-span] >= theta * span)
@@ -182,17 +193,24 @@ def _scan(shared, theta: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         lengths = np.unique(np.minimum(index.sizes, SHINGLE)).tolist()
+        numbers, hashes = dict(index.words), index.word_hashes  # the block's words, then others met so far
         for batch in batches:
             text, doc_id = common.column(batch, "text"), common.column(batch, "doc_id")
             rows, found = [], []
             for a, b in common.row_chunks(common.utf8(text)[1], CHUNK):
                 docs = [words_of(t) for t in text.slice(a, b - a).to_pylist()]
                 sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-                get = index.word_ids.get
-                flat = np.fromiter((get(w, -1) for ws in docs for w in ws), np.int64, int(sizes.sum()))
+                fresh = set().union(*docs).difference(numbers)
+                if len(numbers) - len(index.words) + len(fresh) > MEMORY:
+                    numbers, hashes = dict(index.words), index.word_hashes
+                    fresh = set().union(*docs).difference(numbers)
+                numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh))))
+                hashes = np.concatenate([hashes, word_hashes(fresh)])
+                ids = np.fromiter((numbers[w] for ws in docs for w in ws), np.int64, int(sizes.sum()))
+                flat = hashes[ids]
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 ahead = np.zeros(len(flat) + 1, np.int64)  # known words in a row from each place
-                ahead[:-1] = flat >= 0
+                ahead[:-1] = ids < len(index.words)
                 places = np.flatnonzero(ahead)
                 hits = []
                 for k in range(1, SHINGLE + 1):
