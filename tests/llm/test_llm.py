@@ -246,16 +246,23 @@ def test_chat_windows_read_back(spark):
 
 
 def test_audit_finds_the_damage_and_nothing_else(spark):
-    rows = [(i, f"http://h/{i % 3}", "<p>" + prose(RANDOM.randint(0, 400))) for i in range(300)] + [(7, None, None), (None, "u", ""), *[(9, "same", "page")] * 40]
-    replica = fixity.records(spark.createDataFrame(rows, "page_id long, url string, html string"), 100).cache()
-    broken = fixity.damaged(replica, 20).cache()
-    a = {(r["file"], r["offset"]): (r["record"], r["length"], r["copies"]) for r in replica.collect()}
-    b = {(r["file"], r["offset"]): (r["record"], r["length"], r["copies"]) for r in broken.collect()}
-    got = {(r["file"], r["offset"]) for r in fixity.audit(spark, replica, broken, 2048, 4).collect()}
-    assert got == {k for k in a if a[k] != b.get(k)} and got
-    assert fixity.audit(spark, replica, replica).count() == 0
-    assert fixity.audit(spark, replica.limit(0), replica.limit(0)).count() == 0
-    assert fixity.audit(spark, replica, replica.limit(0), 2048, 4).count() == len(a)
+    rows = [(i, f"http://h/{i % 3}", "<p>" + prose(RANDOM.randint(0, 400)), "clash") for i in range(300)] + [(7, None, None, "x"), (None, "u", "", "x"), *[(9, "same", "page", "x")] * 40]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, file string")
+    laid = fixity.laid_out(fixity.damaged(fixity.records(pages), 20), {"whole": "record", "harmed": "held"}, 100).cache()
+    a, b = (fixity.leaves(laid, c).cache() for c in ("whole", "harmed"))
+    assert laid.agg(F.sum("copies")).first()[0] == len(rows)
+    for file in {r["file"] for r in laid.collect()}:  # records lie one behind the other
+        at = 0
+        for r in sorted(laid.filter(F.col("file") == file).collect(), key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"] * r["copies"]
+    harmed = {(r["file"], r["offset"]) for r in laid.collect() if r["whole"] != r["harmed"]}
+    found = fixity.audit(spark, a, b, 2048, 4).collect()
+    assert {(r["file"], r["offset"]) for r in found} == harmed and {r["hash_b"] is None for r in found} == {True, False}
+    assert fixity.audit(spark, a, a).count() == 0
+    assert fixity.audit(spark, a.limit(0), a.limit(0)).count() == 0
+    assert fixity.audit(spark, a, a.limit(0), 2048, 4).count() == a.count()
+    assert fixity.laid_out(fixity.damaged(fixity.records(pages.limit(0))), {"whole": "record"}).count() == 0
 
 
 def test_a_document_without_an_id_links_its_neighbours(spark):

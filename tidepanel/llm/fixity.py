@@ -3,9 +3,12 @@
 Records are laid out in files: a page's file comes from a digest of the page, its offset from the
 lengths of the records before it. A replica's records are hashed into leaves; the leaves whose
 offsets lie in one range of RANGE bytes make a node, FANOUT neighbouring ranges a node above,
-and so on up to one root for each file. The audit compares the roots of two replicas, joins
+and so on up to one root for each file. The audit compares the roots of two replicas, follows
 the children of unequal nodes only, level by level, and so ends at the damaged records.
 
+Records are hashed where they are read; only their lengths and digests are laid out, shuffled
+and written, a few dozen bytes a record whatever the pages' sizes.
+
 Rows that are alike in all three columns are one leaf with their number, ``copies``; the leaf's
 hash covers that number, so one lost copy shows.
 
@@ -15,6 +18,8 @@ Without pages there are no files. Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,71 +32,81 @@ HEAD = ("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: ", "\r\nWARC-Record
 BLANK = "\r\n\r\n"
 
 
-def records(pages: DataFrame, records_a_file: int = RECORDS) -> DataFrame:
-    """file, offset, length (of one copy), copies, page_id and record (text) of all pages."""
+def records(pages: DataFrame) -> DataFrame:
+    """page_id and record (text) of every row of pages."""
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     record = F.concat(F.lit(HEAD[0]), url, F.lit(HEAD[1]), name, F.lit(HEAD[2]), F.octet_length(html).cast("string"), F.lit(BLANK), html, F.lit(BLANK))
-    plain = pages.select("page_id", record.alias("record")).withColumn("mark", F.md5("record"))
-    total = plain.count()
-    files = max(1, -(-total // records_a_file))
+    return pages.select("page_id", record.alias("record"))
+
+
+def damaged(records: DataFrame, one_in: int = 100) -> DataFrame:
+    """records with held: what a damaged replica holds of the record, by the record's digest: nothing, a changed byte, a cut end, in equal parts."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("damage"), "record")), 1, 8), 16, 10).cast("long")
+    hit, kind = draw % one_in == 0, F.floor(draw / one_in) % 3
+    lost = F.when(hit & (kind == 0), F.lit(None).cast("string"))
+    held = lost.when(hit & (kind == 1), F.concat(F.lit("x"), F.expr("substring(record, 2)"))).when(hit & (kind == 2), F.expr("substring(record, 1, length(record) - 5)")).otherwise(F.col("record"))
+    return records.withColumn("held", held)
+
+
+def laid_out(records: DataFrame, replicas: dict[str, str], records_a_file: int = RECORDS) -> DataFrame:
+    """file, offset, length (of one copy), copies, page_id, and for each replica the digest of what it holds of a record, null for nothing.
+
+    replicas: the digests' names, and the columns of records with what the replicas hold.
+    """
+    digests = [F.sha2(F.col(held), 256).alias(name) for name, held in replicas.items()]
+    plain = records.select("page_id", F.md5("record").alias("mark"), F.octet_length("record").cast("long").alias("length"), *digests)
+    alike = plain.groupBy("mark").agg(F.min("page_id").alias("page_id"), F.min("length").alias("length"), F.count("*").alias("copies"), *(F.min(c).alias(c) for c in replicas))
+    files = F.greatest(F.lit(1), F.ceil(F.lit(records.count()) / records_a_file))
     number = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") % files
-    alike = plain.groupBy("mark").agg(F.first("page_id").alias("page_id"), F.first("record").alias("record"), F.count("*").alias("copies"))
-    sized = alike.withColumn("file", number).withColumn("length", F.octet_length("record").cast("long"))
     before = Window.partitionBy("file").orderBy("mark").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("offset", F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0)).cast("long")).select("file", "offset", "length", "copies", "page_id", "record")
+    offset = F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0)).cast("long")
+    return alike.withColumn("file", number).withColumn("offset", offset).select("file", "offset", "length", "copies", "page_id", *replicas)
 
 
-def leaves(replica: DataFrame) -> DataFrame:
-    """file, offset and hash of every record of a replica (file, offset, length, copies, record)."""
-    return replica.select("file", "offset", F.sha2(F.concat_ws(":", "length", "copies", F.sha2("record", 256)), 256).alias("hash"))
+def leaves(laid: DataFrame, digest: str) -> DataFrame:
+    """file, offset and hash of every record that a replica holds."""
+    return laid.filter(F.col(digest).isNotNull()).select("file", "offset", F.sha2(F.concat_ws(":", "length", "copies", digest), 256).alias("hash"))
 
 
-def _above(nodes: DataFrame, place: Column) -> DataFrame:
+def _above(nodes: DataFrame, width: int) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("place", "hash")))  # FANOUT children, or the records of one range
-    return nodes.groupBy("file", place.alias("up")).agg(ordered.alias("kids")).select("file", F.col("up").alias("place"), F.sha2(F.array_join(F.transform("kids", lambda k: F.concat_ws("=", k.place, k.hash)), ","), 256).alias("hash"))
+    up = nodes.groupBy("side", "file", F.floor(F.col("place") / width).alias("up")).agg(ordered.alias("kids"))
+    return up.select("side", "file", F.col("up").alias("place"), F.sha2(F.array_join(F.transform("kids", lambda k: F.concat_ws("=", k.place, k.hash)), ","), 256).alias("hash"))
 
 
-def tree(scratch: common.Scratch, replica: DataFrame, name: str, levels: int | None = None, range_bytes: int = RANGE, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels (file, place, hash) from the records up to the roots; written, so that an audit reads only what it needs."""
-    level = scratch.save(leaves(replica).withColumnRenamed("offset", "place"), f"{name}-0")
-    found = [level]
-    while True:
-        level = scratch.save(_above(level, F.floor(F.col("place") / (range_bytes if len(found) == 1 else fanout))), f"{name}-{len(found)}")
-        found.append(level)
-        if levels is None and (level.agg(F.max("place")).first()[0] or 0) == 0 or levels is not None and len(found) > levels:
-            return found
+def trees(scratch: common.Scratch, replicas: dict[str, DataFrame], range_bytes: int = RANGE, fanout: int = FANOUT) -> list[DataFrame]:
+    """Levels (side, file, place, hash) from the records up to the roots of all replicas, of one height; written, so that an audit reads only what it needs.
 
+    replicas: by side, rows (file, offset, hash).
+    """
+    sides = [df.select(F.lit(side).alias("side"), "file", F.col("offset").alias("place"), "hash") for side, df in replicas.items()]
+    found = [scratch.save(reduce(DataFrame.unionByName, sides), "level-0")]
+    span, width = found[0].agg(F.max("place")).first()[0] or 0, range_bytes
+    while len(found) < 2 or span:
+        found.append(scratch.save(_above(found[-1], width), f"level-{len(found)}"))
+        span, width = span // width, fanout
+    return found
 
-def audit(spark: SparkSession, replica_a: DataFrame, replica_b: DataFrame, range_bytes: int = RANGE, fanout: int = FANOUT) -> DataFrame:
-    """file, offset, hash_a and hash_b of the records in which two replicas differ; a hash is null where a replica has no such record."""
+
+def audit(spark: SparkSession, leaves_a: DataFrame, leaves_b: DataFrame, range_bytes: int = RANGE, fanout: int = FANOUT) -> DataFrame:
+    """file, offset, hash_a and hash_b of the records in which two replicas (file, offset, hash) differ; a hash is null where a replica has no such record."""
     scratch = common.Scratch(spark)
-    a = tree(scratch, replica_a, "a", None, range_bytes, fanout)
-    b = tree(scratch, replica_b, "b", None, range_bytes, fanout)
-    while len(a) != len(b):  # the shorter tree grows by roots of one child
-        short, name = (a, "a") if len(a) < len(b) else (b, "b")
-        short.append(scratch.save(_above(short[-1], F.floor(F.col("place") / fanout)), f"{name}-{len(short)}"))
+    levels = trees(scratch, {"a": leaves_a, "b": leaves_b}, range_bytes, fanout)
     open_ = None
-    for k in range(len(a) - 1, -1, -1):
-        left, right = (x[k].select("file", "place", F.col("hash").alias(f"hash_{c}")) for x, c in ((a, "a"), (b, "b")))
+    for k in range(len(levels) - 1, -1, -1):
+        nodes = levels[k]
         if open_ is not None:
             up = F.floor(F.col("place") / (range_bytes if k == 0 else fanout))
-            left, right = (x.withColumn("up", up).join(open_, ["file", "up"], "left_semi").drop("up") for x in (left, right))
-        differ = left.join(right, ["file", "place"], "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+            nodes = nodes.withColumn("up", up).join(open_, ["file", "up"], "left_semi")
+        both = nodes.groupBy("file", "place").agg(*(F.max(F.when(F.col("side") == s, F.col("hash"))).alias(f"hash_{s}") for s in "ab"))
+        differ = both.filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
         if k == 0:
             return differ.select("file", F.col("place").alias("offset"), "hash_a", "hash_b")
         open_ = scratch.save(differ.select("file", F.col("place").alias("up")), f"open-{k}")
     raise AssertionError("a tree has at least two levels")
 
 
-def damaged(replica: DataFrame, one_in: int = 100) -> DataFrame:
-    """A copy of a replica with planted damage by the records' digests: a lost record, a changed byte, a cut end, in equal parts."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("damage"), "record")), 1, 8), 16, 10).cast("long")
-    hit, kind = draw % one_in == 0, F.floor(draw / one_in) % 3
-    changed = F.when(hit & (kind == 1), F.concat(F.lit("x"), F.expr("substring(record, 2)"))).when(hit & (kind == 2), F.expr("substring(record, 1, length(record) - 5)")).otherwise(F.col("record"))
-    return replica.filter(~(hit & (kind == 0))).withColumn("record", changed)
-
-
 HEAD_SQL = [h.replace("\r\n", "' || chr(13) || chr(10) || '") for h in HEAD]
 BLANK_SQL = "chr(13) || chr(10) || chr(13) || chr(10)"
 SQL = f"""

@@ -61,9 +61,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC records against a replica with planted damage: every damaged record, found from the roots."""
-    replica = Scratch(spark).save(fixity.records(table(spark, sf_dir, "pages")), "replica")
-    found = fixity.audit(spark, replica, fixity.damaged(replica))
-    return found.join(replica.drop("record"), ["file", "offset"]).select("file", "offset", "page_id", "length", "copies", "hash_a", "hash_b")
+    pages = fixity.damaged(fixity.records(table(spark, sf_dir, "pages")))
+    laid = Scratch(spark).save(fixity.laid_out(pages, {"whole": "record", "harmed": "held"}), "laid")
+    found = fixity.audit(spark, fixity.leaves(laid, "whole"), fixity.leaves(laid, "harmed"))
+    return found.join(laid.drop("whole", "harmed"), ["file", "offset"]).select("file", "offset", "page_id", "length", "copies", "hash_a", "hash_b")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
