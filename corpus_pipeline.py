@@ -57,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the sampled pieces, the text they decode to, and whether that is the document's text."""
-    back = sampled_pieces.decode(spark, sampled_pieces.encode(spark, docs.select("doc_id", "text")))
+    back = sampled_pieces.round_trip(spark, docs.select("doc_id", "text"))
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return back.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").alias("text"), same.alias("lossless"))
 

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import chat_windows, class_lm, cover_tree, decontamination, fixity, language_id, near_dups, repeats, sampled_pieces, token_counts
+from tidepanel.llm import chat_windows, class_lm, cover_tree, decontamination, fixity, language_id, lattice, near_dups, repeats, sampled_pieces, token_counts
 from tidepanel.llm.suffix_array import Shard
 
 SCHEMA = "doc_id long, text string, lang string, item_id string"  # item_id clashes with a name the operators use
@@ -172,9 +172,76 @@ def test_pieces_decode_to_the_text_and_repeat(spark, docs, empty):
     other = {(r["doc_id"], tuple(r["piece_ids"])) for r in sampled_pieces.encode(spark, docs, seed=1).collect()}
     assert first == again and all(d == (t or "") for _, t, _, d in first)
     assert other != {(i, p) for i, _, p, _ in first}
+    assert {(r["doc_id"], r["text"], tuple(r["piece_ids"]), r["decoded"]) for r in sampled_pieces.round_trip(spark, docs).collect()} == first
     assert sampled_pieces.encode(spark, empty).count() == 0
 
 
+def paths(vocabulary, text):
+    """All segmentations of a short text as tuples of arcs (piece, or a code point from size on)."""
+    if not text:
+        return [()]
+    arcs = [(n, i) for n in range(1, len(text) + 1) for i in range(vocabulary.size) if vocabulary.lengths[i] == n and vocabulary.bytes[i] == text[:n].encode()]
+    if not any(n == 1 for n, _ in arcs):
+        arcs.append((1, vocabulary.size + ord(text[0])))
+    return [(i, *rest) for n, i in arcs for rest in paths(vocabulary, text[n:])]
+
+
+UNITS = [" the", "tion", "  in\r", "ñandú漢", "aaaaaa", "\n\n", "qzx7", " \u2581a"]
+
+
+def test_forward_sums_are_those_of_all_segmentations():
+    import numpy as np
+
+    vocabulary = lattice.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    scores = np.where(vocabulary.usable, np.log(np.random.default_rng(2).random(vocabulary.size)), -np.inf)
+    one = lambda arc: scores[arc] if arc < vocabulary.size else scores[vocabulary.spelt(arc - vocabulary.size)].sum()
+    net = lattice.build(vocabulary, UNITS)
+    arcs = lattice.arc_scores(vocabulary, net, scores)
+    got = lattice.totals(net, lattice.forward(net, arcs))
+    weights = np.arange(1.0, len(UNITS) + 1)
+    uses = np.zeros(vocabulary.size)
+    for k, unit in enumerate(UNITS):
+        found = paths(vocabulary, unit)
+        values = np.array([sum(map(one, p)) for p in found])
+        assert abs(got[k] - np.logaddexp.reduce(values)) < 1e-9
+        for p, v in zip(found, np.exp(values - got[k])):
+            for arc in p:
+                np.add.at(uses, arc if arc < vocabulary.size else vocabulary.spelt(arc - vocabulary.size), v * weights[k])
+    assert np.allclose(lattice.expected_counts(vocabulary, net, arcs, weights), uses)
+    assert net.cut.sum() > 2 * len(UNITS)  # some stretches are shorter than their units
+
+
+def test_shares_of_samples_are_the_weights_of_paths(monkeypatch):
+    import numpy as np
+
+    vocabulary = lattice.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    scores = sampled_pieces.piece_scores(vocabulary, 0.5)
+    one = lambda arc: scores[arc] if arc < vocabulary.size else scores[vocabulary.spelt(arc - vocabulary.size)].sum()
+    spelt = lambda arc: (arc,) if arc < vocabulary.size else tuple(vocabulary.spelt(arc - vocabulary.size).tolist())
+    n = 20_000
+    monkeypatch.setattr(sampled_pieces, "MEMORY", 10)  # forgets in between
+    sampler = sampled_pieces.Sampler(vocabulary, scores)
+    for unit in (" the", "tion", "ñandú漢"):
+        weight = {sum(map(spelt, p), ()): math.exp(sum(map(one, p))) for p in paths(vocabulary, unit)}
+        ids, offsets = sampled_pieces.encode_chunk(sampler, [unit] * n, np.arange(n, dtype=np.uint64))
+        seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:]))
+        assert set(seen) <= set(weight)
+        for p, w in weight.items():
+            share = w / sum(weight.values())
+            assert abs(seen[p] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-9
+
+
+def test_long_words_and_blanks_are_not_cut(spark):
+    own = random.Random(4)
+    texts = ["".join(own.choice("abcdefg漢+/") for _ in range(5000)), " " * 300 + "end", "\n" * 400 + " x", "a" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sampled_pieces.round_trip(spark, docs, sharpness=3.0).collect()}
+    assert all(got[i]["decoded"] == t and got[i]["lossless"] for i, t in enumerate(texts))
+    vocabulary = lattice.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    net = lattice.build(vocabulary, [" " + texts[0]])
+    assert len(net.cut) == 5002 and net.step.max() < 5001
+
+
 def test_class_model_sums_to_one_and_base_is_the_formula(spark, docs, empty):
     tokens = [(i, words_of(t) + [b"\n"]) for i, t in all_rows()]
     seen = Counter(w for i, ws in tokens if zlib.crc32(str(i).encode()) % 10 for w in ws)

@@ -14,7 +14,6 @@ document is ``und``. Other columns of the input, whatever their names, are ignor
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -29,19 +28,18 @@ from pyspark.sql import functions as F
 from . import common, lattice
 
 LETTER = regex.compile(r"\p{L}")
-CUT = re.compile(r"\S{1,%d}" % (lattice.MAX_UNIT - 1))
 #: Expected number of labelled documents sampled for each language.
 TRAIN_DOCS = 1000
 ROUNDS = 3
 #: Added to each piece's expected count.
 FLOOR = 0.01
-#: Words remembered by a Python worker before it starts afresh.
-MEMORY = 300_000
+#: Words, and code points of words, remembered by a Python worker before it starts afresh.
+MEMORY, POINTS = 300_000, 1 << 23
 CHUNK = 1 << 21
 
 
 def words_of(text: str) -> list[str]:
-    return CUT.findall(text.lower())
+    return text.lower().split()
 
 
 def held_out() -> F.Column:
@@ -120,6 +118,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], model_path: st
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice.pieces(model_path)
         index: dict[str, int] = {}
+        held = 0
         values = np.zeros((0, len(langs)))
         for batch in batches:
             text = common.column(batch, "text")
@@ -130,14 +129,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], model_path: st
                 some = common.texts_of(text, a, b)
                 words = [words_of(t) if langs and LETTER.search(t) else [] for t in some]
                 fresh = set().union(*words).difference(index)
-                if len(index) + len(fresh) > MEMORY:
-                    index, values = {}, values[:0]
+                if len(index) + len(fresh) > MEMORY or held > POINTS:
+                    index, values, held = {}, values[:0], 0
                     fresh = set().union(*words)
                 if fresh:
                     new = sorted(fresh)
+                    held += sum(map(len, new))
                     index.update(zip(new, range(len(index), len(index) + len(new))))
                     net = lattice.build(own, [" " + w for w in new])
-                    values = np.concatenate([values, lattice.forward(net, lattice.arc_scores(own, net, shared.value))[net.last]])
+                    values = np.concatenate([values, lattice.totals(net, lattice.forward(net, lattice.arc_scores(own, net, shared.value)))])
                 sizes = np.fromiter(map(len, words), np.int64, len(words))
                 ids = np.fromiter(map(index.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
                 full = np.flatnonzero(sizes)

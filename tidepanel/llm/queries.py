@@ -14,7 +14,7 @@ from .decontamination import contaminated
 from .language_id import language_id
 from .near_dups import near_duplicates
 from .repeats import remove_repeats
-from .sampled_pieces import decode, encode
+from .sampled_pieces import round_trip
 from .token_counts import token_counts
 
 
@@ -35,8 +35,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = decode(spark, encoded)
+    back = round_trip(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("lossless"))
 
