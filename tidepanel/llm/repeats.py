@@ -16,7 +16,7 @@ so only contexts of one anchor have to be compared, and the contexts of a text t
    cores), of all that the block covers; and for blocks of which only the core occurs twice, of
    each window.
 
-Membership bits are fixed-size bit sets (one hash) that spare the shuffle most of the rows
+Membership bits are bit sets (one hash) that spare the shuffle most of the rows
 that a following join drops anyway; what they let through in vain the join still drops.
 
 Passages of a number of words go the same way: a text is coded, eight bytes of hash for each word,
@@ -48,9 +48,10 @@ SPAN, GRAM = 400, 64
 HOT = 256
 CORE = 32
 #: Bytes of a shard; with one anchor's contexts more it stays under 2 ** 21.
-SHARD_BYTES = 1_000_000
-CHUNK = 1 << 20
-BITS = 27
+SHARD_BYTES = 1 << 18
+CHUNK = 1 << 19
+#: Bits of a bit set for each of its numbers, and the exponent of the most bits.
+ROOM, MOST_BITS = 8, 30
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 #: A 64-bit number for each byte value.
 TABLE = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -120,8 +121,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> tuple[n
     """start, windows, anchor place (from the start) and anchor hash of all contexts of texts that lie side by side."""
     found = []
     n = len(data)
-    for a in range(0, max(n - span + 1, 0), 4 * CHUNK):  # a very long text goes in pieces; that cuts a context, no window
-        part = data[a : a + 4 * CHUNK + span - 1]
+    for a in range(0, max(n - span + 1, 0), 2 * CHUNK):  # a very long text goes in pieces; that cuts a context, no window
+        part = data[a : a + 2 * CHUNK + span - 1]
         grams = Rolling(part).all(GRAM)
         least = sliding_least(grams >> np.uint64(31) << np.uint64(31) | np.arange(len(grams), dtype=np.uint64), span - GRAM + 1)
         anchor = (least & PLACE).astype(np.int64)
@@ -148,11 +149,11 @@ def _rows(batch: pa.RecordBatch) -> tuple[list, list[bytes]]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most 4 * CHUNK bytes of text, so that few copies of texts are alive at once."""
+    """The same rows in batches of at most 2 * CHUNK bytes of text, so that few copies of texts are alive at once."""
     for batch in batches:
         if not batch.num_rows:
             yield batch
-        for a, b in common.row_chunks(common.utf8(common.column(batch, "text"))[1], 4 * CHUNK):
+        for a, b in common.row_chunks(common.utf8(common.column(batch, "text"))[1], 2 * CHUNK):
             yield batch.slice(a, b - a)
 
 
@@ -183,20 +184,23 @@ def _scan(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.Reco
 
 
 class Bits:
-    """A fixed-size bit set of 64-bit numbers, for tests of membership that may be wrong only by a yes."""
+    """A bit set of 64-bit numbers, sized by their count, for tests of membership that may be wrong only by a yes."""
 
-    def __init__(self, numbers: DataFrame, column: str):
-        place = F.shiftrightunsigned(F.col(column), 64 - BITS) + 1
+    def __init__(self, scratch: common.Scratch, numbers: DataFrame, column: str):
+        numbers = scratch.save(numbers.select(F.col(column).alias("number")), f"bits-{column}")
+        bits = min(MOST_BITS, max(16, (ROOM * numbers.count()).bit_length()))
+        place = F.shiftrightunsigned("number", 64 - bits) + 1
         rows = numbers.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("place"))
-        got = rows.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).collect()  # 2 ** BITS bits at most
-        data = np.zeros((1 << BITS - 15) * 4096, np.uint8)
+        got = rows.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).toLocalIterator()  # 2 ** MOST_BITS bits at most
+        data = np.zeros(1 << bits - 3, np.uint8)
         for r in got:
             data[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-        self.shared = numbers.sparkSession.sparkContext.broadcast(data)
+        self.shared = scratch.spark.sparkContext.broadcast(data)
+        scratch.drop(f"bits-{column}")
 
     @staticmethod
     def have(data: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        place = (np.ascontiguousarray(numbers).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+        place = (np.ascontiguousarray(numbers).view(np.uint64) >> np.uint64(64 - (len(data).bit_length() + 2))).astype(np.int64)
         return data[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
 
 
@@ -277,7 +281,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.Re
                 out.append((anchor, ctx, runs))
         return _marks(out)
 
-    for batch in batches:
+    for batch in _slices(batches):
         for row in zip(*(common.column(batch, c).to_pylist() for c in ("anchor", "ctx", "copies", "windows", "bytes"))):
             if size > SHARD_BYTES and row[0] != held[-1][0]:
                 yield solve(held)
@@ -453,7 +457,7 @@ def repeated_spans(scratch: common.Scratch, docs: DataFrame, length: Length = Le
     least = 2 * (length.span // CODE) - 1 if length.words else length.span  # bytes of a text that has a window
     rows = scratch.save(texts.filter(F.octet_length("text") >= least).mapInArrow(_of(_scan, length), "k1 long, k2 long, anchor array<long>, ctx array<long>, start array<int>, windows array<short>, anchor_at array<short>, times array<int>"), "rows")
     anchors = rows.select(F.explode(F.arrays_zip("anchor", "times")).alias("a")).groupBy(F.col("a.anchor").alias("anchor")).agg(F.sum("a.times").alias("n"))
-    bits = Bits(anchors.filter("n > 1"), "anchor")
+    bits = Bits(scratch, anchors.filter("n > 1"), "anchor")
     cand = scratch.save(rows.mapInArrow(_candidates(bits.shared), "k1 long, k2 long, anchor long, ctx long, start int, windows short, anchor_at short, times int"), "cand")
     scratch.drop("rows")
     distinct = scratch.save(
@@ -463,7 +467,7 @@ def repeated_spans(scratch: common.Scratch, docs: DataFrame, length: Length = Le
     live = scratch.save(distinct.join(sizes, "anchor").select("anchor", "ctx", "copies", "n_contexts", "at.*"), "live")
     alone = live.filter("n_contexts = 1").select("anchor", "ctx", F.array(F.lit(0), F.col("windows").cast("int")).alias("runs"))
     asked = live.filter("n_contexts > 1").groupBy("k1").agg(F.collect_list(F.struct("anchor", "ctx", "copies", "start", "windows", "anchor_at", "n_contexts")).alias("asked"))  # of one text
-    bits = Bits(live.filter("n_contexts > 1").select("k1").distinct(), "k1")
+    bits = Bits(scratch, live.filter("n_contexts > 1").select("k1").distinct(), "k1")
     kind = docs.schema["doc_id"].dataType.simpleString()
     owners = texts.mapInArrow(_keyed(bits.shared, True, ["doc_id", "text"]), f"doc_id {kind}, text string, ` k1` long, ` k2` long").dropDuplicates([" k1", " k2"])
     fetched = owners.select("doc_id", "text", F.col(" k1").alias("k1")).join(asked, "k1").mapInArrow(_of(_fetch, length), "anchor long, ctx long, copies long, windows short, anchor_at short, n_contexts long, bytes binary")
@@ -517,7 +521,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, words: int | None = Non
     out = plain.selectExpr("*", "0L n_bytes", "0L n_removed", "0L n_spans", "cast('' as binary) kept_bytes").schema
     for field in [*keyed, *out]:
         field.nullable = True
-    bits = Bits(spans, "k1")
+    bits = Bits(scratch, spans, "k1")
     whole = plain.mapInArrow(_keyed(bits.shared, False, names), keyed).mapInArrow(_cut(names), out)
     parts = plain.mapInArrow(_keyed(bits.shared, True, names), keyed)
     found = spans.withColumnsRenamed({"k1": " k1", "k2": " k2"})

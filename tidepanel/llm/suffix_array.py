@@ -20,8 +20,8 @@ class Shard:
         self.data = np.frombuffer(b"\0".join(strings) + b"\0" * 9, np.uint8)
         self.n = int(self.sizes.sum()) + len(strings)
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
-        self.owner = np.repeat(np.arange(len(strings)), self.sizes + 1)
-        self.end = (self.starts + self.sizes)[self.owner]  # place of the terminator
+        self.owner = np.repeat(np.arange(len(strings), dtype=np.int32), self.sizes + 1)
+        self.end = np.repeat((self.starts + self.sizes).astype(np.int32), self.sizes + 1)  # place of the terminator
         words = np.zeros(self.n, np.uint64)
         for j in range(8):
             words = words << np.uint64(8) | self.data[j : j + self.n]
@@ -34,8 +34,8 @@ class Shard:
         refined by the ranks of what follows h and 2 h bytes on, which triples h; places that
         stand alone leave. Terminators are unique, so in the end every place stands alone.
         """
-        place = np.arange(self.n)
-        rank = np.empty(self.n, np.int64)
+        place = np.arange(self.n, dtype=np.int32)
+        rank = np.empty(self.n, np.int32)
         ends = place == self.end
         rank[ends] = np.arange(int(ends.sum()))
         todo = place[~ends]
@@ -43,12 +43,12 @@ class Shard:
         key = (self.words[todo] >> np.uint64(8 * (8 - FIRST)) << np.uint64(8)).astype(np.uint64)
         blank = ((FIRST - left + 1) * 8).astype(np.uint64)  # bytes past the terminator don't count
         key = (key >> blank << blank) | left.astype(np.uint64)
-        old = np.full(len(todo), int(ends.sum()), np.int64)
+        old = np.full(len(todo), int(ends.sum()), np.int32)
         h = FIRST
         while len(todo):
             order = np.argsort(key)
             todo, old, key = todo[order], old[order], key[order]
-            at = np.arange(len(todo))
+            at = np.arange(len(todo), dtype=np.int32)
             group = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), at, 0))
             fresh = np.concatenate([[True], key[1:] != key[:-1]])
             head = np.maximum.accumulate(np.where(fresh, at, 0))
@@ -56,10 +56,11 @@ class Shard:
             alone = fresh & np.concatenate([fresh[1:], [True]])
             todo = todo[~alone]
             old = rank[todo]
-            one, two = (rank[np.minimum(todo + k * h, self.end[todo])] for k in (1, 2))
-            key = old << 2 * RANK_BITS | one << RANK_BITS | two
+            key = old.astype(np.int64)
+            for k in (1, 2):
+                key = key << RANK_BITS | rank[np.minimum(todo + np.int64(k * h), self.end[todo])]
             h *= 3
-        order = np.empty(self.n, np.int64)
+        order = np.empty(self.n, np.int32)
         order[rank] = place
         return order, rank
 
