@@ -105,3 +105,34 @@ def test_run_keeps_one_row_of_a_text_and_drops_only_rows_that_leak(outcome):
     got = outcome(rows, [item])
     assert got == wanted(rows, [item])
     assert {(1, base): 1, (2, other): 1, (None, unnamed): 1, rows[2]: 1, rows[4]: 1, rows[11]: 1}.items() <= got.items()
+
+
+def test_every_stage_minds_odd_rows_and_clashing_columns(spark, tmp_path):
+    item = prose(30)
+    extra = {c: "clash" for c in ("gone", "leak", "score", "lang_pred", "fit", "spans", "word_spans", "n_removed", "kept_bytes", "component_id", "item_id", "decoded", "lossless", "piece_ids", "row", "k1")}
+    spark.createDataFrame([("a", item), ("b", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = prose(4000)
+    full = [(i, t, "aa", "s", len(t or "")) for i, t in enumerate([None, "", "  ", prose(40), prose(40), long, item, "x" * 3000])] + [(None, prose(50), None, None, None), (3, "12", "aa", "s", 2)]
+    docs = spark.createDataFrame([*full, full[5]], SCHEMA)
+    from pyspark.sql import functions as F
+
+    docs = docs.withColumns({c: F.lit(v) for c, v in extra.items()}).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        if name != "pieces":
+            assert got.columns == docs.columns == none.columns
+            assert all(r[c] == "clash" for r in got.collect() for c in extra)
+        kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+        rows = Counter((r[0], r[1] or "" if name == "pieces" else r[1]) for r in [*full, full[5]])
+        if name == "near duplicates":
+            assert kept == Counter(set(rows))
+        elif name == "decontamination":
+            assert rows - kept == Counter([(6, item)])
+        elif name == "pieces":
+            assert kept == rows
+        elif name == "repeats":
+            assert kept[5, ""] == 2 and kept[7, ""] == 1 and sum(kept.values()) == len(full) + 1
+        else:
+            assert {i for i, _ in kept} >= {3, 4, 5, 6, None} and not {i for i, t in kept if not any(c.isalpha() for c in t or "")}

@@ -16,7 +16,8 @@ passes over the documents, not larger broadcasts.
 
 Cases: null or empty texts and items have no window. An item or window of fewer than five words
 is one shingle. Repeated documents are reported one by one, an item that occurs several times in
-a document once, with its best window (ties: the first). Other columns are ignored.
+a document once, with its best window (ties: the first). Rows of the benchmark that repeat are
+one item, and item_id keeps its type. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 19
-BLOCK_ITEMS = 10_000
+#: Items, and bytes of their texts, that the workers get at once.
+BLOCK_ITEMS, BLOCK_BYTES = 10_000, 1 << 23
 CHUNK = 1 << 21
 #: Words outside the benchmark that a worker remembers.
 MEMORY = 300_000
@@ -189,7 +192,7 @@ def find(index: Index, words: np.ndarray, theta: float) -> list[tuple[int, int,
     return [best[k] for k in sorted(best)]
 
 
-def _scan(shared, theta: float):
+def _scan(shared, theta: float, kind: pa.DataType):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         lengths = np.unique(np.minimum(index.sizes, SHINGLE)).tolist()
@@ -225,7 +228,7 @@ def _scan(shared, theta: float):
             if rows:
                 columns = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())))],
+                    [doc_id.take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.float64(), pa.int64())))],
                     ["doc_id", "item_id", "first_word", "n_words", "similarity", "bits_apart"],
                 )
 
@@ -235,16 +238,18 @@ def _scan(shared, theta: float):
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, theta: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity and bits_apart of every item in every document that holds it."""
     common.importable(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") > 0)
-    blocks = max(1, -(-items.count() // block_items))
+    kind, item_kind = (df.schema[c].dataType for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    schema = f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, first_word long, n_words long, similarity double, bits_apart long"
+    items = benchmark.select("item_id", "text").filter(F.length("text") > 0).distinct()
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block_items), -(-size["bytes"] // BLOCK_BYTES))
     parts = []
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = own.orderBy("item_id", "text").collect()  # about block_items rows
+        block = own.orderBy("item_id", "text").collect()  # about block_items rows and BLOCK_BYTES bytes
         if block:
             shared = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in block]))
-            parts.append(docs.select("doc_id", "text").mapInArrow(_scan(shared, theta), f"doc_id {kind}, item_id long, first_word long, n_words long, similarity double, bits_apart long"))
+            parts.append(docs.select("doc_id", "text").mapInArrow(_scan(shared, theta, to_arrow_type(item_kind)), schema))
     if not parts:
-        return docs.select("doc_id").limit(0).selectExpr("doc_id", "0L item_id", "0L first_word", "0L n_words", "0D similarity", "0L bits_apart")
+        return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -55,8 +56,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
 
-def train(docs: DataFrame, model_path: str, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages in alphabetical order, and log piece probabilities of shape (pieces, languages).
+@dataclass
+class Model:
+    langs: list[str]  # in alphabetical order
+    log_p: np.ndarray  # log piece probabilities, of shape (pieces, languages)
+    typical: np.ndarray  # by language: log probability a code point of what was learned from
+
+
+def train(docs: DataFrame, model_path: str, train_docs: int = TRAIN_DOCS) -> Model:
+    """The piece probabilities of all languages.
 
     docs: labelled rows (text, lang, doc_id), neither text nor lang null. About ``train_docs``
     documents a language are learned from, drawn by a hash of their ids.
@@ -67,7 +75,7 @@ def train(docs: DataFrame, model_path: str, train_docs: int = TRAIN_DOCS) -> tup
     langs = sorted(sizes)
     vocabulary = lattice.pieces(model_path)
     if not langs:
-        return [], np.zeros((vocabulary.size, 0))
+        return Model([], np.zeros((vocabulary.size, 0)), np.zeros(0))
     scale = 1_000_000
     limit = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(min(1.0, train_docs / sizes[k]) * scale))) for k in langs))
     drawn = docs.filter(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(scale)) < limit[F.col("lang")])
@@ -91,29 +99,37 @@ def train(docs: DataFrame, model_path: str, train_docs: int = TRAIN_DOCS) -> tup
                     at = lang == k
                     net = lattice.build(own, [" " + w for w in word[at]])
                     scores = lattice.arc_scores(own, net, shared.value[:, k])
-                    sums[int(k)] = sums.get(int(k), 0) + lattice.expected_counts(own, net, scores, n[at])
+                    total = (n[at] * lattice.totals(net, lattice.forward(net, scores))).sum()
+                    points = (n[at] * np.diff(np.append(net.first, len(net.cut)))).sum()
+                    # behind the pieces stand the log probability and the code points of all words
+                    sums[int(k)] = sums.get(int(k), 0) + np.append(lattice.expected_counts(own, net, scores, n[at]), [-total, points])
             for k, counts in sums.items():
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(counts[at])], ["k", "piece", "n"])
 
         got = words.mapInArrow(expect, "k long, piece long, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()  # pieces x languages at most
-        counts = np.zeros_like(log_p)
+        counts = np.zeros((vocabulary.size + 2, len(langs)))
         counts[got["piece"], got["k"]] = got["n"]
-        counts = np.where(usable[:, None], counts + FLOOR, 0.0)
+        typical = -counts[-2] / np.maximum(counts[-1], 1)
+        counts = np.where(usable[:, None], counts[:-2] + FLOOR, 0.0)
         with np.errstate(divide="ignore"):
             log_p = np.log(counts / counts.sum(0))
         shared.unpersist()
     scratch.drop("words")
-    return langs, log_p
+    return Model(langs, log_p, typical)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], model_path: str) -> DataFrame:
-    """docs (text and any other columns) with lang_pred and score in front of nothing else: all columns stay."""
+def predict(docs: DataFrame, model: Model, model_path: str, names: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
+    """docs (text and any other columns) with the predicted language, its share of the probability of all languages, and its fit.
+
+    fit: the log probability a code point in that language, less what the language's training texts have; far below
+    zero where no language is likely, null for ``und``. names: of the three columns; columns of these names are replaced.
+    """
     spark = docs.sparkSession
     common.importable(spark)
-    langs, log_p = model
-    shared = spark.sparkContext.broadcast(log_p)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    langs, typical = model.langs, model.typical
+    shared = spark.sparkContext.broadcast(model.log_p)
+    kept = [c for c in docs.columns if c not in names]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice.pieces(model_path)
@@ -123,8 +139,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], model_path: st
         for batch in batches:
             text = common.column(batch, "text")
             offsets = common.utf8(text)[1]
-            names: list[str] = []
-            scores = np.zeros(batch.num_rows)
+            found: list[str] = []
+            scores, fit = np.zeros(batch.num_rows), np.full(batch.num_rows, np.nan)
             for a, b in common.row_chunks(offsets, CHUNK):
                 some = common.texts_of(text, a, b)
                 words = [words_of(t) if langs and LETTER.search(t) else [] for t in some]
@@ -148,14 +164,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], model_path: st
                     top = total.argmax(1)
                     with np.errstate(under="ignore"):
                         scores[a + full] = 1.0 / np.exp(total - total.max(1)[:, None]).sum(1)
+                    points = np.fromiter((sum(map(len, words[i])) + len(words[i]) for i in full), np.int64, len(full))
+                    fit[a + full] = total.max(1) / points - typical[top]
                     for i, k in zip(full, top):
                         best[i] = langs[k]
-                names += [k or "und" for k in best]
+                found += [k or "und" for k in best]
             arrays = [common.column(batch, c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.string()), pa.array(scores), pa.array(fit, from_pandas=True)], [*kept, *names])
 
     plain = docs.select(*kept)
-    schema = plain.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    schema = plain.withColumns(dict(zip(names, (F.lit("").cast("string"), F.lit(0.0), F.lit(0.0))))).schema
     for field in schema:
         field.nullable = True
     return plain.mapInArrow(label, schema)

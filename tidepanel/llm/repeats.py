@@ -415,6 +415,10 @@ def _spans(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([common.column(batch, "k1"), common.column(batch, "k2"), pa.array(out, pa.list_(pa.int32()))], ["k1", "k2", "spans"])
 
 
+#: What is told of each text.
+FOUND = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
+
+
 def _united(text: bytes, spans: list[int] | None, word_spans: list[int] | None) -> list[int]:
     """Byte offsets of what lies in either: spans of bytes, and spans of the words' codes."""
     if not word_spans:
@@ -432,12 +436,12 @@ def _united(text: bytes, spans: list[int] | None, word_spans: list[int] | None)
     return out
 
 
-def _cut(names: list[str]):
-    """The texts without their spans."""
+def _cut(names: list[str], prefix: str):
+    """The texts without their spans (columns `` spans`` and `` word_spans``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            spans, word_spans = (common.column(batch, c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("spans", "word_spans"))
+            spans, word_spans = (common.column(batch, c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in (" spans", " word_spans"))
             kept, numbers = [], []
             for t, s, w in zip(_rows(batch)[1], spans, word_spans):
                 s = _united(t, s, w)
@@ -446,7 +450,7 @@ def _cut(names: list[str]):
                 kept.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2])))
                 numbers.append((len(t), sum(y - x for x, y in pairs), len(pairs)))
             cols = list(zip(*numbers)) if numbers else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in names), *(pa.array(c, pa.int64()) for c in cols), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in names), *(pa.array(c, pa.int64()) for c in cols), pa.array(kept, pa.binary())], [*names, *(prefix + c for c in FOUND)])
 
     return cut
 
@@ -490,8 +494,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, words: int | None = No
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            same = common.column(batch, "n_removed").to_pylist()
-            old, kept = common.column(batch, "text").to_pylist(), common.column(batch, "kept_bytes").to_pylist()
+            same = common.column(batch, " n_removed").to_pylist()
+            old, kept = common.column(batch, "text").to_pylist(), common.column(batch, " kept_bytes").to_pylist()
             new = pa.array([decoded(k) if n else t for t, k, n in zip(old, kept, same)], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == "text" else common.column(batch, c) for c in names], names)
 
@@ -499,32 +503,33 @@ def without_repeats(spark: SparkSession, docs: DataFrame, words: int | None = No
     schema = docs.schema
     for field in schema:
         field.nullable = True
-    out = remove_repeats(spark, docs, words).mapInArrow(text, schema)
+    out = _removed(spark, docs, words, " ").mapInArrow(text, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, words: int | None = None) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes, the bytes that stay.
+    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes, the bytes that stay; columns of these names are replaced.
 
     words: also removes every passage of so many words that occurs elsewhere too, whatever white space is between them.
     """
+    return _removed(spark, docs.select(*(c for c in docs.columns if c not in FOUND)), words, "")
+
+
+def _removed(spark: SparkSession, docs: DataFrame, words: int | None, prefix: str) -> DataFrame:
     if words is not None and words * CODE < 2 * GRAM:
         raise ValueError(f"a passage has {2 * GRAM // CODE} words at least")
     scratch = common.Scratch(spark)
-    spans = repeated_spans(scratch, docs)
+    spans = repeated_spans(scratch, docs).withColumnRenamed("spans", " spans")
     if words:
-        found = repeated_spans(common.Scratch(spark), docs, Length(words * CODE, True)).withColumnRenamed("spans", "word_spans")
+        found = repeated_spans(common.Scratch(spark), docs, Length(words * CODE, True)).withColumnRenamed("spans", " word_spans")
         spans = scratch.save(spans.join(found, ["k1", "k2"], "full"), "united")
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_bytes")]
-    plain = docs.select(*names)
-    keyed = plain.selectExpr("*", "0L ` k1`", "0L ` k2`").schema
-    out = plain.selectExpr("*", "0L n_bytes", "0L n_removed", "0L n_spans", "cast('' as binary) kept_bytes").schema
+    names = docs.columns
+    keyed = docs.selectExpr("*", "0L ` k1`", "0L ` k2`").schema
+    out = docs.withColumns({prefix + c: F.lit(b"" if c == "kept_bytes" else 0).cast("binary" if c == "kept_bytes" else "long") for c in FOUND}).schema
     for field in [*keyed, *out]:
         field.nullable = True
     bits = Bits(scratch, spans, "k1")
-    whole = plain.mapInArrow(_keyed(bits.shared, False, names), keyed).mapInArrow(_cut(names), out)
-    parts = plain.mapInArrow(_keyed(bits.shared, True, names), keyed)
+    whole = docs.mapInArrow(_keyed(bits.shared, False, names), keyed).mapInArrow(_cut(names, prefix), out)
+    parts = docs.mapInArrow(_keyed(bits.shared, True, names), keyed)
     found = spans.withColumnsRenamed({"k1": " k1", "k2": " k2"})
-    if {"spans", "word_spans"} & set(names):
-        raise ValueError("a column is called spans or word_spans")
-    return parts.join(found, [" k1", " k2"], "left").mapInArrow(_cut(names), out).unionByName(whole)
+    return parts.join(found, [" k1", " k2"], "left").mapInArrow(_cut(names, prefix), out).unionByName(whole)
