@@ -1,15 +1,18 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
-Data and queries are indexed alike. A tree's node has a centre, which is one of its points, and
-a covering radius; its children's centres lie within half of its scale. A pair of a query node
-and a data node is skipped when no pair of their points can reach the worst kth score of the
-query group: for centres q, p and radii r, s the inner product is at most
-q.p + r |p| + s |q| + r s.
+Data and queries are indexed alike. A tree's levels have scales that are powers of two. A node of
+scale s has a centre, one of its points, that all its points lie within s of; its children are
+centred at points more than s / 2 from each other that cover it within s / 2. Children of a single
+point lie together in one leaf. A node also knows its covering radius, the distance
+of its farthest point. A pair of a query node and a data node is skipped when no pair of their
+points can reach the worst kth score of the query group: for centres q, p and radii r, s the
+inner product is at most q.p + r |p| + s |q| + r s. Where all points are about as far from each
+other, as random directions in many dimensions are, no tree has covers to skip.
 
 The rows of the data never move: every task builds trees over batches of its rows, searches
 them with the query tree, and keeps the k best for each query; the tasks' results are merged.
-The query tree is broadcast in blocks of QUERY_BLOCK queries, so more queries mean more passes
-over the data. Scores are sums of products of integers below 2 ** 53, exact in any order.
+The query tree is broadcast in blocks of QUERY_BLOCK queries and QUERY_BYTES at most, so more
+queries mean more passes over the data. Scores are sums of products of integers below 2 ** 53, exact in any order.
 
 Cases: vectors that are null, empty, or hold a null or a non-finite component, and rows without
 a vec_id, take no part. Rows that share the query's vec_id are the query's own; a vec_id that
@@ -33,8 +36,8 @@ from . import common
 
 K, EVERY, SCALE = 5, 50, 256
 LEAF = 24
-#: Rows under one tree, and queries in one broadcast.
-BATCH, QUERY_BLOCK = 4096, 20_000
+#: Rows under one tree, and queries and their bytes in one broadcast.
+BATCH, QUERY_BLOCK, QUERY_BYTES = 4096, 20_000, 1 << 26
 
 
 @dataclass
@@ -52,36 +55,39 @@ class Tree:
 
 
 def build(points: np.ndarray, leaf: int = LEAF) -> Tree:
-    """A cover tree, top down: a node's points are covered by centres at half its scale, picked farthest first."""
+    """A cover tree, top down; a node's children are picked farthest first, and nodes of at most ``leaf`` points stay whole."""
     order: list[np.ndarray] = []
     nodes: list[list] = []  # centre (original row), radius, low, high, children
+    squares = (points**2).sum(1)
 
-    def grow(rows: np.ndarray, centre: int, away: np.ndarray, at: int) -> int:
+    def grow(rows: np.ndarray, centre: int, away: np.ndarray, at: int, split: bool = True) -> int:
         me = len(nodes)
-        radius = float(away.max()) if len(away) else 0.0
+        radius = float(away.max())
         nodes.append([centre, radius, at, at + len(rows), []])
-        if len(rows) <= leaf or radius == 0.0:
+        if len(rows) <= leaf or radius == 0.0 or not split:
             order.append(rows)
             return me
+        half = 2.0 ** (np.ceil(np.log2(radius)) - 1)
+        mine, size = points[rows], squares[rows]
         own, nearest, centres = np.zeros(len(rows), np.int64), away.copy(), [centre]
-        while nearest.max() > radius / 2:
+        while nearest.max() > half:
             far = int(nearest.argmax())
-            centres.append(int(rows[far]))
-            d = np.sqrt(np.maximum(((points[rows] - points[rows[far]]) ** 2).sum(1), 0))
+            d = np.sqrt(np.maximum(size + size[far] - 2 * (mine @ mine[far]), 0))
+            d[far] = 0.0
             closer = d < nearest
-            nearest[closer], own[closer] = d[closer], len(centres) - 1
-            if len(centres) > len(rows) // 2 + 1:  # as good as all apart: a leaf scans them faster
-                order.append(rows)
-                return me
-        for k, c in enumerate(centres):
-            mine = own == k
-            if mine.any():
-                nodes[me][4].append(grow(rows[mine], c, nearest[mine], at))
-                at += int(mine.sum())
+            nearest[closer], own[closer] = d[closer], len(centres)
+            centres.append(int(rows[far]))
+        count = np.bincount(own, minlength=len(centres))
+        for k in np.flatnonzero(count > 1):
+            some = own == k
+            nodes[me][4].append(grow(rows[some], centres[k], nearest[some], at))
+            at += int(count[k])
+        single = count[own] == 1
+        if single.any():
+            nodes[me][4].append(grow(rows[single], centre, away[single], at, False))
         return me
 
-    first = np.sqrt(((points - points[0]) ** 2).sum(1))
-    grow(np.arange(len(points)), 0, first, 0)
+    grow(np.arange(len(points)), 0, np.sqrt(np.maximum(((points - points[0]) ** 2).sum(1), 0)), 0)
     permuted = np.concatenate(order)
     place = np.empty(len(points), np.int64)
     place[permuted] = np.arange(len(points))
@@ -114,15 +120,19 @@ class Best:
         self.score[rows], self.vec[rows] = np.take_along_axis(both, pick, 1), np.take_along_axis(vec, pick, 1)
 
 
-def search(queries: Tree, data: Tree, ids: np.ndarray, best: Best) -> None:
-    """Offer every pair of points to best but those in pairs of nodes that cannot matter. ids: of data.points; best: by queries.points."""
-    roots = [(0, 0)]
+def search(queries: Tree, data: Tree, ids: np.ndarray, best: Best) -> int:
+    """Offer every pair of points to best but those in pairs of nodes that cannot matter; returns the number of pairs skipped.
+
+    ids: of data.points; best: by queries.points.
+    """
+    roots, skipped = [(0, 0)], 0
     while roots:
         q, p = roots.pop()
         a, b = int(queries.low[q]), int(queries.high[q])
         middle = float(queries.points[queries.centre[q]] @ data.points[data.centre[p]])
         bound = middle + queries.radius[q] * data.norm[p] + data.radius[p] * queries.norm[q] + queries.radius[q] * data.radius[p]
-        if bound * (1 + 1e-9) + 1e-6 < best.worst(a, b):
+        if bound + 1e-9 * abs(bound) + 1e-6 < best.worst(a, b):
+            skipped += (b - a) * int(data.high[p] - data.low[p])
             continue
         below, under = queries.children[q], data.children[p]
         if not below and not under:
@@ -133,6 +143,7 @@ def search(queries: Tree, data: Tree, ids: np.ndarray, best: Best) -> None:
             roots += [(q, under[i]) for i in np.argsort(towards)]  # the most promising is popped first
         else:
             roots += [(c, p) for c in below]
+    return skipped
 
 
 def _vectors(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -184,12 +195,15 @@ def exact_topk(spark: SparkSession, vectors: DataFrame, k: int = K, every: int =
     """query_id, rank, vec_id and score of the k best partners of every row whose vec_id is divisible by ``every``."""
     common.importable(spark)
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = plain.filter(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // query_block))
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    own_vectors = plain.filter((F.col("vec_id") % every == 0) & usable).groupBy("vec_id", F.size("embedding").alias("size")).agg(F.min("embedding").alias("embedding"))
+    asked = common.Scratch(spark).save(own_vectors, "queries")  # one vector of each vec_id and length
+    total = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("numbers")).first()
+    blocks = max(1, -(-total["n"] // query_block), -(-8 * total["numbers"] // QUERY_BYTES))
     parts = []
     for b in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        rows = own.orderBy("vec_id", "embedding").toArrow()  # about query_block rows
+        rows = own.select("vec_id", "embedding").orderBy("vec_id", "embedding").toArrow()  # about query_block rows
         trees = {}
         batch = rows.combine_chunks().to_batches()
         if not batch:
