@@ -292,9 +292,49 @@ def test_topk_is_exact(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in cover_tree.exact_topk(spark, vectors, query_block=3).collect()) == got
 
 
+def test_cover_trees_cover_separate_and_skip(spark):
+    import numpy as np
+
+    own = np.random.default_rng(1)
+    points = np.floor(np.concatenate([own.normal(c, 1.0, (150, 12)) for c in own.normal(0, 60, (12, 12))]))
+    own.shuffle(points)
+    data, queries = cover_tree.build(points), cover_tree.build(points[::7])
+    assert sorted(data.order.tolist()) == list(range(len(points))) and len(data.children) > 12
+    for n, kids in enumerate(data.children):
+        inside = data.points[data.low[n] : data.high[n]]
+        away = np.sqrt(((inside - data.points[data.centre[n]]) ** 2).sum(1))
+        assert away.max() <= data.radius[n] + 1e-6
+        if kids:
+            half = 2.0 ** (np.ceil(np.log2(data.radius[n])) - 1)
+            covers = [k for k in kids if data.radius[k] <= half]
+            assert sum(int(data.high[k] - data.low[k]) for k in kids) == len(inside) and len(covers) >= len(kids) - 1
+            for i in covers:
+                for j in covers:
+                    if i < j and data.centre[i] != data.centre[j]:
+                        assert np.sqrt(((data.points[data.centre[i]] - data.points[data.centre[j]]) ** 2).sum()) > half
+    best = cover_tree.Best(np.arange(len(queries.points)) + 10**6, 5)
+    skipped = cover_tree.search(queries, data, data.order, best)
+    assert skipped > 0.7 * len(points) * len(queries.points)
+    want = np.sort(queries.points @ data.points.T, axis=1)[:, :-6:-1]
+    assert np.array_equal(best.score, want)
+
+
+def test_windows_keep_the_budget_where_turns_fit(spark):
+    rows = [(1, 0, "system", "s", 604), *((1, i, "user", f"t{i}", 254) for i in range(1, 9)), (2, 0, "user", "u", 5000)]
+    rows += [(3, i, "assistant", f"a{i}", RANDOM.randint(1, 1024)) for i in range(1500)] + [(4, 0, "system", "x", 2000), (4, 1, "user", "y", 3), (4, 2, "user", "z", 4)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
+    found = chat_windows.windows(turns, count="n").collect()
+    assert {(w["conv_id"], w["over_budget"]) for w in found} == {(1, False), (2, True), (3, False), (4, True)}
+    mine = [w for w in found if w["conv_id"] == 1]
+    assert len(mine) == 8 or len(mine) == 9
+    third = [w for w in found if w["conv_id"] == 3]
+    assert sum(w["n_turns"] - w["n_repeated"] for w in third) == 1500 and any(w["n_repeated"] for w in third)
+    assert all(w["n_tokens"] <= 1024 for w in third) and sum(w["n_tokens"] for w in third) / len(third) > 512
+
+
 def test_chat_windows_read_back(spark):
     odd = chat_windows.ODD
-    rows = [(1, 0, "system", "be < kind", 1), (1, 1, "user", "hello " * 300, 1), (1, 2, "assistant", "a#b:c\\d " * 200, 1), (1, 3, "user", None, 1), (1, 4, "assistant", odd, 1), (2, 0, "assistant", "", 1), (3, None, None, "x", 1), (3, 0, "assistant", "é\n</turn>\n", 1), (3, 0, "assistant", "é\n</turn>\n", 1), (None, 0, "user", "n", 1)]
+    rows = [(1, 0, "system", "be < kind", 1), (1, 1, "user", "hello " * 500, 1), (1, 2, "assistant", "a#b:c\\d " * 200, 1), (1, 3, "user", None, 1), (1, 4, "assistant", odd, 1), (2, 0, "assistant", "", 1), (3, None, None, "x", 1), (3, 0, "assistant", "é\n</turn>\n", 1), (3, 0, "assistant", "é\n</turn>\n", 1), (None, 0, "user", "n", 1)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pos int")
     made = chat_windows.windows(chat_windows.with_odd_conversation(spark, turns))
     got = {r["conv_id"]: r for r in chat_windows.digests(made).collect()}

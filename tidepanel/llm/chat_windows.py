@@ -4,13 +4,17 @@ A turn is written as ``### role: text</turn>`` and a line end. Inside roles and
 characters are coded by a backslash and a letter, so no mark of the template can occur there and
 decoding gives the very text.
 
-Prefix sums of the turns' tokens choose the windows: the turns whose sum ends in the same stretch
-of ``stride`` tokens are new in one window. A window starts with the system turn (the first turn,
-if its role is system), repeats the last turns of the window before it as far as they fit in
-``history`` tokens, and then holds its new turns. With a budget of b tokens, history h and a
-system turn of s, windows of turns of at most stride = (b - h - s) / 2 tokens stay within b; a longer
-turn stands in a window as it is, never cut. The loss mask covers the texts of new assistant
-turns; what is repeated is masked, so each assistant text counts once.
+Prefix sums of the turns' tokens choose the windows. The room of a conversation is the budget less
+its system turn (the first turn, if its role is system). The other turns' sums cut it into stretches of
+so many tokens: turns that lie within one stretch are new in one window, a turn that reaches from one stretch
+into another has a window of its own. So new turns fit wherever each of them does. A window starts with the system turn, repeats the last
+turns of the window before it as far as they fit in ``history`` tokens and in what its new turns
+leave of the room, and then holds its new turns. Only a turn that is itself larger than the room makes a
+window go over the budget; it stands there as it is, never cut. The loss mask covers the texts of new
+assistant turns; what is repeated is masked, so each assistant text counts once.
+
+Prefix sums are taken over ranges of CHUNK turn numbers first and then over the ranges, so a long
+conversation is not summed in one task.
 
 Cases: null text or role counts as empty, a null turn comes first, rows of one turn go by role and
 text, and rows that repeat stay. A null conv_id is a conversation of its own. Other columns are ignored.
@@ -21,7 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUDGET, HISTORY, STRIDE = 1024, 256, 320
+BUDGET, HISTORY = 1024, 256
+#: Turn numbers of a conversation that are summed together.
+CHUNK = 512
 END = "</turn>\n"
 #: What stands for each control character. The backslash comes first in coding and last in decoding.
 CODES = (("\\", "\\s"), ("<", "\\l"), ("#", "\\h"), (":", "\\c"))
@@ -44,49 +50,72 @@ def tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4) + 4
 
 
-def windows(turns: DataFrame, history: int = HISTORY, stride: int = STRIDE, budget: int = BUDGET) -> DataFrame:
-    """conv_id, window (from 0), formatted, n_repeated (turns that stand there again), n_turns, n_tokens, over_budget and loss_spans.
-
-    loss_spans are (start from 1, length) in code points of formatted.
+def placed_turns(clean: DataFrame) -> DataFrame:
+    """clean with chunk, pos (from 1 within the chunk), ends (tokens of the conversation up to here, its system turn apart), system and fixed (the system turn's tokens)."""
+    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62)))  # null turns come first
+    own = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
+    local = clean.withColumn("chunk", chunk).withColumn("pos", F.row_number().over(own))
+    heads = local.filter("pos = 1").groupBy("conv_id").agg(F.min(F.struct("chunk", "role", "tokens")).alias("h"))
+    fixed = heads.select(F.col("conv_id").alias("conv"), F.col("h.chunk").alias("first_chunk"), F.when(F.col("h.role") == "system", F.col("h.tokens")).otherwise(0).cast("long").alias("fixed"))
+    sums = clean.withColumn("chunk", chunk).groupBy("conv_id", "chunk").agg(F.sum("tokens").alias("sum"))
+    upto = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("conv_id").alias("conv"), F.col("chunk").alias("at"), F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("before"))
+    known = local.join(offsets, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("at") == F.col("chunk"))).drop("conv", "at")
+    known = known.join(fixed, F.col("conv").eqNullSafe(F.col("conv_id"))).drop("conv")
+    running = F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    system = (F.col("chunk") == F.col("first_chunk")) & (F.col("pos") == 1) & (F.col("role") == "system")
+    return known.withColumn("ends", F.col("before") + running - F.col("fixed")).withColumn("system", system).drop("before", "first_chunk")
+
+
+def windows(turns: DataFrame, history: int = HISTORY, budget: int = BUDGET, count: str | None = None) -> DataFrame:
+    """conv_id, window, formatted, n_repeated (turns that stand there again), n_turns, n_tokens, over_budget and loss_spans.
+
+    window numbers rise with the turns, with gaps. loss_spans are (start from 1, length) in code points of formatted.
+    count: a column of turns with their tokens; without one, about four bytes are a token.
     """
-    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        clean.withColumn("pos", F.row_number().over(order))
-        .withColumn("tokens", tokens(F.col("text")))
-        .withColumn("ends", F.sum("tokens").over(upto))
-        .withColumn("stretch", F.floor((F.col("ends") - 1) / stride))
-        .withColumn("before", F.lag("stretch").over(order))
-        .withColumn("window", F.sum(F.when(F.col("before") < F.col("stretch"), 1).otherwise(0)).over(upto))
-        .withColumn("system", (F.col("pos") == 1) & (F.col("role") == "system"))
-    )
-    same = Window.partitionBy("conv_id", "window")
-    last = F.max("window").over(Window.partitionBy("conv_id"))
-    placed = placed.withColumn("from_end", F.max("ends").over(same) - F.col("ends") + F.col("tokens")).withColumn("last", last)
+    amount = tokens(F.coalesce("text", F.lit(""))) if count is None else F.coalesce(F.col(count), F.lit(0))
+    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), amount.cast("long").alias("tokens"))
+    room = F.greatest(F.lit(1), F.lit(budget) - F.col("fixed"))
+    first, last = F.floor((F.col("ends") - F.col("tokens")) / room), F.floor((F.col("ends") - 1) / room)
+    # twice the stretch, and one more for a turn that ends in a later stretch than it starts in
+    window = F.when(F.col("system"), F.lit(0)).otherwise(F.when(first == last, 2 * first).otherwise(2 * first + 1))
+    placed = placed_turns(clean).withColumn("room", room).withColumn("window", window.cast("long"))
+    # a window's new turns are a bounded number of tokens; their sums meet by conversation
+    new = F.when(~F.col("system"), F.col("tokens")).otherwise(0)
+    sizes = placed.groupBy("conv_id", "window").agg(F.sum(new).alias("size"), F.max("ends").alias("end"))
+    order = Window.partitionBy("conv_id").orderBy("window")
+    sizes = sizes.select(F.col("conv_id").alias("conv"), F.col("window").alias("w"), "end", F.lead("window").over(order).alias("next"), F.lead("size").over(order).alias("next_size"))
+    placed = placed.join(sizes, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("w") == F.col("window"))).drop("conv", "w")
+    from_end = F.col("end") - F.col("ends") + F.col("tokens")
+    again = ~F.col("system") & F.col("next").isNotNull() & (from_end <= F.least(F.lit(history), F.col("room") - F.col("next_size")))
     head, end = F.concat(F.lit("### "), escape(F.col("role")), F.lit(": ")), F.lit(END)
     body = escape(F.col("text"))
-    # every turn is new in its own window; the system turn stands in all later ones, a late turn in the next one
-    later = F.when(F.col("system") & (F.col("last") > 0), F.sequence(F.lit(1).cast("bigint"), F.col("last"))).when(
-        ~F.col("system") & (F.col("from_end") <= history) & (F.col("window") < F.col("last")), F.array(F.col("window") + 1)
-    )
     shown = placed.select(
         "conv_id",
+        "window",
+        F.lit(1).alias("part"),
+        "chunk",
         "pos",
         "tokens",
         head.alias("head"),
         body.alias("body"),
         (F.col("role") == "assistant").alias("target"),
-        F.col("window").alias("own"),
-        F.explode(F.concat(F.array("window"), F.coalesce(later, F.array().cast("array<bigint>")))).alias("window"),
-    ).withColumn("repeated", F.col("own") < F.col("window"))
-    line = Window.partitionBy("conv_id", "window").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        "system",
+        "next",
+        again.alias("again"),
+    )
+    others = placed.select(F.col("conv_id").alias("conv"), "window").filter(~F.col("system")).distinct()
+    heads = shown.filter("system").drop("window", "next", "again").join(others, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("window") > 0)).drop("conv")
+    # every turn is new in its own window; a late turn stands in the next one too, the system turn in all
+    shown = shown.drop("next", "again").unionByName(shown.filter("again").withColumns({"window": F.col("next"), "part": F.lit(0)}).drop("next", "again")).unionByName(heads.withColumn("part", F.lit(-1)))
+    shown = shown.withColumn("repeated", F.col("part") < 1)
+    line = Window.partitionBy("conv_id", "window").orderBy("part", "chunk", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     written = shown.withColumn("piece", F.concat("head", "body", end)).withColumn("stop", F.sum(F.length("piece")).over(line))
     start = F.col("stop") - len(END) - F.length("body") + 1
-    span = F.when(F.col("target") & ~F.col("repeated"), F.struct(F.col("pos"), start.cast("int").alias("start"), F.length("body").alias("length")))
+    span = F.when(F.col("target") & ~F.col("repeated"), F.struct(start.cast("int").alias("start"), F.length("body").alias("length")))
     # a window holds a bounded number of tokens, so these lists are short
     grouped = written.groupBy("conv_id", "window").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("pieces"),
+        F.sort_array(F.collect_list(F.struct("part", "chunk", "pos", "piece"))).alias("pieces"),
         F.sort_array(F.collect_list(span)).alias("spans"),
         F.sum(F.col("repeated").cast("int")).alias("n_repeated"),
         F.count("*").alias("n_turns"),
@@ -100,7 +129,7 @@ def windows(turns: DataFrame, history: int = HISTORY, stride: int = STRIDE, budg
         "n_turns",
         "n_tokens",
         (F.col("n_tokens") > budget).alias("over_budget"),
-        F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.length.alias("length"))).alias("loss_spans"),
+        F.col("spans").alias("loss_spans"),
     )
 
 
@@ -150,21 +179,30 @@ SQL = f"""
 WITH raw AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{ODD}' UNION ALL SELECT -7, 1, 'assistant', '{ODD}'
-), placed AS (
-  SELECT *, row_number() OVER o AS pos, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS tokens,
-    sum(CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4) OVER (o ROWS UNBOUNDED PRECEDING) AS ends,
+), sized AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS tokens,
     length(role) + len(regexp_extract_all(role, '[\\\\<#:]')) + length(text) + len(regexp_extract_all(text, '[\\\\<#:]')) + 14 AS chars
-  FROM raw WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-), numbered AS (
-  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY (ends - 1) // {STRIDE}) - 1 AS win FROM placed
-), late AS (
-  SELECT *, pos = 1 AND role = 'system' AS is_system, max(win) OVER (PARTITION BY conv_id) AS last_win,
-    max(ends) OVER (PARTITION BY conv_id, win) - ends + tokens AS from_end FROM numbered
+  FROM raw
+), placed AS (
+  SELECT *, pos = 1 AND role = 'system' AS is_system,
+    coalesce(max(CASE WHEN pos = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS fixed,
+    sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM sized
+), windowed AS (
+  SELECT *, greatest(1, {BUDGET} - fixed) AS room, upto - fixed AS ends,
+    CASE WHEN is_system THEN 0 WHEN (upto - fixed - tokens) // greatest(1, {BUDGET} - fixed) = (upto - fixed - 1) // greatest(1, {BUDGET} - fixed)
+      THEN 2 * ((upto - fixed - tokens) // greatest(1, {BUDGET} - fixed)) ELSE 2 * ((upto - fixed - tokens) // greatest(1, {BUDGET} - fixed)) + 1 END AS win FROM placed
+), sizes AS (
+  SELECT conv_id, win, sum(CASE WHEN is_system THEN 0 ELSE tokens END) AS size, max(ends) AS last_end, bool_or(NOT is_system) AS others FROM windowed GROUP BY conv_id, win
+), followed AS (
+  SELECT *, lead(size) OVER (PARTITION BY conv_id ORDER BY win) AS next_size, count(*) FILTER (others AND win > 0) OVER (PARTITION BY conv_id) AS later FROM sizes
+), shown AS (
+  SELECT t.*, CASE WHEN t.is_system THEN 1 + f.later WHEN f.next_size IS NOT NULL AND f.last_end - t.ends + t.tokens <= least({HISTORY}, t.room - f.next_size) THEN 2 ELSE 1 END AS times
+  FROM windowed t JOIN followed f ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.win = f.win
 )
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars * (1 + CASE WHEN is_system THEN last_win WHEN from_end <= {HISTORY} AND win < last_win THEN 1 ELSE 0 END)) AS BIGINT) AS formatted_chars
-FROM late GROUP BY conv_id
+  CAST(sum(chars * times) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id
 """
