@@ -51,20 +51,19 @@ def tokens(text: Column) -> Column:
 
 
 def placed_turns(clean: DataFrame) -> DataFrame:
-    """clean with chunk, pos (from 1 within the chunk), ends (tokens of the conversation up to here, its system turn apart), system and fixed (the system turn's tokens)."""
-    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62)))  # null turns come first
-    own = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
-    local = clean.withColumn("chunk", chunk).withColumn("pos", F.row_number().over(own))
-    heads = local.filter("pos = 1").groupBy("conv_id").agg(F.min(F.struct("chunk", "role", "tokens")).alias("h"))
-    fixed = heads.select(F.col("conv_id").alias("conv"), F.col("h.chunk").alias("first_chunk"), F.when(F.col("h.role") == "system", F.col("h.tokens")).otherwise(0).cast("long").alias("fixed"))
-    sums = clean.withColumn("chunk", chunk).groupBy("conv_id", "chunk").agg(F.sum("tokens").alias("sum"))
-    upto = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("conv_id").alias("conv"), F.col("chunk").alias("at"), F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("before"))
-    known = local.join(offsets, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("at") == F.col("chunk"))).drop("conv", "at")
-    known = known.join(fixed, F.col("conv").eqNullSafe(F.col("conv_id"))).drop("conv")
-    running = F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    system = (F.col("chunk") == F.col("first_chunk")) & (F.col("pos") == 1) & (F.col("role") == "system")
-    return known.withColumn("ends", F.col("before") + running - F.col("fixed")).withColumn("system", system).drop("before", "first_chunk")
+    """clean (key, turn, role, text, tokens) with chunk, pos (from 1 within the chunk), ends (tokens of the conversation up to here, its system turn apart), system and fixed (the system turn's tokens)."""
+    own = Window.partitionBy("key", "chunk").orderBy("turn", "role", "text")
+    local = clean.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))))  # null turns come first
+    local = local.withColumns({"pos": F.row_number().over(own), "running": F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    # of each chunk its sum and its first turn; of each conversation what lies before each chunk, and the tokens of a first turn of the system
+    lead = F.min(F.when(F.col("pos") == 1, F.when(F.col("role") == "system", F.col("tokens")).otherwise(0)))
+    sums = local.groupBy("key", "chunk").agg(F.sum("tokens").alias("sum"), lead.alias("lead"))
+    order = Window.partitionBy("key").orderBy("chunk")
+    before = F.coalesce(F.sum("sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("key", "chunk", before.alias("before"), F.first("lead").over(order).alias("fixed"), (F.row_number().over(order) == 1).alias("first"))
+    known = local.join(offsets, ["key", "chunk"])
+    system = F.col("first") & (F.col("pos") == 1) & (F.col("role") == "system")
+    return known.withColumn("ends", F.col("before") + F.col("running") - F.col("fixed")).withColumn("system", system).drop("before", "running", "first")
 
 
 def windows(turns: DataFrame, history: int = HISTORY, budget: int = BUDGET, count: str | None = None) -> DataFrame:
@@ -74,55 +73,42 @@ def windows(turns: DataFrame, history: int = HISTORY, budget: int = BUDGET, coun
     count: a column of turns with their tokens; without one, about four bytes are a token.
     """
     amount = tokens(F.coalesce("text", F.lit(""))) if count is None else F.coalesce(F.col(count), F.lit(0))
-    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), amount.cast("long").alias("tokens"))
+    # as a field of a struct a null conv_id equals itself in joins
+    clean = turns.select(F.struct("conv_id").alias("key"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), amount.cast("long").alias("tokens"))
     room = F.greatest(F.lit(1), F.lit(budget) - F.col("fixed"))
     first, last = F.floor((F.col("ends") - F.col("tokens")) / room), F.floor((F.col("ends") - 1) / room)
     # twice the stretch, and one more for a turn that ends in a later stretch than it starts in
     window = F.when(F.col("system"), F.lit(0)).otherwise(F.when(first == last, 2 * first).otherwise(2 * first + 1))
     placed = placed_turns(clean).withColumn("room", room).withColumn("window", window.cast("long"))
     # a window's new turns are a bounded number of tokens; their sums meet by conversation
-    new = F.when(~F.col("system"), F.col("tokens")).otherwise(0)
-    sizes = placed.groupBy("conv_id", "window").agg(F.sum(new).alias("size"), F.max("ends").alias("end"))
-    order = Window.partitionBy("conv_id").orderBy("window")
-    sizes = sizes.select(F.col("conv_id").alias("conv"), F.col("window").alias("w"), "end", F.lead("window").over(order).alias("next"), F.lead("size").over(order).alias("next_size"))
-    placed = placed.join(sizes, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("w") == F.col("window"))).drop("conv", "w")
+    new = F.when(~F.col("system"), F.col("tokens"))
+    sizes = placed.groupBy("key", "window").agg(F.coalesce(F.sum(new), F.lit(0)).alias("size"), F.count(new).alias("others"), F.max("ends").alias("end"))
+    order = Window.partitionBy("key").orderBy("window")
+    sizes = sizes.select("key", "window", "others", "end", F.lead("window").over(order).alias("next"), F.lead("size").over(order).alias("next_size"))
+    known = placed.join(sizes, ["key", "window"])
     from_end = F.col("end") - F.col("ends") + F.col("tokens")
     again = ~F.col("system") & F.col("next").isNotNull() & (from_end <= F.least(F.lit(history), F.col("room") - F.col("next_size")))
-    head, end = F.concat(F.lit("### "), escape(F.col("role")), F.lit(": ")), F.lit(END)
-    body = escape(F.col("text"))
-    shown = placed.select(
-        "conv_id",
-        "window",
-        F.lit(1).alias("part"),
-        "chunk",
-        "pos",
-        "tokens",
-        head.alias("head"),
-        body.alias("body"),
-        (F.col("role") == "assistant").alias("target"),
-        "system",
-        "next",
-        again.alias("again"),
-    )
-    others = placed.select(F.col("conv_id").alias("conv"), "window").filter(~F.col("system")).distinct()
-    heads = shown.filter("system").drop("window", "next", "again").join(others, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("window") > 0)).drop("conv")
-    # every turn is new in its own window; a late turn stands in the next one too, the system turn in all
-    shown = shown.drop("next", "again").unionByName(shown.filter("again").withColumns({"window": F.col("next"), "part": F.lit(0)}).drop("next", "again")).unionByName(heads.withColumn("part", F.lit(-1)))
-    shown = shown.withColumn("repeated", F.col("part") < 1)
-    line = Window.partitionBy("conv_id", "window").orderBy("part", "chunk", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    written = shown.withColumn("piece", F.concat("head", "body", end)).withColumn("stop", F.sum(F.length("piece")).over(line))
+    # every turn is new in its own window (part 1); a late turn stands in the next one too (0), the system turn in all (-1)
+    place = lambda part, at: F.struct(F.lit(part).alias("part"), F.col(at).alias("window"))
+    stands = F.when(again, F.array(place(1, "window"), place(0, "next"))).otherwise(F.array(place(1, "window")))
+    columns = ["key", "chunk", "pos", "tokens", "role", "text"]
+    shown = known.withColumn("stands", F.explode(stands)).select(*columns, "stands.part", "stands.window")
+    heads = placed.filter("system").select(*columns, F.lit(-1).alias("part")).join(sizes.filter("others > 0 AND window > 0").select("key", "window"), "key")
+    head, body, end = F.concat(F.lit("### "), escape(F.col("role")), F.lit(": ")), escape(F.col("text")), F.lit(END)
+    line = Window.partitionBy("key", "window").orderBy("part", "chunk", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    written = shown.unionByName(heads).withColumn("body", body).withColumn("piece", F.concat(head, "body", end)).withColumn("stop", F.sum(F.length("piece")).over(line))
     start = F.col("stop") - len(END) - F.length("body") + 1
-    span = F.when(F.col("target") & ~F.col("repeated"), F.struct(start.cast("int").alias("start"), F.length("body").alias("length")))
+    span = F.when((F.col("role") == "assistant") & (F.col("part") == 1), F.struct(start.cast("int").alias("start"), F.length("body").alias("length")))
     # a window holds a bounded number of tokens, so these lists are short
-    grouped = written.groupBy("conv_id", "window").agg(
+    grouped = written.groupBy("key", "window").agg(
         F.sort_array(F.collect_list(F.struct("part", "chunk", "pos", "piece"))).alias("pieces"),
         F.sort_array(F.collect_list(span)).alias("spans"),
-        F.sum(F.col("repeated").cast("int")).alias("n_repeated"),
+        F.sum((F.col("part") < 1).cast("int")).alias("n_repeated"),
         F.count("*").alias("n_turns"),
         F.sum("tokens").alias("n_tokens"),
     )
     return grouped.select(
-        "conv_id",
+        "key.conv_id",
         "window",
         F.array_join(F.col("pieces.piece"), "").alias("formatted"),
         "n_repeated",
