@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -61,6 +62,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def chained(*steps: Callable) -> Callable:
+    """Several steps over batches as one, so that a task needs one Python worker for them."""
+    return lambda batches: reduce(lambda found, step: step(found), steps, batches)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; null counts as empty. No copy."""
     n = len(column)

@@ -41,7 +41,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 19
 #: Items, and bytes of their texts, that the workers get at once.
 BLOCK_ITEMS, BLOCK_BYTES = 10_000, 1 << 23
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Words outside the benchmark that a worker remembers.
 MEMORY = 300_000
 #: ASCII punctuation and digits' neighbours count as white space; letters are lower-cased.

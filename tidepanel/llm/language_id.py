@@ -36,7 +36,7 @@ ROUNDS = 3
 FLOOR = 0.01
 #: Words, and code points of words, remembered by a Python worker before it starts afresh.
 MEMORY, POINTS = 300_000, 1 << 23
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def words_of(text: str) -> list[str]:

@@ -39,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 from .suffix_array import Shard
@@ -503,7 +504,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, words: int | None = No
     schema = docs.schema
     for field in schema:
         field.nullable = True
-    out = _removed(spark, docs, words, " ").mapInArrow(text, schema)
+    out = _removed(spark, docs, words, " ", text, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
@@ -515,7 +516,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, words: int | None = Non
     return _removed(spark, docs.select(*(c for c in docs.columns if c not in FOUND)), words, "")
 
 
-def _removed(spark: SparkSession, docs: DataFrame, words: int | None, prefix: str) -> DataFrame:
+def _removed(spark: SparkSession, docs: DataFrame, words: int | None, prefix: str, last: Callable = iter, schema: StructType | None = None) -> DataFrame:
+    """docs with prefixed columns of FOUND; last: a step over their batches, and its schema."""
     if words is not None and words * CODE < 2 * GRAM:
         raise ValueError(f"a passage has {2 * GRAM // CODE} words at least")
     scratch = common.Scratch(spark)
@@ -529,7 +531,8 @@ def _removed(spark: SparkSession, docs: DataFrame, words: int | None, prefix: st
     for field in [*keyed, *out]:
         field.nullable = True
     bits = Bits(scratch, spans, "k1")
-    whole = docs.mapInArrow(_keyed(bits.shared, False, names), keyed).mapInArrow(_cut(names, prefix), out)
+    cut = common.chained(_cut(names, prefix), last)
+    whole = docs.mapInArrow(common.chained(_keyed(bits.shared, False, names), cut), schema or out)
     parts = docs.mapInArrow(_keyed(bits.shared, True, names), keyed)
     found = spans.withColumnsRenamed({"k1": " k1", "k2": " k2"})
-    return parts.join(found, [" k1", " k2"], "left").mapInArrow(_cut(names, prefix), out).unionByName(whole)
+    return parts.join(found, [" k1", " k2"], "left").mapInArrow(cut, schema or out).unionByName(whole)
