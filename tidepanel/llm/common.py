@@ -55,6 +55,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(root):
+            self.drop(*{s.getPath().getName() for s in files.listStatus(root)}.difference(names))
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

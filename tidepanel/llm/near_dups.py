@@ -191,8 +191,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85, k
     # full sets of the nodes that share a bucket
     wanted = nodes.select("nid", "row").join(members.select("nid").distinct(), "nid", "left_semi")
     sets = scratch.save(texts.join(wanted, "row").select("nid", "text").mapInArrow(_set_rows, "nid long, elements binary, " + ", ".join(f"{p} long" for p in PARITIES)), "sets")
-    if not key:
-        scratch.drop("texts")
+    scratch.keep("rows", "nodes", "members", "sets")
     labels, tested = None, None
     for turn in range(STARS + 1):
         left = members.withColumn("comp", F.col("nid")) if labels is None else members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
@@ -234,4 +233,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85, k
         owner = placed.join(least, "comp").select("sid", "component_id")
     out = rows.select("doc_id", "sid", "n_shingles").join(owner, "sid", "left")
     out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    found = scratch.save(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "found")
+    scratch.keep("found")
+    return found

@@ -477,12 +477,15 @@ def repeated_spans(scratch: common.Scratch, docs: DataFrame, length: Length = Le
     owners = texts.mapInArrow(_keyed(bits.shared, True, ["doc_id", "text"]), f"doc_id {kind}, text string, ` k1` long, ` k2` long").dropDuplicates([" k1", " k2"])
     fetched = owners.select("doc_id", "text", F.col(" k1").alias("k1")).join(asked, "k1").mapInArrow(_of(_fetch, length), "anchor long, ctx long, copies long, windows short, anchor_at short, n_contexts long, bytes binary")
     fetched = scratch.save(fetched, "fetched")
+    scratch.drop("distinct")
     cold = fetched.filter(F.col("n_contexts") <= HOT).drop("anchor_at", "n_contexts").repartition("anchor").sortWithinPartitions("anchor", "ctx")
     sharded = scratch.save(cold.mapInArrow(_of(_shards, length), MARKS), "sharded")
     hot = _hot_marks(scratch, fetched.filter(F.col("n_contexts") > HOT).drop("n_contexts"), length)
     marks = alone.unionByName(sharded).unionByName(hot)
     marked = cand.join(marks, ["anchor", "ctx"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "windows", "times", "runs")).alias("marks"))  # of one text
-    return scratch.save(marked.mapInArrow(_of(_spans, length), "k1 long, k2 long, spans array<int>"), "spans")
+    found = scratch.save(marked.mapInArrow(_of(_spans, length), "k1 long, k2 long, spans array<int>"), "spans")
+    scratch.keep("spans")
+    return found
 
 
 def decoded(kept: bytes) -> str:
@@ -523,8 +526,11 @@ def _removed(spark: SparkSession, docs: DataFrame, words: int | None, prefix: st
     scratch = common.Scratch(spark)
     spans = repeated_spans(scratch, docs).withColumnRenamed("spans", " spans")
     if words:
-        found = repeated_spans(common.Scratch(spark), docs, Length(words * CODE, True)).withColumnRenamed("spans", " word_spans")
+        more = common.Scratch(spark)
+        found = repeated_spans(more, docs, Length(words * CODE, True)).withColumnRenamed("spans", " word_spans")
         spans = scratch.save(spans.join(found, ["k1", "k2"], "full"), "united")
+        more.keep()
+        scratch.keep("united")
     names = docs.columns
     keyed = docs.selectExpr("*", "0L ` k1`", "0L ` k2`").schema
     out = docs.withColumns({prefix + c: F.lit(b"" if c == "kept_bytes" else 0).cast("binary" if c == "kept_bytes" else "long") for c in FOUND}).schema
