@@ -1,8 +1,9 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import asof, scores, windows
+from tidepanel.operators import asof, benchmarks, calendars, laws, projections, scores, windows
 
 
 def test_asof_takes_the_latest_row_at_or_before_and_minds_the_tolerance(spark):
@@ -37,3 +38,54 @@ def test_onset_needs_calm_rows(spark):
 def test_single_holes_are_carried_and_longer_ones_stay(spark):
     panel = spark.createDataFrame(list(enumerate([1.0, None, 3.0, None, None, 6.0])), "pos int, x double")
     assert [r["carried"] for r in windows.carry_one_row_holes(panel, "x").orderBy("pos").collect()] == [1.0, 1.0, 3.0, None, None, 6.0]
+
+
+def panel(spark, n=1500):
+    import random
+
+    own = random.Random(8)
+    rows = [(i, float(round(own.gauss(0, 3), 3))) for i in range(n)]
+    days = spark.createDataFrame(rows, "pos int, spread double")
+    return days.withColumn("date", F.date_add(F.lit("1995-01-01").cast("date"), "pos")).withColumn("bp", F.bround("spread").cast("int"))
+
+
+def test_a_truncated_panel_gives_the_same_forecasts(spark):
+    whole = panel(spark).cache()
+    cut = whole.filter("pos <= 900")
+    for make in (benchmarks.changes_forecast, benchmarks.reversion_walk):
+        a = {(r["decision"], r["lead"]): r["q"] for r in make(whole).filter("decision <= 890").collect()}
+        b = {(r["decision"], r["lead"]): r["q"] for r in make(cut).filter("decision <= 890").collect()}
+        assert a and a.keys() == b.keys() and all(max(abs(x - y) for x, y in zip(a[k], b[k])) < 1e-9 for k in a)
+
+
+def test_day_types_follow_the_business_calendar(spark):
+    days = spark.createDataFrame([("2000-01-28",), ("2000-01-31",), ("2000-02-01",), ("2000-09-29",), ("2000-09-30",), ("2000-10-02",), ("2000-12-29",), ("2001-01-01",), ("2001-01-02",), ("2001-06-15",)], "d string").select(F.to_date("d").alias("date"))
+    got = {str(r["date"]): r["day_type"] for r in calendars.calendar_columns(days, holidays=["2001-01-01"]).collect()}
+    assert got["2000-01-28"] == got["2000-09-30"] == "ordinary" and got["2001-06-15"] == "tax_date"
+    assert got["2000-01-31"] == got["2000-02-01"] == "turn" and got["2000-09-29"] == got["2000-10-02"] == "quarter_end_turn"
+    assert got["2000-12-29"] == got["2001-01-02"] == "year_end" and got["2001-01-01"] == "ordinary"  # a holiday is no turn
+
+
+def test_a_law_runs_from_zero_to_one_and_reads_its_quantiles_back(spark):
+    q = [float(i) for i in range(23)]
+    row = spark.range(1).select(F.array(*map(F.lit, q)).alias("q"))
+    got = row.select(*(laws.cdf(F.col("q"), x).alias(f"c{i}") for i, x in enumerate((-5.0, 0.0, 11.0, 22.0, 30.0))), laws.exceedance(F.col("q"), 21.9).alias("p")).first()
+    assert got["c0"] == 0 and got["c4"] == 1 and abs(got["c1"] - 0.01) < 1e-4 and abs(got["c2"] - 0.5) < 1e-4 and abs(got["c3"] - 0.99) < 1e-4 and abs(got["p"] - (1 - 0.9825)) < 1e-4
+
+
+def test_reads_that_break_a_rule_are_refused(spark):
+    reads = spark.createDataFrame([(5, 3, 10, 20, 3), (5, 5, 10, 20, 5), (5, 4, 30, 20, 4), (5, 2, 10, 20, 3)], "pos int, read int, at int, deadline int, newest int")
+    assert [r["rule"] for r in asof.refused(reads, "pos", "read", "at", "deadline", "newest").collect()] == ["look ahead", "not public", "stale"]
+    assert asof.require(reads.limit(1), "pos", "read", "at", "deadline", newer="newest").count() == 1
+    with pytest.raises(Exception, match="breaks the rule at row 5"):
+        asof.require(reads, "pos", "read", "at", "deadline").collect()
+
+
+def test_projections_keep_nulls_and_hazards_of_one(spark):
+    one = spark.range(1).select(F.lit(None).cast("double").alias("x"), F.array(F.lit(0.5), F.lit(1.0), F.lit(0.2)).alias("h"), F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0)).alias("v"))
+    got = one.select(
+        projections.shortfall(F.col("x"), F.lit(1.0)).alias("a"), projections.settlement_day(F.lit(1.0), F.lit(0.0), F.lit(9.0), F.col("x")).alias("b"), projections.survival(F.col("h")).alias("s"),
+        projections.first_passage(F.col("h")).alias("p"), projections.conformal_quantile(F.col("v"), 0.5).alias("c"), projections.elasticity(F.col("x"), kinked=True).alias("e"),
+    ).first()
+    assert got["a"] is None and got["b"] is None and got["e"] is None and got["c"] == 2.0
+    assert got["s"] == [0.5, 0.0, 0.0] and got["p"] == [0.5, 0.5, 0.0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import asof, calendars, resampling, reversion, scores, windows
+from .operators import asof, benchmarks, calendars, laws, resampling, reversion, scores, windows
 from .sources.tables import PANEL_SQL, VINTAGES_SQL, daily_panel, read, vintages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,11 +149,13 @@ def asof_with_tolerance(spark, d):
     return _purchases(spark, d, "6 HOURS")
 
 
-@query("SELECT o_orderpriority AS kind, o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= TIMESTAMP '1999-03-01' QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+@query("SELECT o_orderpriority AS kind, o_orderkey, o_orderdate, announced FROM (SELECT *, o_orderdate - INTERVAL 1 DAY * (o_orderkey % 40) AS announced FROM orders) WHERE o_orderdate <= TIMESTAMP '1999-03-01' AND announced <= TIMESTAMP '1999-02-10' QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, announced DESC, o_orderkey DESC) = 1")
 def policy_in_force(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("kind"), "o_orderkey", "o_orderdate")
-    at = F.lit("1999-03-01").cast("timestamp")
-    return asof.in_force(o, ["kind"], "o_orderdate", "o_orderkey", at, F.lit(1 << 60))
+    """Of what was announced by 10 February, the entry in force on 1 March."""
+    o = read(spark, d, "orders").withColumn("announced", F.col("o_orderdate") - F.make_dt_interval(F.col("o_orderkey") % 40))
+    o = o.select(F.col("o_orderpriority").alias("kind"), "o_orderkey", "o_orderdate", "announced")
+    target, known = (F.lit(x).cast("timestamp") for x in ("1999-03-01", "1999-02-10"))
+    return asof.in_force(o, ["kind"], "o_orderdate", "announced", target, known, ("o_orderkey",))
 
 
 TIERS = [("development", "1995-01-01", "1998-12-31"), ("holdout", "1999-01-01", "2000-06-30"), ("locked", "2000-07-01", "2099-12-31")]
@@ -170,15 +172,17 @@ def tier_ranges(spark, d):
 
 # --- calendars, projections
 
-CAL_SQL = """
-c0 AS (SELECT *, date_trunc('month', date)::DATE AS month, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS bday, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date DESC) AS from_end FROM panel),
-cal AS (SELECT *, CASE WHEN bday = 1 OR from_end = 1 THEN CASE WHEN CASE WHEN from_end = 1 THEN month(date) ELSE month(date - INTERVAL 1 MONTH) END = 12 THEN 'year_end'
-  WHEN CASE WHEN from_end = 1 THEN month(date) ELSE month(date - INTERVAL 1 MONTH) END IN (3, 6, 9) THEN 'quarter_end_turn' ELSE 'turn' END
+BUSINESS_SQL = f"""bd AS (SELECT d::DATE AS day, row_number() OVER (PARTITION BY date_trunc('month', d) ORDER BY d) AS k, row_number() OVER (PARTITION BY date_trunc('month', d) ORDER BY d DESC) AS e
+  FROM unnest(generate_series(TIMESTAMP '{calendars.FIRST}', TIMESTAMP '{calendars.LAST}', INTERVAL 1 DAY)) AS t(d) WHERE isodow(d) < 6)"""
+CAL_SQL = f"""
+{BUSINESS_SQL},
+c0 AS (SELECT panel.*, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS bday, coalesce(e = 2, false) AS penultimate, CASE WHEN e = 1 THEN month(date) WHEN k = 1 THEN month(date - INTERVAL 1 MONTH) END AS turn_of FROM panel LEFT JOIN bd ON date = day),
+cal AS (SELECT *, CASE WHEN turn_of = 12 THEN 'year_end' WHEN turn_of IN (3, 6, 9) THEN 'quarter_end_turn' WHEN turn_of IS NOT NULL THEN 'turn'
   WHEN month(date) IN (1, 4, 6, 9, 12) AND day(date) BETWEEN 15 AND 17 THEN 'tax_date' ELSE 'ordinary' END AS day_type FROM c0)
 """
 
 
-@query(panel_sql(f"SELECT date, CAST(bday AS INTEGER) AS bday, day_type, CAST(((date_diff('day', DATE '{calendars.MAINTENANCE}', date) % 14) + 14) % 14 AS INTEGER) AS maintenance_day, CAST(least(4, (day(date) - 1) // 7) AS INTEGER) AS bucket, (date - CAST((dayofweek(date) + 4) % 7 AS INTEGER))::DATE AS wednesday, from_end = 2 AS penultimate FROM cal", CAL_SQL))
+@query(panel_sql(f"SELECT date, CAST(bday AS INTEGER) AS bday, day_type, CAST(((date_diff('day', DATE '{calendars.MAINTENANCE}', date) % 14) + 14) % 14 AS INTEGER) AS maintenance_day, CAST(CASE WHEN day(date) <= 5 THEN 0 WHEN day(date) <= 14 THEN 1 WHEN day(date) <= 18 THEN 2 WHEN day(date) <= 23 THEN 3 ELSE 4 END AS INTEGER) AS bucket, (date - CAST((dayofweek(date) + 4) % 7 AS INTEGER))::DATE AS wednesday, penultimate FROM cal", CAL_SQL))
 def day_types(spark, d):
     return calendars.calendar_columns(daily_panel(spark, d)).select("date", "bday", "day_type", "maintenance_day", "bucket", "wednesday", "penultimate")
 
@@ -314,10 +318,15 @@ def lag_correlations(spark, d):
     return shifted.groupBy(F.col("k").cast("int").alias("k")).agg(r(F.corr("spread", "other")).alias("r"))
 
 
-@query(panel_sql("SELECT date, round(avg(spread) OVER (ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 6) AS week_mean FROM panel"))
+@query(panel_sql("SELECT date, round(avg(x), 6) AS week_mean FROM (SELECT w.date, (SELECT arg_max(p.spread, p.date) FROM panel p WHERE p.date <= w.date - i AND p.date > w.date - i - 10) AS x FROM panel w, unnest([0, 1, 2, 3, 4, 5, 6]) AS t(i)) GROUP BY 1 HAVING count(x) = 7"))
 def week_average(spark, d):
-    p = daily_panel(spark, d).withColumn("day", F.unix_date("date"))
-    return p.select("date", r(F.avg("spread").over(Window.orderBy("day").rangeBetween(-6, 0))).alias("week_mean"))
+    """The mean over seven calendar days; a day without a row carries the level before it."""
+    p = daily_panel(spark, d)
+    upto = F.coalesce(F.lead("date").over(Window.orderBy("date")), F.date_add("date", 1))
+    last = p.select("spread", F.col("date").alias("own"), F.date_sub(F.least(upto, F.date_add("date", 10)), 1).alias("until"))
+    carried = last.select("spread", "own", F.explode(F.sequence("own", "until")).alias("date"))
+    frame = Window.orderBy(F.unix_date("date")).rangeBetween(-6, 0)
+    return carried.select("date", "own", r(F.avg("spread").over(frame)).alias("week_mean"), F.count("*").over(frame).alias("n")).filter("date = own and n = 7").select("date", "week_mean")
 
 
 @query(panel_sql("SELECT pos, round(sum(volume) OVER (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 7) AS ahead FROM panel"))
@@ -325,11 +334,13 @@ def window_sum_ahead(spark, d):
     return daily_panel(spark, d).select("pos", r(F.sum("volume").over(windows.rows(1, 5)), 7).alias("ahead"))
 
 
-@query(panel_sql("SELECT o.pos, CASE WHEN count(*) OVER w = 10 THEN round(quantile_cont(o.spread, 0.5) OVER w, 9) END AS level FROM cal o WHERE day_type = 'ordinary' WINDOW w AS (ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", CAL_SQL))
+LEVELS_SQL = """ol AS (SELECT pos, CASE WHEN count(*) OVER w = 10 THEN round(quantile_cont(spread, 0.5) OVER w, 9) END AS own FROM cal WHERE day_type = 'ordinary' WINDOW w AS (ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+lev AS (SELECT p.pos, p.date, p.spread, ol.own AS level FROM panel p ASOF LEFT JOIN ol ON p.pos >= ol.pos)"""
+
+
+@query(panel_sql("SELECT pos, level FROM lev", f"{CAL_SQL}, {LEVELS_SQL}"))
 def ordinary_levels(spark, d):
-    o = calendars.calendar_columns(daily_panel(spark, d)).filter("day_type = 'ordinary'")
-    frame = windows.rows(-9, 0)
-    return o.select("pos", F.when(F.count("*").over(frame) == 10, r(F.percentile("spread", F.lit(0.5)).over(frame), 9)).alias("level"))
+    return benchmarks.ordinary_levels(daily_panel(spark, d)).select("pos", "level")
 
 
 # --- aggregates, settlement
@@ -338,14 +349,14 @@ NET_SQL = """
 SELECT l_shipdate::DATE AS settle, o_orderpriority AS kind, count(*) AS auctions, count(*) FILTER (o_orderdate <= TIMESTAMP '1998-01-01') AS announced,
 CASE WHEN count(*) FILTER (o_orderdate <= TIMESTAMP '1998-01-01') = 0 THEN 'unannounced' WHEN count(*) FILTER (o_orderdate <= TIMESTAMP '1998-01-01') < count(*) THEN 'incomplete' ELSE 'complete' END AS state,
 CASE WHEN count(*) FILTER (o_orderdate <= TIMESTAMP '1998-01-01') < count(*) THEN 0 ELSE round(sum(l_extendedprice) - max(l_quantity * 100), 2) END AS net
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '1997-12-01' AND l_shipdate < TIMESTAMP '1998-02-01' GROUP BY 1, 2
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
 """
 
 
 @query(NET_SQL)
 def net_settlement(spark, d):
     lines, orders = read(spark, d, "lineitem"), read(spark, d, "orders")
-    due = lines.filter("l_shipdate >= timestamp'1997-12-01' and l_shipdate < timestamp'1998-02-01'").join(orders, lines.l_orderkey == orders.o_orderkey)
+    due = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     known = F.count_if(F.col("o_orderdate") <= F.lit("1998-01-01").cast("timestamp"))
     out = due.groupBy(F.to_date("l_shipdate").alias("settle"), F.col("o_orderpriority").alias("kind")).agg(
         F.count("*").alias("auctions"), known.alias("announced"), F.sum("l_extendedprice").alias("offering"), F.max(F.col("l_quantity") * 100).alias("maturing")
@@ -377,12 +388,12 @@ def suppressed_runs(spark, d):
     return low.groupBy("island").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_days")).drop("island")
 
 
-@query(panel_sql("SELECT a.pos, round(avg((b.bp > 5)::INTEGER), 6) AS share, count(*) AS pool FROM cal a JOIN cal b ON a.day_type = b.day_type AND b.pos BETWEEN a.pos - 250 AND a.pos - 1 WHERE a.pos % 10 = 0 GROUP BY 1", CAL_SQL))
+@query(panel_sql("SELECT a.pos, round(avg((b.bp > 5)::INTEGER), 6) AS share, count(*) AS pool FROM cal a JOIN cal b ON a.day_type = b.day_type AND b.pos BETWEEN a.pos - 250 AND a.pos - 1 GROUP BY 1", CAL_SQL))
 def climatology(spark, d):
     c = calendars.calendar_columns(daily_panel(spark, d)).withColumn("e", (F.col("bp") > TAU).cast("int"))
     frame = Window.partitionBy("day_type").orderBy("pos").rangeBetween(-250, -1)
     got = c.select("pos", r(F.avg("e").over(frame)).alias("share"), F.count("*").over(frame).alias("pool"))
-    return got.filter("pos % 10 = 0 and pool > 0")  # every tenth day is a forecast origin
+    return got.filter("pool > 0")
 
 
 # --- forecasts and scores
@@ -452,9 +463,22 @@ def kupiec_p_value(spark, d):
     return scores.kupiec(hit, "hit", 0.05).select("n", "hits", r("p_value").alias("p_value"))
 
 
-@query(panel_sql("SELECT CAST(year(date) AS INTEGER) AS year, round(avg(power(p - e, 2)), 6) AS brier, CAST(sum(e) AS BIGINT) AS events FROM (SELECT date, (outcome > 5.5)::INTEGER AS e, CASE WHEN q[1] > 5.5 THEN 1.0 WHEN q[23] <= 5.5 THEN 0.0 ELSE 1 - (list_filter(list_transform(range(1, 23), lambda i: CASE WHEN q[i] <= 5.5 AND 5.5 < q[i + 1] THEN g[i] + (g[i + 1] - g[i]) * (5.5 - q[i]) / (q[i + 1] - q[i]) END), lambda x: x IS NOT NULL))[1] END AS p FROM (SELECT *, " + GRID_SQL + " AS g FROM fc)) GROUP BY 1", forecast_sql()))
+KNOTS_SQL = """list_concat([q[1] - 0.01 * (q[2] + 1e-6 - q[1]) / (0.025 - 0.01)], list_transform(q, lambda x, i: x + 1e-6 * (i - 1)), [q[23] + 22e-6 + (1 - 0.99) * (q[23] + 1e-6 - q[22]) / (0.99 - 0.975)])"""
+LEVEL_ENDS_SQL = f"list_concat([0.0], {GRID_SQL}, [1.0])"
+
+
+def cdf_sql(x: str) -> str:
+    """F(x) from columns e, the knots, and g, their levels."""
+    n = f"len(list_filter(e, lambda z: z < {x}))"
+    return f"CASE WHEN {n} = 0 THEN 0.0 WHEN {n} = 25 THEN 1.0 ELSE g[{n}] + ({x} - e[{n}]) / (e[{n} + 1] - e[{n}]) * (g[{n} + 1] - g[{n}]) END"
+
+
+LAW_SQL = f"{forecast_sql()}, law AS (SELECT pos, date, outcome, q, {KNOTS_SQL} AS e, {LEVEL_ENDS_SQL} AS g FROM fc)"
+
+
+@query(panel_sql(f"SELECT CAST(year(date) AS INTEGER) AS year, round(avg(power(1 - ({cdf_sql('5.5')}) - (outcome > 5.5)::INTEGER, 2)), 6) AS brier, CAST(sum((outcome > 5.5)::INTEGER) AS BIGINT) AS events FROM law GROUP BY 1", LAW_SQL))
 def brier_by_year(spark, d):
-    p, e = scores.exceedance(F.col("q"), TAU), (F.col("outcome") > TAU + 0.5).cast("int")
+    p, e = laws.exceedance(F.col("q"), TAU), (F.col("outcome") > TAU + 0.5).cast("int")
     f = _forecasts(spark, d).select("date", p.alias("p"), e.alias("e"))
     return f.groupBy(F.year("date").alias("year")).agg(r(F.avg(F.pow(F.col("p") - F.col("e"), 2))).alias("brier"), F.sum("e").alias("events"))
 

@@ -38,12 +38,38 @@ def anchors(panel: DataFrame, horizon: int = 1, business_days: int = 1, hour: in
     return asof_join(scored, public, ["k"], "deadline", "available_at", ["anchor", "anchor_spread"]).drop("k")
 
 
-def in_force(entries: DataFrame, keys: list[str], effective: str, announced: str, target: Column, known: Column) -> DataFrame:
-    """Of each key the entry that is effective by target and announced by known: the latest effective, then the latest announced."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(effective), F.desc(announced))
+def in_force(entries: DataFrame, keys: list[str], effective: str, announced: str, target: Column, known: Column, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Of each key the entry that is effective by target and announced by known: the latest effective, then the latest announced, then the largest of ties."""
+    order = Window.partitionBy(*keys).orderBy(*map(F.desc, (effective, announced, *ties)))
     return entries.filter((F.col(effective) <= target) & (F.col(announced) <= known)).withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
+def carried(series: DataFrame, at: str, days: DataFrame, day: str, values: list[str], within: int) -> DataFrame:
+    """days with the values of the latest row of a daily series at or before each, null where it is older than so many days."""
+    left = days.withColumns({"_k": F.lit(0), "_d": F.unix_date(day)})
+    right = series.select(F.lit(0).alias("_k"), F.unix_date(at).alias("_a"), F.col(at).alias("read_day"), *values)
+    found = asof_join(left, right, ["_k"], "_d", "_a", ["read_day", *values])
+    fresh = F.datediff(day, "read_day") <= within
+    return found.drop("_k", "_d").withColumns({v: F.when(fresh, F.col(v)) for v in values})
+
+
+def refused(reads: DataFrame, scored: str, read: str, available: str, deadline: str, newer: str | None = None) -> DataFrame:
+    """The reads that break a rule, with the rule: a row at or after the scored one, a value not public by its deadline, or one staler than the newest admissible row."""
+    rule = F.when(F.col(read) >= F.col(scored), "look ahead").when(F.col(available) > F.col(deadline), "not public")
+    if newer:
+        rule = rule.when(F.col(newer) > F.col(read), "stale")
+    return reads.withColumn("rule", rule).filter("rule is not null")
+
+
+def require(reads: DataFrame, *columns: str, newer: str | None = None) -> DataFrame:
+    """reads, or an error in the job where refused() names a row."""
+    scored, read, available, deadline = columns
+    bad = (F.col(read) >= F.col(scored)) | (F.col(available) > F.col(deadline))
+    if newer:
+        bad = bad | (F.col(newer) > F.col(read))
+    return reads.filter(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.concat(F.lit("a read breaks the rule at row "), F.col(scored).cast("string"))).cast("boolean")).otherwise(F.lit(True)))
+
+
 def first_published(observations: DataFrame) -> DataFrame:
     """The earliest vintage of each (series, ref_date)."""
     return observations.groupBy("series", "ref_date").agg(F.min(F.struct("available_at", "vintage", "value")).alias("v")).select("series", "ref_date", "v.*")

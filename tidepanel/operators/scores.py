@@ -46,17 +46,6 @@ def cap(q: Column, line: Column) -> Column:
     return F.when(line.isNull(), q).otherwise(F.transform(q, lambda x: F.least(x, line)))
 
 
-def exceedance(q: Column, tau: float) -> Column:
-    """Share of the grid's mass over floor(tau) + 0.5, by linear interpolation between levels, 0 or 1 beyond the ends."""
-    cut = math.floor(tau) + 0.5
-    inner = F.lit(None).cast("double")
-    for i in range(len(GRID) - 1, 0, -1):
-        a, b = F.element_at(q, i), F.element_at(q, i + 1)
-        p = GRID[i - 1] + (GRID[i] - GRID[i - 1]) * (cut - a) / (b - a)
-        inner = F.when((a <= cut) & (cut < b), 1 - p).otherwise(inner)
-    return F.when(F.element_at(q, 1) > cut, 1.0).when(F.element_at(q, len(GRID)) <= cut, 0.0).otherwise(inner)
-
-
 def chi2_1(x: Column) -> Column:
     """Tail of chi-square with one degree of freedom by a rational approximation of erfc (error under 1.2e-7)."""
     z = F.sqrt(x / 2)
@@ -69,6 +58,11 @@ def chi2_1(x: Column) -> Column:
     return t * F.exp(-z * z + poly)
 
 
+def chi2_2(x: Column) -> Column:
+    """Tail of chi-square with two degrees of freedom."""
+    return F.exp(-x / 2)
+
+
 def xlogy(n: Column, p: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(n * F.log(p))
 
@@ -109,9 +103,10 @@ def hac_variance(df: DataFrame, d: str, lags: int = 10) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Mann-Whitney area, ties counted half."""
-    rank = F.rank().over(Window.orderBy(score)) + (F.count("*").over(Window.partitionBy(score)) - 1) / 2
-    got = df.withColumn("r", rank).agg(F.sum(F.when(F.col(label) == 1, F.col("r"))).alias("s"), F.sum(label).alias("n1"), F.count("*").alias("n"))
+    """Mann-Whitney area, ties counted half; only distinct scores are ordered."""
+    by_score = df.groupBy(score).agg(F.count("*").alias("rows"), F.sum(label).alias("hits"))
+    below = F.coalesce(F.sum("rows").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = by_score.select("rows", "hits", (F.col("hits") * (below + (F.col("rows") + 1) / 2)).alias("r")).agg(F.sum("r").alias("s"), F.sum("hits").alias("n1"), F.sum("rows").alias("n"))
     return got.select("n", "n1", ((F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * (F.col("n") - F.col("n1")))).alias("auc"))
 
 
@@ -140,8 +135,14 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation of average ranks."""
-    def rank(c):
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-    return df.select(rank(x).alias("a"), rank(y).alias("b")).agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"))
+    """Correlation of average ranks; rows that are alike in both count together."""
+    both = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("m"))
+    for c in ("x", "y"):
+        below = F.coalesce(F.sum("rows").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks = both.groupBy(c).agg(F.sum("m").alias("rows")).select(c, (below + (F.col("rows") + 1) / 2).alias(f"r{c}"))
+        both = both.join(ranks, c)
+    m, a, b = F.col("m"), F.col("rx"), F.col("ry")
+    sums = both.agg(F.sum(m).alias("n"), *(F.sum(m * v).alias(k) for k, v in {"a": a, "b": b, "aa": a * a, "bb": b * b, "ab": a * b}.items()))
+    n = F.col("n")
+    cov = lambda p, q, pq: F.col(pq) - F.col(p) * F.col(q) / n
+    return sums.select("n", (cov("a", "b", "ab") / F.sqrt(cov("a", "a", "aa") * cov("b", "b", "bb"))).alias("rho"))

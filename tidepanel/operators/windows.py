@@ -92,10 +92,11 @@ def above_median_run(panel: DataFrame, c: str, n: int) -> DataFrame:
 
 
 def mid_ranks(df: DataFrame, c: str) -> DataFrame:
-    """(rows below + half of the ties) / rows, in (0, 1); and the average rank."""
-    ties, n = F.count("*").over(Window.partitionBy(c)), F.count("*").over(Window.partitionBy())
-    below = F.rank().over(Window.orderBy(c)) - 1
-    return df.withColumn("mid_rank", (below + ties / 2) / n).withColumn("average_rank", below + (ties + 1) / 2)
+    """(rows below + half of the ties) / rows, in (0, 1); and the average rank. Only distinct values are ordered."""
+    below = F.coalesce(F.sum("ties").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = df.groupBy(c).agg(F.count("*").alias("ties")).select(c, "ties", below.alias("below"), F.sum("ties").over(Window.partitionBy()).alias("rows"))
+    out = df.join(ranks, c)
+    return out.withColumn("mid_rank", (F.col("below") + F.col("ties") / 2) / F.col("rows")).withColumn("average_rank", F.col("below") + (F.col("ties") + 1) / 2).drop("ties", "below", "rows")
 
 
 def top_k_hits(df: DataFrame, group: str, score: str, flag: str, k: int) -> DataFrame:

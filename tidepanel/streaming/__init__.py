@@ -1 +1,28 @@
+"""Structured Streaming over arriving events: daily counts kept as state, first prints, late rows."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def daily_counts(events: DataFrame, delay: str = "2 days") -> DataFrame:
+    """day, event_type, n and top of a stream of events; days older than the latest event by more than ``delay`` leave the state."""
+    timed = events.withWatermark("ts", delay)
+    counted = timed.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    return counted.select(F.to_date("w.start").alias("day"), "event_type", "n", "top")
+
+
+def drained(spark: SparkSession, source: str, schema, build, folder: str) -> DataFrame:
+    """What build makes of all files of source by now: one run of the stream, its last state written under folder and read again."""
+    run = f"{folder}/{uuid.uuid4().hex}"
+    path, name = source.rsplit("/", 1)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{run}/state")
+
+    build(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{run}/state")
