@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import uuid
@@ -20,8 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The setting for the bytes that go to a Python worker at once, Spark's own value of it, and ours.
+BATCH, DEFAULT, BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
 def importable(spark: SparkSession) -> None:
-    """Python workers find this package wherever the driver was started."""
+    """Python workers find this package wherever the driver was started, and get small batches unless the session says otherwise."""
+    if spark.conf.get(BATCH, None) == DEFAULT:
+        spark.conf.set(BATCH, BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in paths:
@@ -69,6 +77,20 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(step: Callable) -> Callable:
+    """step over batches, after which the worker gives free memory back: workers live on for other tasks."""
+
+    def run(batches):
+        yield from step(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return run
+
+
 def chained(*steps: Callable) -> Callable:
     """Several steps over batches as one, so that a task needs one Python worker for them."""
     return lambda batches: reduce(lambda found, step: step(found), steps, batches)

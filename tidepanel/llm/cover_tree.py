@@ -216,7 +216,7 @@ def exact_topk(spark: SparkSession, vectors: DataFrame, k: int = K, every: int =
                 trees[size] = tree, own_ids[tree.order]
         if trees:
             shared = spark.sparkContext.broadcast(trees)
-            parts.append(plain.mapInArrow(_search_task(shared, k, scale, batch_rows), "query_id long, vec_id long, score long"))
+            parts.append(plain.mapInArrow(common.tidied(_search_task(shared, k, scale, batch_rows)), "query_id long, vec_id long, score long"))
     if not parts:
         return plain.limit(0).selectExpr("vec_id query_id", "0 rank", "vec_id", "0L score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

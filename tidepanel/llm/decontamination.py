@@ -249,7 +249,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, the
         block = own.orderBy("item_id", "text").collect()  # about block_items rows and BLOCK_BYTES bytes
         if block:
             shared = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in block]))
-            parts.append(docs.select("doc_id", "text").mapInArrow(_scan(shared, theta, to_arrow_type(item_kind)), schema))
+            parts.append(docs.select("doc_id", "text").mapInArrow(common.tidied(_scan(shared, theta, to_arrow_type(item_kind))), schema))
     if not parts:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)

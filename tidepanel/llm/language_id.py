@@ -80,7 +80,7 @@ def train(docs: DataFrame, model_path: str, train_docs: int = TRAIN_DOCS) -> Mod
     limit = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(min(1.0, train_docs / sizes[k]) * scale))) for k in langs))
     drawn = docs.filter(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(scale)) < limit[F.col("lang")])
     words = scratch.save(
-        drawn.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words"
+        drawn.select("lang", "text").mapInArrow(common.tidied(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words"
     )
     place = {k: i for i, k in enumerate(langs)}
     usable = vocabulary.usable
@@ -107,7 +107,7 @@ def train(docs: DataFrame, model_path: str, train_docs: int = TRAIN_DOCS) -> Mod
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(counts[at])], ["k", "piece", "n"])
 
-        got = words.mapInArrow(expect, "k long, piece long, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()  # pieces x languages at most
+        got = words.mapInArrow(common.tidied(expect), "k long, piece long, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()  # pieces x languages at most
         counts = np.zeros((vocabulary.size + 2, len(langs)))
         counts[got["piece"], got["k"]] = got["n"]
         typical = -counts[-2] / np.maximum(counts[-1], 1)
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model, model_path: str, names: tuple[str, st
     schema = plain.withColumns(dict(zip(names, (F.lit("").cast("string"), F.lit(0.0), F.lit(0.0))))).schema
     for field in schema:
         field.nullable = True
-    return plain.mapInArrow(label, schema)
+    return plain.mapInArrow(common.tidied(label), schema)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, model_path: str | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:

@@ -173,7 +173,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85, k
     scratch = common.Scratch(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col(key).alias("row"), "doc_id", "text") if key else scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "texts")
-    rows = scratch.save(texts.mapInArrow(_sketch_rows, f"row long, doc_id {kind}, sid binary, n_shingles long, bands array<long>"), "rows")
+    rows = scratch.save(texts.mapInArrow(common.tidied(_sketch_rows), f"row long, doc_id {kind}, sid binary, n_shingles long, bands array<long>"), "rows")
     nodes = scratch.save(
         rows.filter("sid is not null")
         .groupBy("sid")
@@ -190,7 +190,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85, k
     scratch.drop("shared")
     # full sets of the nodes that share a bucket
     wanted = nodes.select("nid", "row").join(members.select("nid").distinct(), "nid", "left_semi")
-    sets = scratch.save(texts.join(wanted, "row").select("nid", "text").mapInArrow(_set_rows, "nid long, elements binary, " + ", ".join(f"{p} long" for p in PARITIES)), "sets")
+    sets = scratch.save(texts.join(wanted, "row").select("nid", "text").mapInArrow(common.tidied(_set_rows), "nid long, elements binary, " + ", ".join(f"{p} long" for p in PARITIES)), "sets")
     scratch.keep("rows", "nodes", "members", "sets")
     labels, tested = None, None
     for turn in range(STARS + 1):
@@ -221,7 +221,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 85, k
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         with_sets = pairs.join(sets.select(F.col("nid").alias("a"), F.col("elements").alias("set_a")), "a").join(sets.select(F.col("nid").alias("b"), F.col("elements").alias("set_b")), "b")
-        seen = scratch.save(with_sets.mapInArrow(_verifier(threshold), "a long, b long, linked boolean"), f"tested-{turn}")
+        seen = scratch.save(with_sets.mapInArrow(common.tidied(_verifier(threshold)), "a long, b long, linked boolean"), f"tested-{turn}")
         tested = seen if tested is None else tested.unionByName(seen)
         if not seen.filter("linked").isEmpty():
             labels = components(scratch, tested.filter("linked"), f"turn-{turn}")

@@ -378,17 +378,17 @@ def _windows(batches: Iterator[pa.RecordBatch], length: Length) -> Iterator[pa.R
 
 def _hot_marks(scratch: common.Scratch, hot: DataFrame, length: Length) -> DataFrame:
     """Marks of contexts whose anchors are spread over many shards."""
-    cores = scratch.save(hot.mapInArrow(_of(_cores, length), "anchor long, ctx long, cores array<long>"), "cores")
+    cores = scratch.save(hot.mapInArrow(common.tidied(_of(_cores, length)), "anchor long, ctx long, cores array<long>"), "cores")
     each = cores.select("anchor", "ctx", F.explode("cores").alias("core"))
     twice = each.groupBy("anchor", "core").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "core")
     asked = each.join(twice, ["anchor", "core"], "left_semi").groupBy("anchor", "ctx").agg(F.collect_list("core").alias("repeated"))  # a context has few blocks
-    blocks = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(_of(_wholes, length), "anchor long, ctx long, core long, whole long, low int, high int"), "blocks")
+    blocks = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(common.tidied(_of(_wholes, length)), "anchor long, ctx long, core long, whole long, low int, high int"), "blocks")
     twice = blocks.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("ctx", "core")).alias("one")).filter("n > 1")
     full = blocks.join(twice, ["anchor", "whole"], "left_semi").select("anchor", "ctx", "low", "high")
     rest = blocks.join(twice, ["anchor", "whole"], "left_anti").select("anchor", "ctx", "core")
     # one block of each repeated whole stands for all of them, as windows of other blocks may equal its windows
     asked = rest.unionByName(twice.select("anchor", "one.ctx", "one.core")).groupBy("anchor", "ctx").agg(F.collect_set("core").alias("repeated"))
-    found = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(_of(_windows, length), "anchor long, ctx long, start array<int>, digest array<long>"), "windows")
+    found = scratch.save(hot.join(asked, ["anchor", "ctx"]).mapInArrow(common.tidied(_of(_windows, length)), "anchor long, ctx long, start array<int>, digest array<long>"), "windows")
     each = found.select("anchor", "ctx", F.explode(F.arrays_zip("start", "digest")).alias("w")).select("anchor", "ctx", F.col("w.start").alias("low"), F.col("w.digest").alias("digest"))
     twice = each.groupBy("anchor", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "digest")
     single = each.join(twice, ["anchor", "digest"], "left_semi").select("anchor", "ctx", "low", (F.col("low") + 1).alias("high"))
@@ -460,10 +460,10 @@ def repeated_spans(scratch: common.Scratch, docs: DataFrame, length: Length = Le
     """k1, k2 and spans (byte offsets: from, to, from, to ...) of all texts that hold a repeated string; offsets of the code where ``length`` is words."""
     texts = docs.select("doc_id", "text")
     least = 2 * (length.span // CODE) - 1 if length.words else length.span  # bytes of a text that has a window
-    rows = scratch.save(texts.filter(F.octet_length("text") >= least).mapInArrow(_of(_scan, length), "k1 long, k2 long, anchor array<long>, ctx array<long>, start array<int>, windows array<short>, anchor_at array<short>, times array<int>"), "rows")
+    rows = scratch.save(texts.filter(F.octet_length("text") >= least).mapInArrow(common.tidied(_of(_scan, length)), "k1 long, k2 long, anchor array<long>, ctx array<long>, start array<int>, windows array<short>, anchor_at array<short>, times array<int>"), "rows")
     anchors = rows.select(F.explode(F.arrays_zip("anchor", "times")).alias("a")).groupBy(F.col("a.anchor").alias("anchor")).agg(F.sum("a.times").alias("n"))
     bits = Bits(scratch, anchors.filter("n > 1"), "anchor")
-    cand = scratch.save(rows.mapInArrow(_candidates(bits.shared), "k1 long, k2 long, anchor long, ctx long, start int, windows short, anchor_at short, times int"), "cand")
+    cand = scratch.save(rows.mapInArrow(common.tidied(_candidates(bits.shared)), "k1 long, k2 long, anchor long, ctx long, start int, windows short, anchor_at short, times int"), "cand")
     scratch.drop("rows")
     distinct = scratch.save(
         cand.groupBy("anchor", "ctx").agg(F.sum("times").alias("copies"), F.min(F.struct("k1", "start", "windows", "anchor_at")).alias("at")), "distinct"
@@ -474,16 +474,16 @@ def repeated_spans(scratch: common.Scratch, docs: DataFrame, length: Length = Le
     asked = live.filter("n_contexts > 1").groupBy("k1").agg(F.collect_list(F.struct("anchor", "ctx", "copies", "start", "windows", "anchor_at", "n_contexts")).alias("asked"))  # of one text
     bits = Bits(scratch, live.filter("n_contexts > 1").select("k1").distinct(), "k1")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    owners = texts.mapInArrow(_keyed(bits.shared, True, ["doc_id", "text"]), f"doc_id {kind}, text string, ` k1` long, ` k2` long").dropDuplicates([" k1", " k2"])
-    fetched = owners.select("doc_id", "text", F.col(" k1").alias("k1")).join(asked, "k1").mapInArrow(_of(_fetch, length), "anchor long, ctx long, copies long, windows short, anchor_at short, n_contexts long, bytes binary")
+    owners = texts.mapInArrow(common.tidied(_keyed(bits.shared, True, ["doc_id", "text"])), f"doc_id {kind}, text string, ` k1` long, ` k2` long").dropDuplicates([" k1", " k2"])
+    fetched = owners.select("doc_id", "text", F.col(" k1").alias("k1")).join(asked, "k1").mapInArrow(common.tidied(_of(_fetch, length)), "anchor long, ctx long, copies long, windows short, anchor_at short, n_contexts long, bytes binary")
     fetched = scratch.save(fetched, "fetched")
     scratch.drop("distinct")
     cold = fetched.filter(F.col("n_contexts") <= HOT).drop("anchor_at", "n_contexts").repartition("anchor").sortWithinPartitions("anchor", "ctx")
-    sharded = scratch.save(cold.mapInArrow(_of(_shards, length), MARKS), "sharded")
+    sharded = scratch.save(cold.mapInArrow(common.tidied(_of(_shards, length)), MARKS), "sharded")
     hot = _hot_marks(scratch, fetched.filter(F.col("n_contexts") > HOT).drop("n_contexts"), length)
     marks = alone.unionByName(sharded).unionByName(hot)
     marked = cand.join(marks, ["anchor", "ctx"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "windows", "times", "runs")).alias("marks"))  # of one text
-    found = scratch.save(marked.mapInArrow(_of(_spans, length), "k1 long, k2 long, spans array<int>"), "spans")
+    found = scratch.save(marked.mapInArrow(common.tidied(_of(_spans, length)), "k1 long, k2 long, spans array<int>"), "spans")
     scratch.keep("spans")
     return found
 
@@ -538,7 +538,7 @@ def _removed(spark: SparkSession, docs: DataFrame, words: int | None, prefix: st
         field.nullable = True
     bits = Bits(scratch, spans, "k1")
     cut = common.chained(_cut(names, prefix), last)
-    whole = docs.mapInArrow(common.chained(_keyed(bits.shared, False, names), cut), schema or out)
-    parts = docs.mapInArrow(_keyed(bits.shared, True, names), keyed)
+    whole = docs.mapInArrow(common.tidied(common.chained(_keyed(bits.shared, False, names), cut)), schema or out)
+    parts = docs.mapInArrow(common.tidied(_keyed(bits.shared, True, names)), keyed)
     found = spans.withColumnsRenamed({"k1": " k1", "k2": " k2"})
-    return parts.join(found, [" k1", " k2"], "left").mapInArrow(cut, schema or out).unionByName(whole)
+    return parts.join(found, [" k1", " k2"], "left").mapInArrow(common.tidied(cut), schema or out).unionByName(whole)

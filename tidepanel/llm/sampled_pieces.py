@@ -262,7 +262,7 @@ def encode(spark: SparkSession, docs: DataFrame, key: str = "doc_id", model_path
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
     plain, kept = _prepared(spark, docs, key, seed)
     schema = _nullable(plain.drop(" key").withColumns({"piece_ids": F.array(F.lit(0)), "lossless": F.lit(True)}))
-    return plain.mapInArrow(_sampling(path, kept, sharpness), schema)
+    return plain.mapInArrow(common.tidied(_sampling(path, kept, sharpness)), schema)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -270,7 +270,7 @@ def decode(spark: SparkSession, encoded: DataFrame, model_path: str | None = Non
     common.importable(spark)
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
     plain = encoded.select(*(c for c in encoded.columns if c != "decoded"))
-    return plain.mapInArrow(_spelling(path, plain.columns), _nullable(plain.withColumn("decoded", F.lit(""))))
+    return plain.mapInArrow(common.tidied(_spelling(path, plain.columns)), _nullable(plain.withColumn("decoded", F.lit(""))))
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, key: str = "doc_id", model_path: str | None = None, seed: int = 0, sharpness: float = 1.0) -> DataFrame:
@@ -279,4 +279,4 @@ def round_trip(spark: SparkSession, docs: DataFrame, key: str = "doc_id", model_
     plain, kept = _prepared(spark, docs, key, seed)
     sample, spell = _sampling(path, kept, sharpness), _spelling(path, [*kept, "piece_ids", "lossless"])
     schema = _nullable(plain.drop(" key").withColumns({"piece_ids": F.array(F.lit(0)), "lossless": F.lit(True), "decoded": F.lit("")}))
-    return plain.mapInArrow(lambda batches: spell(sample(batches)), schema)
+    return plain.mapInArrow(common.tidied(common.chained(sample, spell)), schema)

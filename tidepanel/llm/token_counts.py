@@ -124,5 +124,5 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary_path: str | No
             yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), pa.array(np.diff(offsets)), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = docs.select("doc_id", "text").mapInArrow(common.tidied(count), f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
