@@ -43,7 +43,7 @@ BITS, BLOCKS, RADIUS = 64, 8, 19
 BLOCK_ITEMS, BLOCK_BYTES = 10_000, 1 << 23
 CHUNK = 1 << 20
 #: Words outside the benchmark that a worker remembers.
-MEMORY = 300_000
+MEMORY = 150_000
 #: ASCII punctuation and digits' neighbours count as white space; letters are lower-cased.
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 TABLE = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))

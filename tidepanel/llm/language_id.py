@@ -35,7 +35,7 @@ ROUNDS = 3
 #: Added to each piece's expected count.
 FLOOR = 0.01
 #: Words, and code points of words, remembered by a Python worker before it starts afresh.
-MEMORY, POINTS = 300_000, 1 << 23
+MEMORY, POINTS = 150_000, 1 << 22
 CHUNK = 1 << 18
 
 

@@ -35,8 +35,8 @@ from .components import components
 
 SHINGLE = 5
 BINS, ROWS = 125, 5  # 25 bands: at similarity 0.85 a pair shares no bucket with probability 4e-7
-CHUNK = 1 << 20
-MEMORY = 500_000
+CHUNK = 1 << 19
+MEMORY = 150_000
 #: Odd multipliers of a shingle's five words.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)

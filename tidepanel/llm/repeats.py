@@ -58,7 +58,7 @@ _FACTOR = 0x9E3779B97F4A7C15 | 1
 TABLE = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 PLACE = np.uint64((1 << 31) - 1)
 #: Bytes of a word's code, and words whose codes a Python worker remembers.
-CODE, MEMORY = 8, 300_000
+CODE, MEMORY = 8, 150_000
 #: Words as bytes.split() finds them.
 WORD = re.compile(rb"\S+")
 
