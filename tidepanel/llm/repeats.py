@@ -50,7 +50,7 @@ HOT = 256
 CORE = 32
 #: Bytes of a shard; with one anchor's contexts more it stays under 2 ** 21.
 SHARD_BYTES = 1 << 18
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: Bits of a bit set for each of its numbers, and the exponent of the most bits.
 ROOM, MOST_BITS = 8, 30
 _FACTOR = 0x9E3779B97F4A7C15 | 1
