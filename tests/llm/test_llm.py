@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import chat_windows, class_lm, cover_tree, decontamination, fixity, language_id, lattice, near_dups, repeats, sampled_pieces, token_counts
+from tidepanel.llm import chat_windows, class_lm, common, cover_tree, decontamination, fixity, language_id, lattice, near_dups, repeats, sampled_pieces, token_counts
 from tidepanel.llm.suffix_array import Shard
 
 SCHEMA = "doc_id long, text string, lang string, item_id string"  # item_id clashes with a name the operators use
@@ -257,6 +258,48 @@ def test_class_model_sums_to_one_and_base_is_the_formula(spark, docs, empty):
     assert class_lm.class_lm_scores(spark, empty).count() == 0
 
 
+def test_best_classes_are_those_of_the_greatest_likelihood():
+    rng = np.random.default_rng(5)
+    words, total = 200, 20
+    pairs = rng.integers(1, 5, (words, words)) * (rng.random((words, words)) < 0.012)
+    of = rng.integers(0, total, words)
+    member = np.eye(total)[of]
+    table = member.T @ pairs @ member
+    behind, before = pairs @ member, pairs.T @ member
+
+    def likelihood(table):
+        return class_lm.xlogx(table).sum() - class_lm.xlogx(table.sum(0)).sum() - class_lm.xlogx(table.sum(1)).sum()
+
+    # the gain is exact where no class stands on both sides of the word and its own on neither
+    some = [w for w in range(words) if behind[w].sum() + before[w].sum() and not (behind[w] * before[w]).any() and not behind[w, of[w]] + before[w, of[w]]]
+    beside = np.concatenate([behind[some], before[some]], axis=1)
+    own, slot = np.nonzero(beside)
+    got = class_lm.best_classes(np.searchsorted(own, np.arange(len(some) + 1)), slot, beside[own, slot], of[some], table, np.arange(total))
+    assert len(some) > 50 and (got != of[some]).any()
+    for w, c in zip(some, got):
+        values = []
+        for to in range(total):
+            moved = table.copy()
+            for sign, at in ((-1, of[w]), (1, to)):
+                moved[at] += sign * behind[w]
+                moved[:, at] += sign * before[w]
+            values.append(likelihood(moved))
+        assert values[c] >= max(values) - 1e-6
+
+
+def test_exchange_rounds_put_words_of_like_contexts_together(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "CLASSES", 4)
+    monkeypatch.setattr(class_lm, "HELD", 500)
+    rng = random.Random(3)
+    kinds = [[f"{k}{i:02d}{k * (i % 7)}" for i in range(40)] for k in "ab"]
+    rows = [(i, " ".join(w for _ in range(60) for w in ("the", rng.choice(kinds[0]), "of", rng.choice(kinds[1])))) for i in range(80)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("text")
+    model, _ = class_lm.fit(common.Scratch(spark), texts, head_size=200, clustered=4)
+    classes = {int(k): int(c) for k, c in zip(model.head, model.head_class)}
+    found = [Counter(classes[class_lm.key_of(w.encode())] for w in kind) for kind in kinds]
+    assert all(f.most_common(1)[0][1] >= 30 for f in found) and found[0].most_common(1)[0][0] != found[1].most_common(1)[0][0]
+
+
 def test_exchange_ends_where_no_move_helps():
     import numpy as np
 
