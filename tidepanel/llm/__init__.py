@@ -1 +1 @@
-"""Ten operators for large training-data pipelines; nothing else in the library imports this subpackage."""
+"""Thirteen operators for large training-data pipelines; nothing else in the library imports this subpackage."""

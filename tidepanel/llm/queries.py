@@ -1,4 +1,4 @@
-"""Queries and SQL of the ten operators: each applies one operator to its whole table."""
+"""Queries and SQL of the thirteen operators: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, cover_tree, fixity
+from . import chat_windows, cover_tree, exact_dedup, fixity, manifest, spelling
 from .class_lm import class_lm_scores
 from .common import Scratch, table
 from .decontamination import contaminated
@@ -66,7 +66,20 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(laid.drop("whole", "harmed"), ["file", "offset"]).select("file", "offset", "page_id", "length", "copies", "hash_a", "hash_b")
 
 
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the documents whose id has a crc32 that 7 divides, the root is recomputed from a leaf with one more character."""
+    return manifest.manifest(spark, table(spark, sf_dir, "documents"), manifest.seventh(F.col("doc_id")), {"n_chars": F.col("n_chars") + 1})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_warc_fixity, op3_language_id, op4_token_counts, op5_near_duplicates, op7_sampled_pieces, op6_exact_topk, op8_class_lm, op9_suffix_dedup, op10_chat_windows)
+    f.__name__: f for f in (op1_decontamination, op2_warc_fixity, op3_language_id, op4_token_counts, op5_near_duplicates, op7_sampled_pieces, op6_exact_topk, op8_class_lm, op9_suffix_dedup, op10_chat_windows, op11_spelling_forms, op12_exact_dedup, op13_merkle_manifest)
 }
-SQL: dict[str, str] = {"op2_warc_fixity": fixity.SQL, "op6_exact_topk": cover_tree.SQL, "op10_chat_windows": chat_windows.SQL}
+SQL: dict[str, str] = {"op2_warc_fixity": fixity.SQL, "op6_exact_topk": cover_tree.SQL, "op10_chat_windows": chat_windows.SQL, "op11_spelling_forms": spelling.SQL, "op12_exact_dedup": exact_dedup.SQL, "op13_merkle_manifest": manifest.SQL}
