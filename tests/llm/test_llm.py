@@ -254,8 +254,60 @@ def test_class_model_sums_to_one_and_base_is_the_formula(spark, docs, empty):
         r = by_id[i]
         base = sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
         assert abs(r["base_score"] - base) < 1e-6 * (1 + abs(base)) and r["n_tokens"] == len(ws) and r["n_known"] == sum(seen[w] > 0 for w in ws) and r["train_tokens"] == n
-        assert r["score"] < 0
     assert class_lm.class_lm_scores(spark, empty).count() == 0
+    model, counts = class_lm.fit(common.Scratch(spark), docs.filter(~class_lm.held_out()).select("text"), head_size=40, clustered=20)
+    head = {int(k): int(c) for k, c in zip(model.head, model.head_class)}
+    end = class_lm.key_of(class_lm.END)
+
+    def kind(w):
+        return model.end_class if w == class_lm.END else head.get(class_lm.key_of(w), int(model.tail_classes[class_lm.tail_class(w)]))
+
+    for i, ws in tokens:
+        score = 0.0
+        for v, w in zip([class_lm.END, *ws], ws):
+            score += model.log_transition[kind(v), kind(w)] + math.log10(seen[w] + 0.1) - model.log_weight[kind(w)]
+        assert abs(by_id[i]["score"] - score) < 1e-6 * (1 + abs(score))
+    # after every class, all words known and one unknown word of each tail class have probability 1 together
+    mass = np.zeros(len(model.log_weight))
+    for r in counts.collect():
+        mass[model.end_class if r["word"] == end else head.get(r["word"], int(model.tail_classes[r["tail"]]))] += r["n"] + 0.1
+    mass[model.tail_classes] += 0.1
+    mass[model.end_class] += 0 if model.end_count else 0.1
+    assert np.allclose((10**model.log_transition * (mass / 10**model.log_weight)).sum(1), 1, atol=1e-9)
+
+
+def test_rounds_never_lower_the_likelihood_nor_what_they_have_not_seen(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    rows = common.table(spark, folder, "documents").select("doc_id", "text")
+    kept = class_lm.exchanged
+    histories = []
+
+    def watched(rounds):
+        def run(*arguments):
+            history = []
+            found = kept(*arguments, rounds=rounds, history=history)
+            histories.append(history)
+            return found
+
+        return run
+
+    totals = []
+    for rounds in (0, 3):
+        monkeypatch.setattr(class_lm, "exchanged", watched(rounds))
+        scored = class_lm.class_lm_scores(spark, rows, clustered=150).groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
+        totals.append({r["held_out"]: (r["s"], r["b"]) for r in scored})
+    assert len(histories[0]) == 1
+    for before, after in zip(histories[1], histories[1][1:]):
+        assert after[0] > before[0] and after[1] > before[1]
+    assert totals[1][True][0] >= totals[0][True][0] - 1e-6 and all(t[k][0] > t[k][1] for t in totals for k in (True, False))
+
+
+@pytest.mark.parametrize("doc_id", ["null", "7"])
+def test_null_ids_are_training_text(spark, doc_id):
+    rows = spark.sql(f"SELECT CAST({doc_id} AS long) AS doc_id, text FROM VALUES ('a b a'), (NULL), ('c') AS t(text)")
+    got = class_lm.class_lm_scores(spark, rows).collect()
+    assert len(got) == 3 and all(r["train_tokens"] == 7 and not r["held_out"] and r["n_known"] == r["n_tokens"] for r in got)
+    assert sampled_pieces.round_trip(spark, rows).count() == 3
 
 
 def test_best_classes_are_those_of_the_greatest_likelihood():

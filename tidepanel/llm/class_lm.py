@@ -3,10 +3,12 @@
 Words are counted over the whole training corpus. The HEAD most frequent ones are known to every
 worker with their counts; the others' counts stay in a table and are joined. The CLUSTERED most
 frequent words are put into CLASSES classes by the exchange algorithm, which moves one word at a
-time to the class that raises the likelihood of the class bigrams most. All other head words then
-move in ROUNDS rounds of the same exchange over the whole corpus: the tokens are written as numbers once, their
+time to the class that raises the likelihood of the class bigrams most. The other head words then
+move in rounds of the same exchange over the whole corpus: the tokens are written as numbers once, their
 neighbours' classes are counted and summed in Spark, and every word takes the class of the greatest gain with the others
-held in place. Words outside the head keep one of TAIL classes by their last two bytes, where the
+held in place. As words move at once and some into each other's way, a round is two such passes, the second puts right what the first did too much of. It is taken back unless it raises both the likelihood of the
+class bigrams of all training texts and the score of every WITHHELD-th of them, whose bigrams the round has not seen; the next round
+then moves only words of more occurrences. Words outside the head keep one of TAIL classes by their last two bytes, where the
 head's words start; the end of a text is a class of its own. Then
 
     P(w | v) = P(class w | class v) * (count w + 0.1) / weight of class w
@@ -37,8 +39,12 @@ from . import common
 
 HEAD, CLUSTERED, CLASSES, TAIL = 200_000, 1000, 48, 48
 SWEEPS = 6
-#: Rounds in which the other head words move, and counts of neighbours, or tokens, that a worker holds.
-ROUNDS, HELD = 2, 1 << 20
+#: Rounds that are kept at most, passes of a round, and the least occurrences of the words that move: the first number, and the next one after each round taken back.
+ROUNDS, PASSES, LEAST = 1, 2, (1, 16, 128)
+#: One training text in so many judges a round.
+WITHHELD = 8
+#: Counts of neighbours, or tokens, that a worker holds.
+HELD = 1 << 20
 ADD = 0.1
 #: Weight of a class's overall share in its transitions, in bigrams.
 SMOOTH = 20.0
@@ -128,34 +134,36 @@ def _chunks(batches: Iterator[pa.RecordBatch], symbols: Symbols):
 
 
 def _numbers(shared):
-    """The tokens of each text, ends included, as numbers: head words from 0, the end, then the TAIL classes of all other words."""
+    """judge, and the tokens of each text, ends included, as numbers: head words from 0, the end, then the TAIL classes of all other words."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Symbols(shared.value)
-        for _, _, _, ids, offsets in _chunks(batches, symbols):
+        for batch, a, b, ids, offsets in _chunks(batches, symbols):
             of = np.concatenate([np.arange(symbols.size + 1), np.array(symbols.classes, np.int64) + symbols.size + 1]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(of[ids]))], ["ids"])
+            yield pa.RecordBatch.from_arrays([common.column(batch, "judge").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(of[ids]))], ["judge", "ids"])
 
     return number
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of tokens side by side, and of those before them; an end also stands before a text."""
+def _tokens(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of tokens side by side, of those before them, and whether their text is a judge; an end also stands before a text."""
     for batch in batches:
-        ids = common.column(batch, "ids").flatten().to_numpy()
+        lists = common.column(batch, "ids")
+        ids = lists.flatten().to_numpy()
+        judge = np.repeat(common.column(batch, "judge").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
         for a in range(0, len(ids), HELD):  # the token before a slice is known, and so no bigram is lost
             part = ids[a : a + HELD]
-            yield part, np.concatenate([[ids[a - 1] if a else end], part[:-1]])
+            yield part, np.concatenate([[ids[a - 1] if a else end], part[:-1]]), judge[a : a + HELD]
 
 
 def _bigrams(shared, end: int, width: int):
-    """Counts of neighbouring symbols."""
+    """Counts of neighbouring symbols, those of judges behind the others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
-        table = np.zeros(width * width, np.int64)
-        for ids, before in _tokens(batches, end):
-            table += np.bincount(of[before] * width + of[ids], minlength=width * width)
+        table = np.zeros(2 * width * width, np.int64)
+        for ids, before, judge in _tokens(batches, end):
+            table += np.bincount((judge * width + of[before]) * width + of[ids], minlength=len(table))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], ["pair", "n"])
 
@@ -163,12 +171,12 @@ def _bigrams(shared, end: int, width: int):
 
 
 def bigrams(numbers: DataFrame, of: np.ndarray, end: int, width: int) -> np.ndarray:
-    """Counts of neighbouring symbols, the first before the second; of: the symbol of each number."""
+    """Counts of neighbouring symbols, the first before the second, of the other training texts and of the judges; of: the symbol of each number."""
     shared = numbers.sparkSession.sparkContext.broadcast(of)
-    got = numbers.mapInArrow(common.tidied(_bigrams(shared, end, width)), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # width ** 2 rows at most
-    pairs = np.zeros(width * width)
+    got = numbers.mapInArrow(common.tidied(_bigrams(shared, end, width)), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # 2 * width ** 2 rows at most
+    pairs = np.zeros(2 * width * width)
     pairs[got["pair"]] = got["n"]
-    return pairs.reshape(width, width)
+    return pairs.reshape(2, width, width)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -237,8 +245,8 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[heads], np.add.reduceat(n, heads)
 
 
-def _neighbours(shared, fixed: int, end: int, total: int):
-    """Counts of the classes beside each head word but the first ``fixed`` ones. A slot is the class behind a word, or ``total`` and the class before it."""
+def _neighbours(shared, fixed: int, last: int, end: int, total: int):
+    """Counts of the classes beside the head words from ``fixed`` up to ``last``. A slot is the class behind a word, or ``total`` and the class before it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
@@ -247,8 +255,8 @@ def _neighbours(shared, fixed: int, end: int, total: int):
         def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array((key // (2 * total)).astype(np.int32)), pa.array((key % (2 * total)).astype(np.int32)), pa.array(n)], ["word", "slot", "n"])
 
-        for ids, before in _tokens(batches, end):
-            moving = [np.flatnonzero((x >= fixed) & (x < end)) for x in (before, ids)]
+        for ids, before, _ in _tokens(batches, end):
+            moving = [np.flatnonzero((x >= fixed) & (x < last)) for x in (before, ids)]
             behind = before[moving[0]].astype(np.int64) * (2 * total) + of[ids[moving[0]]]
             ahead = ids[moving[1]].astype(np.int64) * (2 * total) + total + of[before[moving[1]]]
             key, n = np.unique(np.concatenate([behind, ahead]), return_counts=True)
@@ -308,20 +316,52 @@ def _moves(shared, end_class: int):
     return move
 
 
-def exchanged(numbers: DataFrame, head_class: np.ndarray, fixed: int, tail_classes: np.ndarray, end_class: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of all head words after so many rounds, in which all but the first ``fixed`` ones move, and the bigrams of the classes."""
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, without what words add whatever their classes: what exchange raises."""
+    return float(xlogx(table).sum() - xlogx(table.sum(0)).sum() - xlogx(table.sum(1)).sum())
+
+
+def judged(tables: np.ndarray, sizes: np.ndarray) -> float:
+    """What the judges' score owes to the classes: their bigrams by transitions and weights of the other texts; sizes: words of each class."""
+    seen, judges = tables
+    weight = seen.sum(0) + ADD * (sizes + 1)
+    transition = (seen + SMOOTH * weight / weight.sum()) / (seen.sum(1, keepdims=True) + SMOOTH)
+    return float((judges * (np.log10(transition) - np.log10(weight))).sum())
+
+
+def exchanged(numbers: DataFrame, head_class: np.ndarray, head_counts: np.ndarray, fixed: int, tail_classes: np.ndarray, end_class: int, rounds: int = ROUNDS, history: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all head words after rounds in which all but the first ``fixed`` ones may move, and the bigrams of the classes.
+
+    history, if given, gets (likelihood, judges' score) of the start and of every round that is kept.
+    """
     context, total, end = numbers.sparkSession.sparkContext, end_class + 1, len(head_class)
     of = np.concatenate([head_class, [end_class], tail_classes])
-    table = bigrams(numbers, of, end, total)
-    for _ in range(rounds if fixed < end else 0):
-        shared, now = context.broadcast(of), context.broadcast((of[:end], table))
-        counted = numbers.mapInArrow(common.tidied(_neighbours(shared, fixed, end, total)), "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-        words = counted.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("beside"))  # 2 * total slots a word at most
-        moved = words.mapInArrow(common.tidied(_moves(now, end_class)), "word int, class int").toPandas()  # a row for each head word at most
-        of = of.copy()
-        of[moved["word"]] = moved["class"]
-        table = bigrams(numbers, of, end, total)
-    return of[:end], table
+    tables = bigrams(numbers, of, end, total)
+    score = lambda of, tables: (likelihood(tables.sum(0)), judged(tables, np.bincount(of[:end], minlength=total)))
+    best, kept, level = score(of, tables), 0, 0
+    history = history if history is not None else []
+    history.append(best)
+    others = numbers.filter("NOT judge")
+    while kept < rounds and level < len(LEAST):
+        last = int(np.searchsorted(-head_counts, -LEAST[level], side="right"))  # the head is in order of its counts
+        if last <= fixed:
+            break
+        new, then = of, tables
+        for _ in range(PASSES):
+            shared, now = context.broadcast(new), context.broadcast((new[:end], then[0]))
+            counted = others.mapInArrow(common.tidied(_neighbours(shared, fixed, last, end, total)), "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+            words = counted.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("beside"))  # 2 * total slots a word at most
+            moved = words.mapInArrow(common.tidied(_moves(now, end_class)), "word int, class int").toPandas()  # a row for each head word at most
+            new = new.copy()
+            new[moved["word"]] = moved["class"]
+            then = bigrams(numbers, new, end, total)
+        found = score(new, then)
+        if found[0] > best[0] and found[1] > best[1]:
+            of, tables, best, kept = new, then, found, kept + 1
+            history.append(best)
+        else:
+            level += 1
+    return of[:end], tables.sum(0)
 
 
 @dataclass
@@ -366,16 +406,17 @@ def fit(scratch: common.Scratch, texts: DataFrame, head_size: int = HEAD, cluste
     clustered = min(clustered, len(head))
     width = clustered + TAIL + 1
     shared = spark.sparkContext.broadcast(head)
-    numbers = scratch.save(texts.mapInArrow(common.tidied(_numbers(shared)), "ids array<int>"), "numbers")
+    judge = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(WITHHELD)) == 0  # copies of a text are on one side
+    numbers = scratch.save(texts.select("text", judge.alias("judge")).mapInArrow(common.tidied(_numbers(shared)), "judge boolean, ids array<int>"), "numbers")
     symbol = np.concatenate([head_tail + clustered, [width - 1], np.arange(TAIL) + clustered])
     symbol[:clustered] = np.arange(clustered)
-    pairs = bigrams(numbers, symbol, len(head), width)
+    pairs = bigrams(numbers, symbol, len(head), width).sum(0)
     of = exchange(pairs, clustered, CLASSES)
     total = int(of.max()) + 1
     tail_classes, end_class = of[clustered : clustered + TAIL], int(of[-1])
     head_class = tail_classes[head_tail]
     head_class[:clustered] = of[:clustered]
-    head_class, table = exchanged(numbers, head_class, clustered, tail_classes, end_class)
+    head_class, table = exchanged(numbers, head_class, head_counts, clustered, tail_classes, end_class)
     scratch.drop("numbers")
     # emission weights: count + ADD of each word of the class, and ADD for one unknown word in a tail class
     weight = np.bincount(head_class, head_counts + ADD, total).astype(float)
