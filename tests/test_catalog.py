@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidepanel import catalog, catalog_daily  # noqa: F401
+from tidepanel import catalog, catalog_daily, catalog_models  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

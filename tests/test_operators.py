@@ -1,9 +1,13 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import asof, benchmarks, calendars, laws, projections, scores, windows
+from tidepanel import streaming
+from tidepanel.operators import asof, benchmarks, calendar_terms, calendars, isotonic, laws, projections, regression, resampling, scaled_pools, scores, windows
+from tidepanel.plans.tables import Tables
 
 
 def test_asof_takes_the_latest_row_at_or_before_and_minds_the_tolerance(spark):
@@ -41,8 +45,6 @@ def test_single_holes_are_carried_and_longer_ones_stay(spark):
 
 
 def panel(spark, n=1500):
-    import random
-
     own = random.Random(8)
     rows = [(i, float(round(own.gauss(0, 3), 3))) for i in range(n)]
     days = spark.createDataFrame(rows, "pos int, spread double")
@@ -52,7 +54,13 @@ def panel(spark, n=1500):
 def test_a_truncated_panel_gives_the_same_forecasts(spark):
     whole = panel(spark).cache()
     cut = whole.filter("pos <= 900")
-    for make in (benchmarks.changes_forecast, benchmarks.reversion_walk):
+    two = scaled_pools.VARIANTS[:1]
+
+    def terms(days):
+        days = days.withColumn("coupons", F.col("pos") % 3)
+        return calendar_terms.terms_walk(days, days.select("pos", (F.col("pos") % 4 / 3).alias("state")), calendar_terms.Arm(interact=True))
+
+    for make in (benchmarks.changes_forecast, benchmarks.reversion_walk, lambda days: scaled_pools.scaled_walk(days, two), terms):
         a = {(r["decision"], r["lead"]): r["q"] for r in make(whole).filter("decision <= 890").collect()}
         b = {(r["decision"], r["lead"]): r["q"] for r in make(cut).filter("decision <= 890").collect()}
         assert a and a.keys() == b.keys() and all(max(abs(x - y) for x, y in zip(a[k], b[k])) < 1e-9 for k in a)
@@ -89,3 +97,168 @@ def test_projections_keep_nulls_and_hazards_of_one(spark):
     ).first()
     assert got["a"] is None and got["b"] is None and got["e"] is None and got["c"] == 2.0
     assert got["s"] == [0.5, 0.0, 0.0] and got["p"] == [0.5, 0.5, 0.0]
+
+
+def test_a_short_pool_falls_down_its_chain(spark):
+    days = [f"2000-{m:02d}-{d:02d}" for m in range(1, 8) for d in range(1, 29) if not (m > 3 and d > 12)]
+    rows = [(k, d, float(k)) for k, d in enumerate(sorted({*days, "2000-01-31", "2000-02-29", "2000-03-31", "2000-04-28", "2000-05-31", "2000-06-30"}))]
+    days = spark.createDataFrame(rows, "pos int, d string, spread double").withColumn("date", F.to_date("d"))
+    typed = {r["pos"]: r["day_type"] for r in calendars.calendar_columns(days).collect()}
+    got = {(r["decision"], r["lead"]): r for r in benchmarks.pool_forecast(days, least=4).collect()}
+    quarter = [(p - h, h) for p, kind in typed.items() if kind == "quarter_end_turn" and p > 110 for h in (1, 2) if (p - h, h) in got]
+    assert quarter and all(got[k]["pool"] == "turn" and got[k]["n"] >= 4 for k in quarter)  # two quarter ends before, but many turns
+    early = [k for k in got if k[0] < 20]
+    assert early and all(got[k]["pool"] in ("ordinary", "all") for k in early)
+
+
+def test_both_ends_of_a_bucket_belong_to_it(spark):
+    rows = spark.createDataFrame([(-20.0,), (-19.9,), (5.0,), (5.1,), (None,)], "v double")
+    buckets = [("low", None, -20), ("calm", -20, 5), ("high", 5, None)]
+    assert [r["b"] for r in rows.select(projections.bucket_label(F.col("v"), buckets).alias("b")).collect()] == ["low", "calm", "calm", "high", None]
+
+
+def small_regressions(spark):
+    own = np.random.default_rng(5)
+    data = []
+    for g in range(3):
+        for _ in range(60 + 30 * g):
+            x = [1.0, float(own.normal()), float(own.integers(0, 2))]
+            data.append((g, x, float(2 * x[1] - x[2] + own.standard_t(2) + g)))
+    return data, spark.createDataFrame(data, "g long, x array<double>, y double").repartition(3).cache()
+
+
+def least(x, y, w, penalty, shift=0.0):
+    penalties = np.diag([0] + [penalty] * (x.shape[1] - 1))
+    return np.linalg.solve(x.T @ (x * w[:, None]) + penalties, x.T @ (w * y) + shift * x.sum(0))
+
+
+def of_group(data, g):
+    return np.array([d[1] for d in data if d[0] == g]), np.array([d[2] for d in data if d[0] == g])
+
+
+def test_huber_fits_are_those_of_a_plain_loop(spark):
+    data, rows = small_regressions(spark)
+    for r in regression.huber(Tables(spark), rows, ["g"], 3, 5.0).collect():
+        x, y = of_group(data, r["g"])
+        b = least(x, y, np.ones(len(y)), 5.0)
+        for turn in range(1, 51):
+            e = y - x @ b
+            cut = 1.345 * max(1.4826 * np.median(abs(e - np.median(e))), 1e-6)
+            b, was = least(x, y, np.where(abs(e) <= cut, 1, cut / np.maximum(abs(e), 1e-300)), 5.0), b
+            if abs(b - was).max() < 1e-8:
+                break
+        assert r["rounds"] == turn and r["n"] == len(y) and abs(np.array(r["b"]) - b).max() < 1e-10
+
+
+def test_quantile_fits_are_those_of_a_plain_loop_and_near_the_least_loss(spark):
+    data, rows = small_regressions(spark)
+    levels = [0.1, 0.5]
+    got = regression.quantile(Tables(spark), rows, ["g"], 3, 0.0, levels, rounds=25).collect()
+    assert len(got) == 6
+    for r in got:
+        (x, y), tau = of_group(data, r["g"]), r["level"]
+        b = least(x, y, np.ones(len(y)), 0.0)
+        for _ in range(r["rounds"]):
+            b = least(x, y, 1 / (2 * np.maximum(abs(y - x @ b), 1e-3)), 0.0, (2 * tau - 1) / 2)
+        assert abs(np.array(r["b"]) - b).max() < 1e-8
+        loss = lambda b: np.maximum(tau * (y - x @ b), (tau - 1) * (y - x @ b)).sum()  # noqa: B023, E731
+        # an exact solution passes through three points
+        exact = min(loss(np.linalg.solve(x[[i, j, k]], y[[i, j, k]])) for i in range(30) for j in range(i) for k in range(j) if abs(np.linalg.det(x[[i, j, k]])) > 1e-9)
+        assert loss(np.array(r["b"])) <= exact * 1.01
+
+
+def direct_isotonic(points):
+    """The largest, over earlier starts, of the least, over later ends, of the means between."""
+    n, t = np.array([p[1] for p in points], float), np.array([p[2] for p in points], float)
+    fit = []
+    for i in range(len(points)):
+        fit.append(max(min(t[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(points))) for a in range(i + 1)))
+    return fit
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_isotonic_fits_are_direct_ones_for_any_partitions(spark, parts):
+    own = random.Random(parts)
+    rows = [(own.randrange(90) / 90, int(own.random() < 0.4)) for _ in range(400)] + [(None, 1), (0.5, None)]
+    df = spark.createDataFrame(rows, "p double, e int").repartition(5)
+    known = [r for r in rows if r[0] is not None and r[1] is not None]
+    points = [(p, sum(r[0] == p for r in known), sum(r[1] for r in known if r[0] == p)) for p in sorted({r[0] for r in known})]
+    want = direct_isotonic(points)
+    tables = Tables(spark)
+    fit = isotonic.blocks(tables, isotonic.by_score(df, "p", "e"), parts=parts).orderBy("low").collect()
+    for (p, _, _), value in zip(points, want):
+        (block,) = [b for b in fit if b["low"] <= p <= b["high"]]
+        assert abs(block["total"] / block["n"] - value) < 1e-12
+    c = isotonic.corp(Tables(spark), df, "p", "e", parts=parts).first()
+    assert c["n"] == len(known) and abs(c["miscalibration"] - c["discrimination"] + c["uncertainty"] - c["brier"]) < 1e-12
+    read = isotonic.recalibrated(spark.createDataFrame([(-1.0,), (0.31,), (2.0,), (None,)], "s double"), spark.createDataFrame(fit), "s").collect()
+    value = {r["s"]: r["fitted"] for r in read}
+    assert abs(value[-1.0] - want[0]) < 1e-12 and abs(value[2.0] - want[-1]) < 1e-12 and value[None] is None
+    assert abs(value[0.31] - want[max(k for k, p in enumerate(points) if p[0] <= 0.31)]) < 1e-12
+    none = isotonic.corp(Tables(spark), df.limit(0), "p", "e").first()
+    assert none["n"] is None and none["brier"] is None
+
+
+def test_stationary_blocks_fill_their_resamples_and_have_their_mean_length(spark):
+    size = spark.range(1).select(F.lit(500).cast("long").alias("n"))
+    got = resampling.stationary_draws(spark, size, 8.0, 60).collect()
+    for k in range(60):
+        own = sorted((r["t"], r["days"]) for r in got if r["replicate"] == k)
+        assert [t for t, _ in own] == [sum(d for _, d in own[:i]) for i in range(len(own))] and sum(d for _, d in own) == 500
+    assert 7 < 60 * 500 / len(got) < 9
+    assert {r["days"] for r in resampling.stationary_draws(spark, size, 1.0, 2).collect()} == {1}
+
+
+def test_studentised_intervals_are_those_of_a_plain_computation(spark):
+    own, n = np.random.default_rng(2), 120
+    v, member = own.normal(size=n), own.random(n) < 0.4
+    series = spark.createDataFrame([(3 * k, float(v[k])) for k in range(n)], "pos long, value double")
+    members = spark.createDataFrame([(3 * k, d) for k in range(n) for d in ("all", "some") if d == "all" or member[k]] + [(0, "one"), (0, "one")], "pos long, domain string")
+    got = {r["domain"]: r for r in resampling.domain_intervals(spark, series, members, 5.0, 50, 0.9, 4).collect()}
+    draws = resampling.stationary_draws(spark, spark.range(1).select(F.lit(n).cast("long").alias("n")), 5.0, 50).collect()
+
+    def variance(u):
+        return (u @ u + 2 * sum((1 - k / 5) * (u[k:] @ u[:-k]) for k in range(1, 5))) / len(u)
+
+    for name, inside in (("all", np.ones(n, bool)), ("some", member)):
+        mean, k = v[inside].mean(), inside.sum()
+        error = math.sqrt(variance(np.where(inside, v - mean, 0)) / n) * n / k
+        ratios = []
+        for rep in range(50):
+            at = np.concatenate([(r["start"] + np.arange(r["days"])) % n for r in sorted((r for r in draws if r["replicate"] == rep), key=lambda r: r["t"])])
+            own_mean = v[at][inside[at]].mean()
+            ratios.append((own_mean - mean) / (math.sqrt(variance(np.where(inside[at], v[at] - own_mean, 0)) / n) * n / inside[at].sum()))
+        r = got[name]
+        assert r["n"] == k and abs(r["standard_error"] - error) < 1e-10 and r["unavailable"] is None
+        assert abs(r["lower"] - (mean - np.quantile(ratios, 0.95) * error)) < 1e-8 and abs(r["upper"] - (mean - np.quantile(ratios, 0.05) * error)) < 1e-8
+    assert got["one"]["unavailable"] and got["one"]["lower"] is None and got["one"]["n"] == 1
+
+
+def test_streams_read_folders_drop_late_rows_and_go_on_from_their_state(spark, tmp_path):
+    def write(rows):
+        spark.createDataFrame(rows, "t string, event_type string, value double").select(F.to_timestamp("t").alias("ts"), "event_type", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    write([("2024-01-01 10:00:00", "a", 1.0), ("2024-01-02 10:00:00", "a", 2.0)])
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    run = lambda: streaming.drained(streaming.daily_counts(streaming.source(spark, str(tmp_path / "in"), schema), "1 day"), str(tmp_path / "run"))
+    assert run().count() == 0  # no day is closed yet
+    write([("2024-01-09 10:00:00", "a", 3.0), ("2024-01-01 11:00:00", "a", 9.0)])  # the second is late, yet its day is still open
+    assert {(str(r["day"]), r["n"], r["top"]) for r in run().collect()} == {("2024-01-01", 2, 9.0), ("2024-01-02", 1, 2.0)}
+    write([("2024-01-03 10:00:00", "a", 7.0), ("2024-01-20 10:00:00", "a", 4.0)])  # the first comes after its day was dropped
+    assert {(str(r["day"]), r["n"]) for r in run().collect()} == {("2024-01-01", 2), ("2024-01-02", 1), ("2024-01-09", 1)}
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none"))
+    assert streaming.drained(streaming.daily_counts(streaming.source(spark, str(tmp_path / "none"), schema))).count() == 0
+
+
+def test_captures_are_on_time_late_or_missed_in_one_batch_or_several(spark, tmp_path):
+    due = [("u", 1, "2024-01-01 00:00:00"), ("u", 2, "2024-01-02 00:00:00"), ("v", 3, "2024-01-01 00:00:00"), ("v", 9, "2024-01-20 00:00:00")]
+    records = [("u", "2024-01-01 01:00:00"), ("u", "2024-01-02 09:00:00"), ("w", "2024-01-01 02:00:00"), ("v", "2024-01-19 00:00:00")]
+    found = []
+    for case, order in (("whole", [(due, records)]), ("parts", [(due[:1] + due[2:3], records[1:3]), (due[1:2], records[:1]), (due[3:], records[3:])])):
+        for left, right in order:
+            spark.createDataFrame(left, "k string, due_id int, t string").select("k", "due_id", F.to_timestamp("t").alias("due_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / case / "due"))
+            spark.createDataFrame(right, "k string, t string").select("k", F.to_timestamp("t").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / case / "records"))
+            read = [streaming.source(spark, str(tmp_path / case / n), spark.read.parquet(str(tmp_path / case / n)).schema) for n in ("due", "records")]
+            got = streaming.drained(streaming.captures(*read, ["k"], "6 HOURS", "24 HOURS"), str(tmp_path / case / "run"))
+        found.append({(r["due_id"], r["status"]) for r in got.collect()})
+    assert found[0] == found[1] == {(1, "captured"), (2, "late"), (3, "missed")}

@@ -9,7 +9,7 @@ from .catalog import ANCHOR_SQL, BUSINESS_SQL, CAL_SQL, GRID_SQL, HITS_SQL, LAW_
 from .catalog import CHAIN_SQL, SCARCITY_SQL
 from .operators import asof, benchmarks, calendars, laws, projections, scores, windows
 from .sources.tables import VINTAGES_SQL, daily_panel, read, vintages
-from .streaming import daily_counts, drained
+from .streaming import captures, daily_counts, drained, source
 
 THREE = ((0.05, "q05"), (0.5, "q50"), (0.95, "q95"))
 
@@ -38,7 +38,7 @@ def benchmark_changes(spark, d):
 POOLS_SQL = f"""{CAL_SQL}, {DECISION_SQL},
 wn AS (SELECT decision, kind, count(*) AS n, quantile_cont(spread, [0.05, 0.5, 0.95]) AS q FROM dc JOIN (SELECT pos, date, spread, unnest([day_type, 'all']) AS kind FROM cal) c ON c.pos <= anchor AND c.date > day - INTERVAL 12 MONTH GROUP BY 1, 2),
 tg AS (SELECT pos - k AS decision, CAST(k AS INTEGER) AS lead, day_type FROM cal, unnest([1, 2, 3, 4, 5]) AS u(k)),
-cp AS (SELECT tg.decision, lead, CASE WHEN a.n >= 4 THEN day_type WHEN day_type = 'year_end' AND b.n >= 4 THEN 'quarter_end_turn' WHEN day_type = 'year_end' AND c.n >= 4 THEN 'turn' ELSE 'all' END AS pool
+cp AS (SELECT tg.decision, lead, CASE WHEN a.n >= 4 THEN day_type WHEN day_type = 'year_end' AND b.n >= 4 THEN 'quarter_end_turn' WHEN day_type IN ('year_end', 'quarter_end_turn') AND c.n >= 4 THEN 'turn' ELSE 'all' END AS pool
   FROM tg LEFT JOIN wn a ON a.decision = tg.decision AND a.kind = day_type LEFT JOIN wn b ON b.decision = tg.decision AND b.kind = 'quarter_end_turn' LEFT JOIN wn c ON c.decision = tg.decision AND c.kind = 'turn')"""
 
 
@@ -48,16 +48,21 @@ def benchmark_pools(spark, d):
     return benchmarks.pool_forecast(daily_panel(spark, d)).select("decision", "lead", "pool", "n", *three("q", 10))
 
 
-WALK_SQL = f"""{CAL_SQL}, {LEVELS_SQL}, {DECISION_SQL},
-pr AS (SELECT b.pos, b.date, CAST(h AS INTEGER) AS lead, a.spread - a.level AS x, b.spread - a.level AS y FROM lev a, unnest([1, 2, 3, 4, 5]) AS u(h), panel b WHERE b.pos = a.pos + h + 1 AND a.level IS NOT NULL),
-md AS (SELECT *, (row_number() OVER (ORDER BY decision) - 1) // 21 AS block FROM dc WHERE decision >= 500),
-ft AS (SELECT block, arg_min(day, decision) AS day, arg_min(anchor, decision) AS anchor, min(decision) AS fitted FROM md GROUP BY 1),
-ins AS (SELECT block, fitted, lead, x, y FROM ft JOIN pr ON pr.pos <= anchor AND pr.date > day - INTERVAL 24 MONTH),
-sm AS (SELECT block, fitted, lead, count(*) AS n, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM ins GROUP BY 1, 2, 3),
-ls AS (SELECT block, i / 100 AS phi, round(sum(yy - 2 * power(i / 100, lead + 1) * xy + power(i / 100, 2 * (lead + 1)) * xx), 3) AS loss, min(n) AS least, count(*) AS leads FROM sm, unnest(range(0, 101)) AS g(i) GROUP BY 1, 2),
+#: Decisions from the first that has 60 pairs of every lead on, refits every 21 of them, their pairs, phis and pools of residuals.
+PAIRS_SQL = f"""{CAL_SQL}, {LEVELS_SQL}, {DECISION_SQL},
+si AS (SELECT min(pos) AS since FROM lev WHERE level IS NOT NULL),
+kn AS (SELECT d.*, d.decision - d.anchor AS lag, lev.level, coalesce(since <= d.anchor AND d.anchor - greatest((SELECT count(*) FROM panel WHERE date <= day - INTERVAL 24 MONTH), since + 5 + d.decision - d.anchor) + 1 >= 60, false) AS ready FROM dc d JOIN lev ON lev.pos = d.anchor, si),
+md AS (SELECT *, (row_number() OVER (ORDER BY decision) - 1) // 21 AS block FROM kn WHERE decision >= (SELECT min(decision) FROM kn WHERE ready)),
+ft AS (SELECT block, arg_min(day, decision) AS day, arg_min(anchor, decision) AS anchor, arg_min(lag, decision) AS lag, min(decision) AS fitted FROM md GROUP BY 1),
+ins AS (SELECT block, fitted, CAST(h AS INTEGER) AS lead, h + lag AS k, a.pos AS origin, t.pos AS target, a.spread - a.level AS x, t.spread - a.level AS y FROM ft JOIN panel t ON t.pos <= anchor AND t.date > day - INTERVAL 24 MONTH, unnest([1, 2, 3, 4, 5]) AS u(h), lev a WHERE a.pos = t.pos - h - lag AND a.level IS NOT NULL),
+sm AS (SELECT block, fitted, lead, k, count(*) AS n, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM ins GROUP BY 1, 2, 3, 4),
+ls AS (SELECT block, i / 100 AS phi, round(sum(yy - 2 * power(i / 100, k) * xy + power(i / 100, 2 * k) * xx), 3) AS loss, min(n) AS least, count(*) AS leads FROM sm, unnest(range(0, 101)) AS g(i) GROUP BY 1, 2),
 ph AS (SELECT block, phi FROM ls WHERE least >= 60 AND leads = 5 QUALIFY row_number() OVER (PARTITION BY block ORDER BY loss, phi) = 1),
-po AS (SELECT block, fitted, phi, lead, quantile_cont(y - power(phi, lead + 1) * x, [0.05, 0.5, 0.95]) AS pool FROM ins JOIN ph USING (block) GROUP BY 1, 2, 3, 4),
-wk AS (SELECT decision, lead, fitted, phi, level + power(phi, lead + 1) * (last - level) AS centre, pool FROM md JOIN po USING (block) JOIN lev ON lev.pos = anchor WHERE level IS NOT NULL)"""
+rs AS (SELECT ins.*, phi, y - power(phi, k) * x AS raw FROM ins JOIN ph USING (block)),
+ce AS (SELECT decision, anchor, block, fitted, phi, CAST(lead AS INTEGER) AS lead, level + power(phi, lead + lag) * (last - level) AS centre FROM md JOIN ph USING (block) JOIN (SELECT block, fitted FROM ft) USING (block), unnest([1, 2, 3, 4, 5]) AS u(lead) WHERE level IS NOT NULL)"""
+WALK_SQL = f"""{PAIRS_SQL},
+po AS (SELECT block, lead, quantile_cont(raw, [0.05, 0.5, 0.95]) AS pool FROM rs GROUP BY 1, 2),
+wk AS (SELECT * FROM ce JOIN po USING (block, lead))"""
 
 
 @query(panel_sql("SELECT decision, lead, fitted, phi, round(centre + pool[1], 5) AS q05, round(centre + pool[2], 5) AS q50, round(centre + pool[3], 5) AS q95 FROM wk", WALK_SQL))
@@ -129,14 +134,14 @@ def policy_state(spark, d):
 # --- calendars
 
 MONTH_END = "date_diff('day', date, last_day(date))"
-FLAGS_SQL = f"fl AS (SELECT *, (month(date) % 3 = 0 AND {MONTH_END} = 0)::DOUBLE AS quarter_end, (month(date) IN (1, 4, 6, 9) AND day(date) = 15)::DOUBLE AS tax, CAST({MONTH_END} AS DOUBLE) AS to_end, CASE WHEN n <> 7 THEN greatest(0, n - 8) END AS coupons FROM panel)"
+FLAGS_SQL = f"fl AS (SELECT *, (month(date) % 3 = 0 AND {MONTH_END} = 0)::DOUBLE AS quarter_end, (month(date) IN (1, 4, 6, 9, 12) AND day(date) BETWEEN 15 AND 17)::DOUBLE AS tax, CAST({MONTH_END} AS DOUBLE) AS to_end, CASE WHEN n <> 7 THEN greatest(0, n - 8) END AS coupons FROM panel)"
 
 
 def _flags(spark, d):
     p = daily_panel(spark, d)
     to_end = F.datediff(F.last_day("date"), "date").cast("double")
     quarter = ((F.month("date") % 3 == 0) & (to_end == 0)).cast("double")
-    tax = (F.month("date").isin(1, 4, 6, 9) & (F.dayofmonth("date") == 15)).cast("double")
+    tax = calendars.tax_day(F.col("date")).cast("double")
     return p.withColumns({"quarter_end": quarter, "tax": tax, "to_end": to_end, "coupons": F.when(F.col("n") != 7, F.greatest(F.lit(0), F.col("n") - 8))})
 
 
@@ -179,7 +184,7 @@ RATIO_SQL = "ra AS (SELECT date, spread, rate, CASE WHEN n > 3 THEN volume END A
     panel_sql(
         "SELECT date, (buffer < 12)::DOUBLE AS depleted, round(rate * (buffer < 12)::DOUBLE, 10) AS level_when_depleted, round(exp((0.12 - ratio) / 0.02), 6) AS slope, round(CASE WHEN ratio IS NOT NULL THEN exp(greatest(0, 0.12 - ratio) / 0.02) END, 6) AS kinked_slope, "
         "round(CASE WHEN buffer IS NOT NULL AND flow IS NOT NULL THEN greatest(0, greatest(0, flow) - buffer) END, 10) AS shortfall, round(CASE WHEN buffer IS NOT NULL AND flow IS NOT NULL THEN least(greatest(flow, 0), greatest(buffer, 0)) - flow END, 10) AS reserve_change, "
-        "round(ratio - 0.12, 6) AS distance, ((round_even(flow, 0) % 25) + 25) % 25 <> 0 AS technical, CASE WHEN spread IS NULL THEN NULL WHEN spread < -20 THEN 'low' WHEN spread < 5 THEN 'calm' ELSE 'high' END AS bucket FROM ra",
+        "round(ratio - 0.12, 6) AS distance, ((round_even(flow, 0) % 25) + 25) % 25 <> 0 AS technical, CASE WHEN spread IS NULL THEN NULL WHEN spread <= -20 THEN 'low' WHEN spread <= 5 THEN 'calm' ELSE 'high' END AS bucket FROM ra",
         RATIO_SQL,
     )
 )
@@ -268,7 +273,7 @@ def rolling_coverage(spark, d):
     return f.select("pos", over("inside", 60).alias("coverage_60"), over("above", 125).alias("above_125"))
 
 
-@query(panel_sql("SELECT day_type, count(*) AS n, round((list_sort(list(abs(q[12] - outcome))))[CAST(least(count(*), greatest(1, ceil(round(0.9 * (count(*) + 1), 9)))) AS BIGINT)], 6) AS conformal_90, CASE WHEN count(*) < 20 THEN 'none' WHEN count(*) < 60 THEN 'thin' ELSE 'full' END AS support FROM fc JOIN (SELECT pos - 1 AS pos, day_type FROM cal) USING (pos) GROUP BY 1", f"{CAL_SQL}, {forecast_sql()}"))
+@query(panel_sql("SELECT day_type, count(*) AS n, round((list_sort(list(abs(q[12] - outcome))))[CAST(least(count(*), greatest(1, ceil(0.9::DOUBLE * (count(*) + 1)))) AS BIGINT)], 6) AS conformal_90, CASE WHEN count(*) < 20 THEN 'none' WHEN count(*) < 60 THEN 'thin' ELSE 'full' END AS support FROM fc JOIN (SELECT pos - 1 AS pos, day_type FROM cal) USING (pos) GROUP BY 1", f"{CAL_SQL}, {forecast_sql()}"))
 def conformal_by_day_type(spark, d):
     """The 90 % order statistic of absolute errors of each day type, and how far its days suffice."""
     target = calendars.calendar_columns(daily_panel(spark, d)).select((F.col("pos") - 1).alias("pos"), "day_type")
@@ -343,11 +348,27 @@ def window_digests(spark, d):
 
 # --- streams
 
+def _stream(spark, d):
+    path = f"{d}/events.parquet"
+    return source(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
-@query("SELECT ts::DATE AS day, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2")
+
+@query("SELECT ts::DATE AS day, event_type, count(*) AS n, max(value) AS top FROM events WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2")
 def stream_daily_counts(spark, d):
-    """The events read as a stream until it has drained."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidepanel-checkpoints"
-    schema = read(spark, d, "events").schema
-    stamped = lambda s: daily_counts(s.withColumn("ts", F.col("ts").cast("timestamp")))
-    return drained(spark, f"{d}/events.parquet", schema, stamped, folder)
+    """The events read as a stream until it has drained: the days that are closed by then."""
+    return drained(daily_counts(_stream(spark, d)))
+
+
+@query(
+    """WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts FROM events WHERE event_type = 'view'),
+    m AS (SELECT p.event_id, p.ts, max(v.ts <= p.ts + INTERVAL 6 HOUR) AS soon FROM p LEFT JOIN v ON v.user_id = p.user_id AND v.ts BETWEEN p.ts AND p.ts + INTERVAL 24 HOUR GROUP BY 1, 2)
+    SELECT event_id, CASE WHEN soon IS NULL THEN 'missed' WHEN soon THEN 'captured' ELSE 'late' END AS status FROM m
+    WHERE soon IS NOT NULL OR ts + INTERVAL 24 HOUR < least((SELECT max(ts) FROM p), (SELECT max(ts) FROM v)) - INTERVAL 1 DAY"""
+)
+def stream_captures(spark, d):
+    """After each purchase a view of its user is due within 6 hours, late up to 24; what is missed shows when both streams are past that."""
+    due = _stream(spark, d).filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("due_id"), F.col("ts").alias("due_at"))
+    views = _stream(spark, d).filter("event_type = 'view'").select("user_id", F.col("ts").alias("at"))
+    met = drained(captures(due, views, ["user_id"], "6 HOURS", "24 HOURS"))
+    # a due row has a record for every view; the earliest status in time tells
+    return met.groupBy(F.col("due_id").alias("event_id")).agg(F.min("status").alias("status"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MAINTENANCE = "1995-01-04"
 
 
+#: The months of tax deadlines.
+TAX_MONTHS = [1, 4, 6, 9, 12]
 #: Last day of month of each bucket but the last.
 BUCKET_ENDS = [5, 14, 18, 23]
 #: The days that calendars cover unless told otherwise.
@@ -28,6 +30,11 @@ def bucket(day_of_month: Column) -> Column:
     return sum(((day_of_month > end).cast("int") for end in BUCKET_ENDS), F.lit(0))
 
 
+def tax_day(date: Column) -> Column:
+    """The 15th of the tax months and the two days after it."""
+    return F.month(date).isin(TAX_MONTHS) & F.dayofmonth(date).between(15, 17)
+
+
 def calendar_columns(panel: DataFrame, first: str = FIRST, last: str = LAST, holidays: list[str] | None = None) -> DataFrame:
     """month, market-day ordinal from both ends, day type, maintenance day, day-of-month bucket, the Wednesday before and the penultimate business day.
 
@@ -38,8 +45,7 @@ def calendar_columns(panel: DataFrame, first: str = FIRST, last: str = LAST, hol
     base = panel.withColumn("month", month).withColumn("bday", F.row_number().over(own.orderBy("date"))).withColumn("from_end", F.row_number().over(own.orderBy(F.desc("date"))))
     base = base.join(business_days(panel.sparkSession, first, last, holidays), F.col("date") == F.col("day"), "left").drop("day")
     turn = F.when(F.col("e") == 1, F.month("date")).when(F.col("k") == 1, F.month(F.add_months("date", -1)))
-    tax = F.month("date").isin(1, 4, 6, 9, 12) & F.dayofmonth("date").between(15, 17)
-    kind = F.when(turn == 12, "year_end").when(turn % 3 == 0, "quarter_end_turn").when(turn.isNotNull(), "turn").when(tax, "tax_date").otherwise("ordinary")
+    kind = F.when(turn == 12, "year_end").when(turn % 3 == 0, "quarter_end_turn").when(turn.isNotNull(), "turn").when(tax_day(F.col("date")), "tax_date").otherwise("ordinary")
     return base.withColumns(
         {
             "day_type": kind,

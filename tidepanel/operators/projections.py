@@ -58,11 +58,11 @@ def technical(change_bps: Column) -> Column:
 
 
 def in_bucket(value: Column, low: float | None, high: float | None) -> Column:
-    """low <= value < high, an end that is None is open."""
+    """low <= value <= high, an end that is None is open; of two buckets that meet, the first has the end."""
     ok = value.isNotNull()
     if low is not None:
         ok = ok & (value >= low)
-    return ok if high is None else ok & (value < high)
+    return ok if high is None else ok & (value <= high)
 
 
 def bucket_label(value: Column, buckets: list[tuple[str, float | None, float | None]]) -> Column:
@@ -116,5 +116,5 @@ def shrunk(raw: Column, n: Column, k: float) -> Column:
 def conformal_quantile(values: Column, level: float) -> Column:
     """The ceil(level * (n + 1))-th smallest of an array, within its ends."""
     n = F.size(values)
-    place = F.least(F.greatest(F.ceil(F.round(level * (n + 1), 9)), F.lit(1)), n).cast("int")
+    place = F.least(F.greatest(F.ceil(level * (n + 1)), F.lit(1)), n).cast("int")
     return F.when(n > 0, F.element_at(F.array_sort(values), place))
