@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel import streaming
-from tidepanel.operators import asof, benchmarks, calendar_terms, calendars, isotonic, laws, projections, regression, resampling, scaled_pools, scores, windows
+from tidepanel.operators import asof, benchmarks, calendar_terms, calendars, isotonic, laws, projections, regression, resampling, scaled_pools, scores, trackers, windows
 from tidepanel.plans.tables import Tables
 
 
@@ -262,3 +262,58 @@ def test_captures_are_on_time_late_or_missed_in_one_batch_or_several(spark, tmp_
             got = streaming.drained(streaming.captures(*read, ["k"], "6 HOURS", "24 HOURS"), str(tmp_path / case / "run"))
         found.append({(r["due_id"], r["status"]) for r in got.collect()})
     assert found[0] == found[1] == {(1, "captured"), (2, "late"), (3, "missed")}
+
+
+def plain_bands(rows, gains, flags):
+    """The update written out over lists, every sum taken afresh."""
+    done, out = [], []
+    for k, (day, anchor, low, high, flag, actual) in enumerate(rows):
+        seen = [d for d in done if d[0] <= anchor]
+        tracker = errors = 0.0
+        for i, d in enumerate(seen):
+            before = [x[2] for x in seen[:i]][-100:]
+            scale = max(1.0, max(before) - min(before)) if before else 1.0
+            tracker += gains.step * scale * (d[3] - gains.miss)
+            errors += d[3] - gains.miss
+        recent = [d[2] for d in seen][-100:]
+        scale = max(1.0, max(recent) - min(recent)) if recent else 1.0
+        n = len(seen)
+        part = gains.gain * scale * math.tan(max(-1.5, min(1.5, errors * math.log(n + 1) / (gains.saturation * (n + 1)))))
+        cast = 0.0
+        if n >= gains.scorecast_from:
+            x = np.array([[1.0, *d[1]] for d in seen])
+            use = [0] + [c for c in range(1, flags + 1) if 5 <= x[:, c].sum() <= n - 5]
+            cast = float(np.linalg.lstsq(x[:, use], np.array([d[2] for d in seen]), rcond=None)[0] @ np.array([1.0, *flag])[use])
+        width = tracker + part + cast
+        lower, upper = low - width, high + width
+        if lower > upper:
+            lower = upper = (lower + upper) / 2
+        out.append((day, n, width, lower, upper))
+        if actual is not None:
+            done.append((day, flag, max(low - actual, actual - high), float(not lower <= actual <= upper)))
+    return out
+
+
+def test_bands_are_those_of_a_plain_fold_in_one_batch_and_in_several(spark, tmp_path):
+    own = random.Random(4)
+    days = [f"2024-{m:02d}-{d:02d}" for m in range(1, 5) for d in range(1, 29)]
+    rows = {s: [(days[k], days[k - 2], -1.0, 1.0, [float(k % 3 == 0)], None if k % 17 == 0 else own.gauss(0, 1.5)) for k in range(2, len(days))] for s in "ab"}
+    schema = "series string, day date, anchor date, low double, high double, flags array<double>, actual double"
+
+    def frame(keep):
+        flat = [(s, d, a, lo, hi, f, y) for s in rows for d, a, lo, hi, f, y in rows[s] if keep(d)]
+        made = spark.createDataFrame(flat, "series string, day string, anchor string, low double, high double, flags array<double>, actual double")
+        return made.select("series", F.to_date("day").alias("day"), F.to_date("anchor").alias("anchor"), "low", "high", "flags", "actual")
+
+    gains = trackers.Gains(step=0.2, saturation=5.0)
+    want = {(s, d): (n, w, lo, hi) for s in rows for d, n, w, lo, hi in plain_bands(rows[s], gains, 1)}
+    whole = {(r["series"], str(r["day"])): (r["observed"], r["width"], r["lower"], r["upper"]) for r in trackers.bands(frame(lambda d: True), gains, 1).collect()}
+    assert whole.keys() == want.keys() and all(np.allclose(whole[k], want[k], atol=1e-7) for k in want)
+    for k, month in enumerate(("2024-01", "2024-02", "2024-03", "2024-04")):
+        frame(lambda d, m=month: d.startswith(m)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streaming.source(spark, str(tmp_path / "in"), spark.read.schema(schema).parquet(str(tmp_path / "in")).schema)
+        got = streaming.drained(trackers.bands_of_stream(stream, gains, 1), str(tmp_path / "run"))
+    parts = {(r["series"], str(r["day"])): (r["observed"], r["width"], r["lower"], r["upper"]) for r in got.collect()}
+    assert parts.keys() == whole.keys() and all(np.allclose(parts[k], whole[k], atol=1e-9) for k in whole)
+    with pytest.raises(Exception, match="would be known before its band"):
+        trackers.bands(frame(lambda d: True).withColumn("anchor", F.col("day")), gains, 1).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import CAL_SQL, LAW_SQL, SCARCITY_SQL, TAU, _forecasts, _states, cdf_sql, panel_sql, query, r
 from .catalog_daily import PAIRS_SQL, THREE, three
-from .operators import benchmarks, calendar_terms, calendars, isotonic, laws, resampling, scaled_pools, scores, windows
+from .operators import benchmarks, calendar_terms, calendars, isotonic, laws, resampling, scaled_pools, scores, trackers, windows
 from .operators import quantile_terms as quantile_terms_
 from .plans.tables import Tables
 from .sources.tables import daily_panel
@@ -195,3 +195,35 @@ def domain_intervals(spark, d):
     members = days.select("pos", F.explode(F.array("day_type", F.lit("all"))).alias("domain"))
     found = resampling.domain_intervals(spark, days.filter("value is not null").select("pos", "value"), members, LENGTH, REPLICATES, 0.9, LAGS)
     return found.select("domain", "n", r("mean").alias("mean"), r("standard_error").alias("standard_error"), "draws", "dropped", "unavailable", r("lower", 5).alias("lower"), r("upper", 5).alias("upper"))
+
+
+# --- online calibration
+
+
+def _tracked(spark, d):
+    """Mean reversion's outer quantiles of every decision and lead as a series a lead, with the target's calendar flags and outcome."""
+    p, tables = daily_panel(spark, d), Tables(spark)
+    p = tables.keep(p.withColumn("coupons", F.when(F.col("n") != 7, F.greatest(F.lit(0), F.col("n") - 8))), "panel")
+    dates = p.select("pos", F.col("date").alias("day"), F.col("spread").alias("actual"))
+    w = tables.keep(benchmarks.reversion_walk(p.drop("coupons")).select("decision", "lead", *three("q", 10)), "walk")
+    made = benchmarks.decisions(p).select("decision", "anchor")
+    known = w.join(made, "decision").withColumn("pos", F.col("decision") + F.col("lead")).join(dates, "pos").join(calendar_terms.flags(p), "pos")
+    known = known.join(dates.select(F.col("pos").alias("anchor"), F.col("day").alias("read")), "anchor")
+    marks = F.array(*(F.coalesce(t, F.lit(0.0)) for t in ("month_end", "quarter_end", "tax_date")))
+    return known.select(F.concat(F.lit("lead "), "lead").alias("series"), "day", F.col("read").alias("anchor"), F.col("q05").alias("low"), F.col("q95").alias("high"), marks.alias("flags"), "actual")
+
+
+@query()
+def conformal_bands(spark, d):
+    """Bands of mean reversion put right from day to day by their own misses, one state a lead."""
+    b = trackers.bands(_tracked(spark, d), flags=3)
+    return b.select("series", "day", "observed", r("width").alias("width"), r("scorecast").alias("scorecast"), "saturated", r("lower").alias("lower"), r("upper").alias("upper"))
+
+
+@query()
+def conformal_coverage(spark, d):
+    """By lead, how often the outer quantiles and the bands held the outcome."""
+    f = Tables(spark).keep(_tracked(spark, d), "tracked")
+    b = trackers.bands(f, flags=3).select("series", "day", "lower", "upper").join(f, ["series", "day"])
+    share = lambda low, high: r(F.avg(F.col("actual").between(F.col(low), F.col(high)).cast("int")))
+    return b.groupBy("series").agg(F.count("*").alias("n"), share("low", "high").alias("raw"), share("lower", "upper").alias("calibrated"))
