@@ -12,7 +12,8 @@ other, as random directions in many dimensions are, no tree has covers to skip.
 The rows of the data never move: every task builds trees over batches of its rows, searches
 them with the query tree, and keeps the k best for each query; the tasks' results are merged.
 The query tree is broadcast in blocks of QUERY_BLOCK queries and QUERY_BYTES at most, so more
-queries mean more passes over the data. Scores are sums of products of integers below 2 ** 53, exact in any order.
+queries mean more passes over the data. Scores are sums of products of integers, exact in any
+order below 2 ** 53; vectors whose lengths allow more are an error.
 
 Cases: vectors that are null, empty, or hold a null or a non-finite component, and rows without
 a vec_id, take no part. Rows that share the query's vec_id are the query's own; a vec_id that
@@ -36,6 +37,8 @@ from . import common
 
 K, EVERY, SCALE = 5, 50, 256
 LEAF = 24
+#: Inner products below this are exact in doubles.
+EXACT = 2.0**53
 #: Rows under one tree, and queries and their bytes in one broadcast.
 BATCH, QUERY_BLOCK, QUERY_BYTES = 4096, 20_000, 1 << 26
 
@@ -174,10 +177,13 @@ def _search_task(shared, k: int, scale: float, batch_rows: int):
             data = build(points)
             search(tree, data, ids[data.order], best)
 
+        longest = {size: np.sqrt((tree.points**2).sum(1).max(initial=0)) for size, (tree, _, _) in blocks.items()}
         for batch in batches:
             all_ids, found = _vectors(batch, scale)
             for size, (rows, x) in found.items():
                 if size in blocks:
+                    if np.sqrt((x**2).sum(1).max(initial=0)) * longest[size] >= EXACT:
+                        raise ValueError("inner products of 2 ** 53 and more are not exact in doubles: scale the vectors down")
                     for a in range(0, len(rows), batch_rows):
                         held[size].append((all_ids[rows[a : a + batch_rows]], x[a : a + batch_rows]))
                         if sum(len(i) for i, _ in held[size]) >= batch_rows:
