@@ -414,6 +414,22 @@ def test_cover_trees_cover_separate_and_skip(spark):
     assert np.array_equal(best.score, want)
 
 
+def test_products_that_doubles_cannot_hold_are_an_error(spark):
+    rows = spark.createDataFrame([(0, [1e18, 0.0]), (1, [1e18, 1.0]), (2, None)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="not exact in doubles"):
+        cover_tree.exact_topk(spark, rows).collect()
+
+
+def test_a_system_turn_over_the_budget_is_not_repeated_for_every_turn(spark):
+    rows = [(None, 0, "system", "s" * 9000)] + [(None, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(1, 201)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    shown = chat_windows.windows(turns).collect()
+    tokens = 200 * (2 + 4)
+    assert 1 < len(shown) <= 2 + 2 * tokens // chat_windows.BUDGET and all(r["over_budget"] and r["conv_id"] is None for r in shown)
+    read = chat_windows.digests(chat_windows.windows(turns)).first()
+    assert read["n_turns"] == 201 and read["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+
+
 def test_windows_keep_the_budget_where_turns_fit(spark):
     rows = [(1, 0, "system", "s", 604), *((1, i, "user", f"t{i}", 254) for i in range(1, 9)), (2, 0, "user", "u", 5000)]
     rows += [(3, i, "assistant", f"a{i}", RANDOM.randint(1, 1024)) for i in range(1500)] + [(4, 0, "system", "x", 2000), (4, 1, "user", "y", 3), (4, 2, "user", "z", 4)]

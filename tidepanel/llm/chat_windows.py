@@ -10,7 +10,8 @@ so many tokens: turns that lie within one stretch are new in one window, a turn
 into another has a window of its own. So new turns fit wherever each of them does. A window starts with the system turn, repeats the last
 turns of the window before it as far as they fit in ``history`` tokens and in what its new turns
 leave of the room, and then holds its new turns. Only a turn that is itself larger than the room makes a
-window go over the budget; it stands there as it is, never cut. The loss mask covers the texts of new
+window go over the budget; it stands there as it is, never cut. Beside a system turn that fills the budget alone the
+other turns have as much room again, so that it isn't repeated for every one of them. The loss mask covers the texts of new
 assistant turns; what is repeated is masked, so each assistant text counts once.
 
 Prefix sums are taken over ranges of CHUNK turn numbers first and then over the ranges, so a long
@@ -75,7 +76,7 @@ def windows(turns: DataFrame, history: int = HISTORY, budget: int = BUDGET, coun
     amount = tokens(F.coalesce("text", F.lit(""))) if count is None else F.coalesce(F.col(count), F.lit(0))
     # as a field of a struct a null conv_id equals itself in joins
     clean = turns.select(F.struct("conv_id").alias("key"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), amount.cast("long").alias("tokens"))
-    room = F.greatest(F.lit(1), F.lit(budget) - F.col("fixed"))
+    room = F.when(F.col("fixed") < budget, budget - F.col("fixed")).otherwise(budget)  # beside a system turn that fills the budget alone, the others have as much again
     first, last = F.floor((F.col("ends") - F.col("tokens")) / room), F.floor((F.col("ends") - 1) / room)
     # twice the stretch, and one more for a turn that ends in a later stretch than it starts in
     window = F.when(F.col("system"), F.lit(0)).otherwise(F.when(first == last, 2 * first).otherwise(2 * first + 1))
@@ -161,6 +162,7 @@ def with_odd_conversation(spark: SparkSession, turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(odd)
 
 
+ROOM_SQL = f"(CASE WHEN fixed < {BUDGET} THEN {BUDGET} - fixed ELSE {BUDGET} END)"
 SQL = f"""
 WITH raw AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -174,9 +176,9 @@ WITH raw AS (
     coalesce(max(CASE WHEN pos = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS fixed,
     sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM sized
 ), windowed AS (
-  SELECT *, greatest(1, {BUDGET} - fixed) AS room, upto - fixed AS ends,
-    CASE WHEN is_system THEN 0 WHEN (upto - fixed - tokens) // greatest(1, {BUDGET} - fixed) = (upto - fixed - 1) // greatest(1, {BUDGET} - fixed)
-      THEN 2 * ((upto - fixed - tokens) // greatest(1, {BUDGET} - fixed)) ELSE 2 * ((upto - fixed - tokens) // greatest(1, {BUDGET} - fixed)) + 1 END AS win FROM placed
+  SELECT *, {ROOM_SQL} AS room, upto - fixed AS ends,
+    CASE WHEN is_system THEN 0 WHEN (upto - fixed - tokens) // {ROOM_SQL} = (upto - fixed - 1) // {ROOM_SQL}
+      THEN 2 * ((upto - fixed - tokens) // {ROOM_SQL}) ELSE 2 * ((upto - fixed - tokens) // {ROOM_SQL}) + 1 END AS win FROM placed
 ), sizes AS (
   SELECT conv_id, win, sum(CASE WHEN is_system THEN 0 ELSE tokens END) AS size, max(ends) AS last_end, bool_or(NOT is_system) AS others FROM windowed GROUP BY conv_id, win
 ), followed AS (
