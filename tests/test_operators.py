@@ -317,3 +317,22 @@ def test_bands_are_those_of_a_plain_fold_in_one_batch_and_in_several(spark, tmp_
     assert parts.keys() == whole.keys() and all(np.allclose(parts[k], whole[k], atol=1e-9) for k in whole)
     with pytest.raises(Exception, match="would be known before its band"):
         trackers.bands(frame(lambda d: True).withColumn("anchor", F.col("day")), gains, 1).collect()
+
+
+def test_block_lengths_are_those_of_a_plain_computation(spark):
+    own = np.random.default_rng(6)
+    x = [0.0]
+    for e in own.normal(size=399):
+        x.append(float(0.7 * x[-1] + e))
+    n, c = len(x), np.array(x) - np.mean(x)
+    gamma = np.array([(c[k:] @ c[: n - k]) / n for k in range(60)])
+    run, most, band = 5, 25, 2 * math.sqrt(math.log10(n) / n)
+    lag = next(m for m in range(most + 1) if (abs(gamma[m + 1 : m + 1 + run] / gamma[0]) < band).all())
+    cut = min(2 * max(lag, 1), most)
+    weight = [1 if k / cut <= 0.5 else 2 * (1 - k / cut) for k in range(1, cut + 1)]
+    level = gamma[0] + 2 * sum(w * g for w, g in zip(weight, gamma[1:]))
+    slope = 2 * sum(k * w * g for k, (w, g) in enumerate(zip(weight, gamma[1:]), 1))
+    got = resampling.block_length(spark.createDataFrame(list(enumerate(x)), "pos int, value double").repartition(3)).first()
+    assert (got["n"], got["lag"], got["truncation"]) == (n, lag, cut) and abs(got["length"] - (slope**2 / level**2 * n) ** (1 / 3)) < 1e-9
+    assert resampling.block_length(spark.createDataFrame([(k, 1.0) for k in range(30)], "pos int, value double")).first()["length"] is None
+    assert resampling.block_length(spark.createDataFrame([(1, 2.0)], "pos int, value double")).first()["length"] is None

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import CAL_SQL, LAW_SQL, SCARCITY_SQL, TAU, _forecasts, _states, cdf_sql, panel_sql, query, r
+from .catalog import BUSINESS_SQL, CAL_SQL, LAW_SQL, SCARCITY_SQL, TAU, _forecasts, _states, cdf_sql, panel_sql, query, r
 from .catalog_daily import PAIRS_SQL, THREE, three
-from .operators import benchmarks, calendar_terms, calendars, isotonic, laws, resampling, scaled_pools, scores, trackers, windows
+from .operators import availability, benchmarks, calendar_terms, calendars, isotonic, laws, resampling, scaled_pools, scores, trackers, windows
 from .operators import quantile_terms as quantile_terms_
 from .plans.tables import Tables
-from .sources.tables import daily_panel
+from .sources.tables import VINTAGES_SQL, daily_panel, vintages
 
 
 @query(panel_sql("SELECT decision, day FROM kn WHERE decision < (SELECT min(decision) FROM kn WHERE ready)", PAIRS_SQL))
@@ -227,3 +227,55 @@ def conformal_coverage(spark, d):
     b = trackers.bands(f, flags=3).select("series", "day", "lower", "upper").join(f, ["series", "day"])
     share = lambda low, high: r(F.avg(F.col("actual").between(F.col(low), F.col(high)).cast("int")))
     return b.groupBy("series").agg(F.count("*").alias("n"), share("low", "high").alias("raw"), share("lower", "upper").alias("calibrated"))
+
+
+BLOCK_SQL = """
+se AS (SELECT pos, abs(move) AS value FROM (SELECT pos, spread - lag(spread) OVER (ORDER BY pos) AS move FROM panel) WHERE move IS NOT NULL),
+sz AS (SELECT count(*) AS n, greatest(5, CAST(ceil(sqrt(log10(count(*)))) AS BIGINT)) AS run FROM se),
+mx AS (SELECT n, run, CAST(ceil(sqrt(n)) AS BIGINT) + run AS most FROM sz),
+ce AS (SELECT pos, value - avg(value) OVER () AS c FROM se),
+gm AS (SELECT b.pos - a.pos AS k, sum(a.c * b.c) / any_value(n) AS gamma FROM ce a, mx, ce b WHERE b.pos BETWEEN a.pos AND a.pos + most + run GROUP BY 1),
+gl AS (SELECT list(gamma ORDER BY k) AS gamma FROM gm),
+fd AS (SELECT n, run, most, gamma, coalesce(list_min(list_filter(range(0, most + 1), lambda m: len(list_filter(gamma[m + 2:m + 1 + run], lambda x: abs(x / gamma[1]) >= 2 * sqrt(log10(n) / n))) = 0)), most) AS lag FROM gl, mx),
+tr AS (SELECT *, least(2 * greatest(lag, 1), most) AS truncation FROM fd),
+sp AS (SELECT *, gamma[1] + list_sum(list_transform(range(1, truncation + 1), lambda k: 2 * gamma[k + 1] * CASE WHEN k / truncation <= 0.5 THEN 1 ELSE 2 * (1 - k / truncation) END)) AS level,
+  list_sum(list_transform(range(1, truncation + 1), lambda k: 2 * k * gamma[k + 1] * CASE WHEN k / truncation <= 0.5 THEN 1 ELSE 2 * (1 - k / truncation) END)) AS slope FROM tr)
+"""
+
+
+@query(panel_sql("SELECT n, CAST(lag AS INTEGER) AS lag, CAST(truncation AS INTEGER) AS truncation, round(greatest(1, cbrt(slope * slope / (level * level)) * power(n, 1 / 3)), 6) AS length FROM sp", BLOCK_SQL))
+def block_length(spark, d):
+    """The block length that suits the mean size of a day's move."""
+    moves = daily_panel(spark, d).select("pos", F.abs(windows.change("spread", 1)).alias("value")).filter("value is not null")
+    return resampling.block_length(Tables(spark).keep(moves, "moves")).withColumn("length", r("length"))
+
+
+# --- availability by registry
+
+REGISTRY = [("rate", "lagged", 1, "09:00", "America/New_York"), ("volume", "lagged", 2, "16:30", "America/New_York"), ("coupons", "scheduled", 1, "15:00", "America/New_York"), ("month", "calendar", None, None, None), ("lines", "observed", None, None, None)]
+DECIDED_AT, ZONE = "16:00", "America/New_York"
+REGISTRY_SQL = f"""{BUSINESS_SQL}, {VINTAGES_SQL},
+od AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS o FROM bd),
+rv AS (SELECT 'rate' AS field, 'lagged' AS kind, date AS day, rate AS value FROM panel UNION ALL SELECT 'volume', 'lagged', date, volume FROM panel WHERE isodow(date) = 3),
+lg AS (SELECT field, kind, rv.day, value, (((n.day || ' ' || CASE WHEN field = 'rate' THEN '09:00' ELSE '16:30' END)::TIMESTAMP AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC') AS available_at
+  FROM rv JOIN od n ON n.o = (SELECT min(o) FROM od WHERE od.day >= rv.day) + CASE WHEN field = 'rate' THEN 1 ELSE 2 END),
+ob AS (SELECT 'lines' AS field, 'observed' AS kind, ref_date AS day, available_at, max(value) AS value FROM vintages WHERE series = 'N' GROUP BY ALL),
+dn AS (SELECT pos AS decision, (((date || ' {DECIDED_AT}')::TIMESTAMP AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC') AS decided_at, lead(date) OVER (ORDER BY pos) AS target FROM panel),
+ls AS (SELECT decision, field, kind, max(struct_pack(day := p.day, available_at := available_at, value := value)) AS v FROM dn JOIN (SELECT * FROM lg UNION ALL SELECT field, kind, day, value, available_at FROM ob) p ON p.available_at <= decided_at GROUP BY ALL),
+ah AS (SELECT decision, 'coupons' AS field, 'scheduled' AS kind, p.date AS day, (((b.day || ' 15:00')::TIMESTAMP AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC') AS available_at, CAST(greatest(0, n - 8) AS DOUBLE) AS value, decided_at
+  FROM dn JOIN panel p ON p.date = target JOIN od b ON b.o = (SELECT max(o) FROM od WHERE od.day <= p.date) - 1)
+"""
+
+
+@query(panel_sql("SELECT decision, field, kind, v.day AS day, v.available_at AS available_at, round(v.value, 6) AS value FROM ls UNION ALL SELECT decision, field, kind, day, available_at, round(value, 6) FROM ah WHERE available_at <= decided_at UNION ALL SELECT decision, 'month', 'calendar', target, TIMESTAMP '0001-01-01', month(target) FROM dn WHERE target IS NOT NULL", REGISTRY_SQL))
+def registry_information(spark, d):
+    """What a decision at 16:00 in New York may read of five fields of four kinds: one row a decision and field."""
+    p = Tables(spark).keep(daily_panel(spark, d), "panel")
+    registry = spark.createDataFrame(REGISTRY, "field string, kind string, business_days int, at string, zone string")
+    own = lambda field, value: p.select(F.lit(field).alias("field"), F.col("date").alias("day"), value.cast("double").alias("value"), F.lit(None).cast("timestamp").alias("observed_at"))
+    lines = vintages(spark, d).filter("series = 'N'").groupBy(F.lit("lines").alias("field"), F.col("ref_date").alias("day"), F.col("available_at").cast("timestamp").alias("observed_at")).agg(F.max("value").alias("value"))
+    values = own("rate", F.col("rate")).unionByName(own("volume", F.col("volume")).filter(F.weekday("day") == 2)).unionByName(own("coupons", F.greatest(F.lit(0), F.col("n") - 8))).unionByName(own("month", F.month("date"))).unionByName(lines)
+    target = F.lead("date").over(windows.by_pos())
+    made = p.select(F.col("pos").alias("decision"), availability.instant(F.col("date"), F.lit(DECIDED_AT), F.lit(ZONE)).alias("decided_at"), target.alias("target"))
+    found = availability.information(made, availability.published(values, registry, calendars.business_days(spark)))
+    return found.select("decision", "field", "kind", "day", F.col("available_at").cast("timestamp_ntz").alias("available_at"), r("value").alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +102,42 @@ def domain_intervals(spark: SparkSession, series: DataFrame, members: DataFrame,
     out = out.withColumn("unavailable", why)
     end = lambda q: F.when(F.col("unavailable").isNull(), F.col("own") - F.col(q) * F.col("standard_error"))
     return out.select("domain", F.col("days").alias("n"), F.col("own").alias("mean"), "standard_error", F.coalesce("draws", F.lit(0)).alias("draws"), F.coalesce("dropped", F.lit(0)).alias("dropped"), "unavailable", end("high").alias("lower"), end("low").alias("upper"))
+
+
+def autocovariances(series: DataFrame, lags: int) -> DataFrame:
+    """lag (0 to lags) and total, the sum of products of deviations from the mean so far apart, of a series (pos, value): one pass for all lags."""
+    centred = series.select("pos", (F.col("value") - F.avg("value").over(Window.partitionBy())).alias("c"))
+    ahead = centred.select("c", F.collect_list("c").over(Window.orderBy("pos").rowsBetween(0, lags)).alias("next"))
+    each = ahead.select(F.posexplode(F.transform("next", lambda x: F.col("c") * x)).alias("lag", "product"))
+    return each.groupBy("lag").agg(F.sum("product").alias("total"))
+
+
+def block_length(series: DataFrame) -> DataFrame:
+    """n, lag, truncation and length: the mean block length of the stationary bootstrap that suits the mean of a series (pos, value).
+
+    lag is the first after which so many autocorrelations in a row lie within 2 * sqrt(log10(n) / n); a flat-topped window of twice
+    that many lags gives the spectrum at 0 and its slope. A series of fewer than 20 values, or a constant one, has no length.
+    """
+    n = series.count()
+    if n < 20:
+        return series.sparkSession.createDataFrame([(n, None, None, None)], "n long, lag int, truncation int, length double")
+    run = max(5, math.ceil(math.sqrt(math.log10(n))))
+    most = min(math.ceil(math.sqrt(n)) + run, n - run - 2)
+    sums = autocovariances(series, most + run).agg(F.sort_array(F.collect_list(F.struct("lag", "total"))).alias("g"))  # about sqrt(n) numbers
+    gamma = sums.select(F.transform("g", lambda x: x.total / n).alias("gamma")).withColumn("rho", F.transform("gamma", lambda x: F.when(F.get("gamma", F.lit(0)) > 0, x / F.get("gamma", F.lit(0)))))
+    band = 2 * math.sqrt(math.log10(n) / n)
+    quiet = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda m: F.forall(F.slice("rho", m + 2, run), lambda x: F.abs(x) < band))
+    found = gamma.withColumn("lag", F.coalesce(F.get(quiet, F.lit(0)), F.lit(most)))
+    found = found.withColumn("truncation", F.least(2 * F.greatest("lag", F.lit(1)), F.lit(most)))
+
+    def windowed(times: Column | None) -> Column:
+        def part(k: Column) -> Column:
+            x = k / F.col("truncation")
+            weight = F.when(x <= 0.5, 1.0).otherwise(2 * (1 - x))
+            return 2 * weight * F.get("gamma", k) * (k if times is not None else F.lit(1.0))
+
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.col("truncation")), part), F.lit(0.0), lambda s, x: s + x)
+
+    level, slope = F.get("gamma", F.lit(0)) + windowed(None), windowed(F.lit(1))
+    length = F.when(level == 0, 1.0).otherwise(F.greatest(F.lit(1.0), F.cbrt(slope * slope / (level * level)) * n ** (1 / 3)))
+    return found.select(F.lit(n).cast("long").alias("n"), "lag", "truncation", F.when(F.get("rho", F.lit(0)).isNotNull(), length).alias("length"))
