@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel import streaming
-from tidepanel.operators import asof, benchmarks, calendar_terms, calendars, isotonic, laws, projections, regression, resampling, scaled_pools, scores, trackers, windows
+from tidepanel.operators import asof, benchmarks, calendar_terms, calendars, isotonic, laws, projections, regimes, regression, resampling, scaled_pools, scores, trackers, windows
 from tidepanel.plans.tables import Tables
 
 
@@ -336,3 +336,39 @@ def test_block_lengths_are_those_of_a_plain_computation(spark):
     assert (got["n"], got["lag"], got["truncation"]) == (n, lag, cut) and abs(got["length"] - (slope**2 / level**2 * n) ** (1 / 3)) < 1e-9
     assert resampling.block_length(spark.createDataFrame([(k, 1.0) for k in range(30)], "pos int, value double")).first()["length"] is None
     assert resampling.block_length(spark.createDataFrame([(1, 2.0)], "pos int, value double")).first()["length"] is None
+
+
+def plain_filter(z, s0, s1, entry, stay, start):
+    p, out, log = start, [], 0.0
+    for v in z:
+        p = (1 - p) * entry + p * stay
+        if v is not None:
+            a, b = ((1 - q) * math.exp(-0.5 * (v / s) ** 2) / s for q, s in ((p, s0), (1 - p, s1)))
+            log += math.log(a + b)
+            p = b / (a + b)
+        out.append(p)
+    return out, log
+
+
+@pytest.mark.parametrize("size", [7, 1024])
+def test_regimes_are_those_of_a_plain_recursion_whatever_the_segments(spark, size):
+    own = np.random.default_rng(9)
+    state, z = 0, []
+    for k in range(400):
+        state = int(own.random() < (0.9 if state else 0.05))
+        z.append(None if k % 41 == 0 else float(own.normal() * (3.0 if state else 0.7)))
+    rows = spark.createDataFrame([("a", k, v) for k, v in enumerate(z)] + [("b", k, v) for k, v in enumerate(z[:50])], "series string, t int, z double").repartition(3)
+    parameters = spark.createDataFrame([(s, 0.7, 3.0, 0.05, 0.9) for s in "ab"], "series string, sigma_calm double, sigma_stress double, entry double, stay double")
+    got = regimes.filtered(Tables(spark), rows, parameters, size).collect()
+    for name, values in (("a", z), ("b", z[:50])):
+        want, _ = plain_filter(values, 0.7, 3.0, 0.05, 0.9, 0.05 / 0.15)
+        mine = sorted((r["t"], r["stress"], r["smoothed"]) for r in got if r["series"] == name)
+        assert len(mine) == len(values) and max(abs(m[1] - w) for m, w in zip(mine, want)) < 1e-10
+        assert abs(mine[-1][2] - mine[-1][1]) < 1e-12 and all(0 <= m[2] <= 1 for m in mine)
+    fitted = {r["series"]: r for r in regimes.fit(Tables(spark), rows, rounds=6, size=size).collect()}
+    trace = fitted["a"]["trace"]
+    assert len(trace) == 6 and all(b >= a - 1e-9 for a, b in zip(trace, trace[1:])) and not fitted["a"]["degenerate"] and fitted["b"]["degenerate"]
+    known = [v for v in z if v is not None]
+    rms = math.sqrt(sum(v * v for v in known) / len(known))
+    assert abs(trace[0] - plain_filter(z, 0.6 * rms, 1.8 * rms, 0.05, 0.9, 0.05 / 0.15)[1]) < 1e-8
+    assert 0.5 < fitted["a"]["sigma_calm"] < 1.0 and 2.0 < fitted["a"]["sigma_stress"] < 4.0

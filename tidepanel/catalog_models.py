@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import BUSINESS_SQL, CAL_SQL, LAW_SQL, SCARCITY_SQL, TAU, _forecasts, _states, cdf_sql, panel_sql, query, r
 from .catalog_daily import PAIRS_SQL, THREE, three
-from .operators import availability, benchmarks, calendar_terms, calendars, isotonic, laws, resampling, scaled_pools, scores, trackers, windows
+from .operators import availability, benchmarks, calendar_terms, calendars, isotonic, laws, regimes, resampling, scaled_pools, scores, trackers, windows
 from .operators import quantile_terms as quantile_terms_
 from .plans.tables import Tables
 from .sources.tables import VINTAGES_SQL, daily_panel, vintages
@@ -279,3 +279,38 @@ def registry_information(spark, d):
     made = p.select(F.col("pos").alias("decision"), availability.instant(F.col("date"), F.lit(DECIDED_AT), F.lit(ZONE)).alias("decided_at"), target.alias("target"))
     found = availability.information(made, availability.published(values, registry, calendars.business_days(spark)))
     return found.select("decision", "field", "kind", "day", F.col("available_at").cast("timestamp_ntz").alias("available_at"), r("value").alias("value"))
+
+
+# --- regimes
+
+REGIME = (0.6, 1.8, 0.05, 0.9)
+REGIME_SQL = f"""
+sw AS (SELECT pos, move, CASE WHEN count(move) OVER w = 20 THEN greatest(0.5, 1.4826 * quantile_cont(abs(move), 0.5) OVER w) END AS scale FROM (SELECT pos, spread - lag(spread) OVER (ORDER BY pos) AS move FROM panel) WINDOW w AS (ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+zs AS (SELECT pos, move / lag(scale) OVER (ORDER BY pos) AS z FROM sw),
+fs AS (SELECT -1 AS pos, {REGIME[2]} / ({REGIME[2]} + 1 - {REGIME[3]}) AS stress, NULL::DOUBLE AS z UNION ALL
+  SELECT pos, CASE WHEN z IS NULL THEN prior ELSE prior * exp(-0.5 * power(z / {REGIME[1]}, 2)) / {REGIME[1]} / (prior * exp(-0.5 * power(z / {REGIME[1]}, 2)) / {REGIME[1]} + (1 - prior) * exp(-0.5 * power(z / {REGIME[0]}, 2)) / {REGIME[0]}) END, z
+  FROM (SELECT zs.pos, zs.z, (1 - stress) * {REGIME[2]} + stress * {REGIME[3]} AS prior FROM fs JOIN zs ON zs.pos = fs.pos + 1))"""
+
+
+def _residuals(spark, d):
+    """Moves over the scale that was public before them, as one series."""
+    p = Tables(spark).keep(daily_panel(spark, d), "panel")
+    scale = scaled_pools.scales(p, scaled_pools.VARIANTS[:1]).select((F.col("pos") + 1).alias("pos"), "scale")
+    moves = p.select("pos", windows.change("spread", 1).alias("move")).join(scale, "pos", "left")
+    return moves.select(F.lit("moves").alias("series"), F.col("pos").alias("t"), (F.col("move") / F.col("scale")).alias("z"))
+
+
+@query(panel_sql("SELECT pos, round(z, 6) AS z, round(stress, 6) AS stress FROM fs WHERE pos >= 0", REGIME_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
+def regime_filter(spark, d):
+    """The probability, after each day's move, of the stressed of two states with given scales."""
+    rows = _residuals(spark, d)
+    parameters = spark.createDataFrame([("moves", *REGIME)], "series string, " + ", ".join(f"{k} double" for k in regimes.PARAMETERS))
+    found = regimes.filtered(Tables(spark), rows, parameters)
+    return found.select(F.col("t").alias("pos"), r("z").alias("z"), r("stress").alias("stress"))
+
+
+@query()
+def regime_fit(spark, d):
+    """The two states' scales and transitions, by at most 12 rounds of expectation maximisation."""
+    found = regimes.fit(Tables(spark), _residuals(spark, d), rounds=12)
+    return found.select("series", *(r(k).alias(k) for k in regimes.PARAMETERS), r("likelihood", 4).alias("likelihood"), "rounds", "degenerate")
