@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tidepanel import streaming
 from tidepanel.operators import asof, benchmarks, calendar_terms, calendars, isotonic, laws, projections, regimes, regression, resampling, scaled_pools, scores, trackers, windows
 from tidepanel.plans.tables import Tables
+from tidepanel.streaming import journal
 
 
 def test_asof_takes_the_latest_row_at_or_before_and_minds_the_tolerance(spark):
@@ -372,3 +374,44 @@ def test_regimes_are_those_of_a_plain_recursion_whatever_the_segments(spark, siz
     rms = math.sqrt(sum(v * v for v in known) / len(known))
     assert abs(trace[0] - plain_filter(z, 0.6 * rms, 1.8 * rms, 0.05, 0.9, 0.05 / 0.15)[1]) < 1e-8
     assert 0.5 < fitted["a"]["sigma_calm"] < 1.0 and 2.0 < fitted["a"]["sigma_stress"] < 4.0
+
+
+def test_a_journal_keeps_records_once_refuses_changes_and_finds_what_is_broken(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(journal, "PART", 7)
+    path = str(tmp_path / "journal")
+    frame = lambda rows: spark.createDataFrame(rows, "key string, payload string").repartition(3)
+    first = [(f"k{i:02d}", None if i == 4 else f"v{i}") for i in range(20)]
+    assert journal.append(path, frame(first + first[:3])) == 20
+    assert journal.append(path, frame(first)) == 0  # a replay
+    assert journal.append(path, frame(first[5:] + [("new", "x"), ("é", "")])) == 2
+    for bad, what in (([("k01", "other")], "another payload"), ([("a", "1"), ("a", "2")], "another payload"), ([("k04", "")], "another payload"), ([(None, "1")], "no key")):
+        with pytest.raises(Exception, match=what):
+            journal.append(path, frame(bad))
+    kept = journal.entries(spark, path).collect()
+    assert len(kept) == 22 and {r["key"]: r["payload"] for r in kept} == dict(first) | {"new": "x", "é": ""}
+    head = journal.EMPTY
+    for top in sorted(journal.heads(spark, path).collect(), key=lambda r: r["batch"]):
+        ends = []
+        for part in range(top["parts"]):
+            own = sorted((r["key"], r["digest"], r["link"]) for r in kept if r["batch"] == top["batch"] and r["part"] == part)
+            links = journal.chained(hashlib.sha256(f"{head}:{part}".encode()).hexdigest(), [d for _, d, _ in own])
+            assert links == [x for _, _, x in own]
+            ends += links[-1:]
+        head = hashlib.sha256((head + "".join(ends)).encode()).hexdigest()
+        assert head == top["head"]
+    assert journal.broken(spark, path).count() == 0
+    # an entry whose payload was changed in the files, and a batch that lost entries
+    tampered = spark.read.schema("part long, key string, payload string, digest string, link string").parquet(f"{path}/entries/batch=0").withColumn("payload", F.when(F.col("key") == "k07", "forged").otherwise(F.col("payload"))).collect()
+    spark.createDataFrame(tampered, "part long, key string, payload string, digest string, link string").write.mode("overwrite").parquet(f"{path}/entries/batch=0")
+    found = {(r["batch"], r["key"], r["what"]) for r in journal.broken(spark, path).collect()}
+    assert (0, "k07", "digest") in found and {w for _, _, w in found} <= {"digest", "link"} and all(b == 0 for b, _, _ in found)
+    spark.createDataFrame(tampered[1:], "part long, key string, payload string, digest string, link string").write.mode("overwrite").parquet(f"{path}/entries/batch=0")
+    assert (0, None, "head") in {(r["batch"], r["key"], r["what"]) for r in journal.broken(spark, path).collect()}
+
+
+def test_a_stream_of_records_is_kept_once(spark, tmp_path):
+    for rows in ([("a", "1"), ("b", "2")], [("b", "2"), ("c", "3")]):
+        spark.createDataFrame(rows, "key string, payload string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streaming.source(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+        journal.kept_once(stream, str(tmp_path / "journal"), str(tmp_path / "checkpoint"))
+    assert {r["key"] for r in journal.entries(spark, str(tmp_path / "journal")).collect()} == {"a", "b", "c"} and journal.broken(spark, str(tmp_path / "journal")).count() == 0

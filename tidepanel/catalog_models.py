@@ -9,7 +9,8 @@ from .catalog_daily import PAIRS_SQL, THREE, three
 from .operators import availability, benchmarks, calendar_terms, calendars, isotonic, laws, regimes, resampling, scaled_pools, scores, trackers, windows
 from .operators import quantile_terms as quantile_terms_
 from .plans.tables import Tables
-from .sources.tables import VINTAGES_SQL, daily_panel, vintages
+from .sources.tables import VINTAGES_SQL, daily_panel, read, vintages
+from .streaming import journal
 
 
 @query(panel_sql("SELECT decision, day FROM kn WHERE decision < (SELECT min(decision) FROM kn WHERE ready)", PAIRS_SQL))
@@ -314,3 +315,33 @@ def regime_fit(spark, d):
     """The two states' scales and transitions, by at most 12 rounds of expectation maximisation."""
     found = regimes.fit(Tables(spark), _residuals(spark, d), rounds=12)
     return found.select("series", *(r(k).alias(k) for k in regimes.PARAMETERS), r("likelihood", 4).alias("likelihood"), "rounds", "degenerate")
+
+
+# --- journals
+
+
+def _batch_sql(batch: int, before: str) -> str:
+    return f"""l{batch} AS (SELECT h % parts AS part, list(digest ORDER BY key) AS ds FROM dg JOIN sz USING (batch), {before} WHERE batch = {batch} GROUP BY 1),
+n{batch} AS (SELECT part, list_reduce(list_prepend(sha256(head || ':' || CAST(part AS VARCHAR)), ds), lambda a, d: sha256(a || d)) AS last FROM l{batch}, {before}),
+h{batch} AS (SELECT sha256(any_value(head) || string_agg(last, '' ORDER BY part)) AS head FROM n{batch}, {before})"""
+
+
+JOURNAL_SQL = f"""
+WITH e0 AS (SELECT '{journal.EMPTY}' AS head),
+  en AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus || '|' || o_orderpriority || '|' || CAST(o_orderdate::DATE AS VARCHAR) AS payload, CASE WHEN year(o_orderdate) <= 1996 THEN 0 ELSE 1 END AS batch FROM orders),
+  dg AS (SELECT *, sha256(CAST(strlen(key) AS VARCHAR) || ':' || key || '=' || payload) AS digest, CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) AS h FROM en),
+  sz AS (SELECT batch, count(*) AS n, CAST(ceil(count(*) / {journal.PART}.0) AS BIGINT) AS parts FROM dg GROUP BY 1),
+  {_batch_sql(0, "e0")}, {_batch_sql(1, "h0")}
+SELECT CAST(batch AS BIGINT) AS batch, parts, n, CASE batch WHEN 0 THEN (SELECT head FROM h0) ELSE (SELECT head FROM h1) END AS head FROM sz
+"""
+
+
+@query(JOURNAL_SQL)
+def journal_heads(spark, d):
+    """Orders as records of a journal: the early ones first, then all, of which the early ones are replays."""
+    path = f"{Tables(spark).root}/journal"
+    o = read(spark, d, "orders")
+    records = o.select(F.col("o_orderkey").cast("string").alias("key"), F.concat_ws("|", "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").cast("string")).alias("payload"), F.year("o_orderdate").alias("year"))
+    journal.append(path, records.filter("year <= 1996"))
+    journal.append(path, records)
+    return journal.heads(spark, path)
