@@ -166,8 +166,9 @@ TIERS_SQL = "tiers(tier, first_day, last_day) AS (VALUES " + ", ".join(f"('{t}',
 def tier_ranges(spark, d):
     tiers = F.broadcast(spark.createDataFrame(TIERS, "tier string, first_day string, last_day string"))  # three rows
     p = daily_panel(spark, d)
-    joined = p.join(tiers, p.date.between(F.col("first_day").cast("date"), F.col("last_day").cast("date")))
-    return joined.groupBy("tier").agg(F.count("*").alias("n_days"), r(F.avg("spread")).alias("mean_spread"))
+    joined = p.join(tiers, p.date.between(F.col("first_day").cast("date"), F.col("last_day").cast("date")), "left")
+    outside = F.raise_error(F.concat(F.lit("no tier holds "), F.col("date").cast("string")))
+    return joined.withColumn("tier", F.coalesce("tier", outside)).groupBy("tier").agg(F.count("*").alias("n_days"), r(F.avg("spread")).alias("mean_spread"))
 
 
 # --- calendars, projections
@@ -456,9 +457,12 @@ def kupiec_ratio(spark, d):
     return scores.kupiec(hit, "hit", 0.05).select("n", "hits", r("share").alias("share"), r("lr").alias("lr"))
 
 
-@query()
+#: The tail of chi-square with one degree of freedom at lr: one less the error function of the square root of lr / 2.
+TAIL_SQL = "CASE WHEN lr <= 0 THEN 1.0 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-lr / 2) * list_sum(list_transform(range(0, 200), lambda i: exp(2 * i * ln(2) + (2 * i + 1) * ln(sqrt(lr / 2)) + lgamma(i + 1) - lgamma(2 * i + 2))))) END"
+
+
+@query(panel_sql(f"SELECT n, hits, round({TAIL_SQL}, 6) AS p_value FROM (SELECT n, hits, greatest(0, 2 * (CASE WHEN hits = 0 THEN 0 ELSE hits * ln(hits / n) END + CASE WHEN n = hits THEN 0 ELSE (n - hits) * ln(1 - hits / n) END - hits * ln(0.05) - (n - hits) * ln(0.95))) AS lr FROM (SELECT count(*) AS n, CAST(sum((outcome > q[21])::INTEGER) AS BIGINT) AS hits FROM fc))", forecast_sql()))
 def kupiec_p_value(spark, d):
-    """The tail of chi-square has no SQL; a test compares it with math.erfc."""
     hit = _forecasts(spark, d).withColumn("hit", (F.col("outcome") > scores.quantile(F.col("q"), 0.95)).cast("int"))
     return scores.kupiec(hit, "hit", 0.05).select("n", "hits", r("p_value").alias("p_value"))
 

@@ -47,15 +47,16 @@ def cap(q: Column, line: Column) -> Column:
 
 
 def chi2_1(x: Column) -> Column:
-    """Tail of chi-square with one degree of freedom by a rational approximation of erfc (error under 1.2e-7)."""
-    z = F.sqrt(x / 2)
-    t = 1 / (1 + 0.5 * z)
-    #: Coefficients of the Chebyshev fit of erfc.
-    coefficients = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    poly = F.lit(0.0)
-    for c in reversed(coefficients):
-        poly = poly * t + c
-    return t * F.exp(-z * z + poly)
+    """Tail of chi-square with one degree of freedom: one less the error function, by its series of positive terms."""
+    half = F.least(x / 2, F.lit(40.0))  # beyond that the tail is 0 in doubles
+    start = F.struct(F.sqrt(half).alias("term"), F.sqrt(half).alias("sum"))
+
+    def add(kept: Column, n: Column) -> Column:
+        term = kept.term * 2 * half / (2 * n + 1)
+        return F.struct(term.alias("term"), (kept["sum"] + term).alias("sum"))
+
+    whole = F.aggregate(F.sequence(F.lit(1), F.lit(150)), start, add)["sum"]
+    return F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(math.pi) * F.exp(-half) * whole)
 
 
 def chi2_2(x: Column) -> Column:
