@@ -342,6 +342,7 @@ def test_best_classes_are_those_of_the_greatest_likelihood():
 def test_exchange_rounds_put_words_of_like_contexts_together(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "CLASSES", 4)
     monkeypatch.setattr(class_lm, "HELD", 500)
+    monkeypatch.setattr(class_lm, "SUMMED", 500)
     rng = random.Random(3)
     kinds = [[f"{k}{i:02d}{k * (i % 7)}" for i in range(40)] for k in "ab"]
     rows = [(i, " ".join(w for _ in range(60) for w in ("the", rng.choice(kinds[0]), "of", rng.choice(kinds[1])))) for i in range(80)]

@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ SWEEPS = 6
 ROUNDS, PASSES, LEAST = 1, 2, (1, 16, 128)
 #: One training text in so many judges a round.
 WITHHELD = 8
-#: Counts of neighbours, or tokens, that a worker holds.
-HELD = 1 << 20
+#: Tokens, and counts of neighbours, that a worker holds.
+HELD, SUMMED = 1 << 20, 1 << 21
 ADD = 0.1
 #: Weight of a class's overall share in its transitions, in bigrams.
 SMOOTH = 20.0
@@ -75,8 +76,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def rows() -> pa.RecordBatch:
-        arrays = [pa.array(map(key_of, counts), pa.int64()), pa.array((tail_class(w) if w != END else -1 for w in counts), pa.int32()), pa.array(counts.values(), pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, ["word", "tail", "n"])
+        words = list(counts)
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)  # as key_of and tail_class, all at once
+        tails = (np.fromiter(map(xxhash.xxh32_intdigest, [w[-2:] for w in words]), np.uint64, len(words)) % np.uint64(TAIL)).astype(np.int32)
+        if END in counts:
+            tails[words.index(END)] = -1
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(tails), pa.array(counts.values(), pa.int64())], ["word", "tail", "n"])
 
     for batch in batches:
         text = common.column(batch, "text")
@@ -121,7 +126,7 @@ class Symbols:
             words.append(END)
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         known = self.known
-        flat = np.fromiter((known[w] for ws in docs for w in ws), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
         return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
@@ -263,9 +268,9 @@ def _neighbours(shared, fixed: int, last: int, end: int, total: int):
             keys.append(key)
             counts.append(n)
             size += len(key)
-            if size > HELD:
+            if size > SUMMED:
                 key, n = _summed(keys, counts)
-                if len(key) > HELD // 2:
+                if len(key) > SUMMED // 2:
                     yield rows(key, n)
                     key, n = key[:0], n[:0]
                 keys, counts, size = [key], [n], len(key)
@@ -349,7 +354,8 @@ def exchanged(numbers: DataFrame, head_class: np.ndarray, head_counts: np.ndarra
         new, then = of, tables
         for _ in range(PASSES):
             shared, now = context.broadcast(new), context.broadcast((new[:end], then[0]))
-            counted = others.mapInArrow(common.tidied(_neighbours(shared, fixed, last, end, total)), "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+            # tasks have summed theirs, so rows go to their word's partition as they are, and both groupings take place there
+            counted = others.mapInArrow(common.tidied(_neighbours(shared, fixed, last, end, total)), "word int, slot int, n long").repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
             words = counted.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("beside"))  # 2 * total slots a word at most
             moved = words.mapInArrow(common.tidied(_moves(now, end_class)), "word int, class int").toPandas()  # a row for each head word at most
             new = new.copy()
