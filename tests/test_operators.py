@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel import streaming
+from tidepanel import catalog_daily, streaming
 from tidepanel.operators import asof, benchmarks, calendar_terms, calendars, isotonic, laws, projections, regimes, regression, resampling, scaled_pools, scores, trackers, windows
 from tidepanel.plans.tables import Tables
 from tidepanel.streaming import journal
@@ -252,6 +252,23 @@ def test_streams_read_folders_drop_late_rows_and_go_on_from_their_state(spark, t
     assert streaming.drained(streaming.daily_counts(streaming.source(spark, str(tmp_path / "none"), schema))).count() == 0
 
 
+def test_streamed_daily_counts_have_all_days_and_late_events(spark, tmp_path):
+    rows = [("2024-01-01 10:00:00", "a", 1.0), ("2024-01-20 10:00:00", "a", 2.0)]  # the last day is still open
+    late = [("2024-01-01 11:00:00", "a", 9.0), ("2024-01-20 09:00:00", "a", None), (None, "b", None), (None, "b", 4.0)]
+    frame = lambda x: spark.createDataFrame(x, "t string, event_type string, value double").select(F.to_timestamp("t").alias("ts"), "event_type", "value")
+    frame(rows + late).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    want = {("2024-01-01", "a", 2, 9.0), ("2024-01-20", "a", 2, 2.0), ("None", "b", 2, 4.0)}
+    told = lambda df: {(str(r["day"]), r["event_type"], r["n"], r["top"]) for r in df.collect()}
+    assert told(catalog_daily.stream_daily_counts(spark, str(tmp_path))) == want
+    for part in (rows, late):  # a run that goes on from its state, long after the first day
+        frame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streaming.source(spark, str(tmp_path / "in"), frame(rows).schema)
+        got = streaming.drained(streaming.running_counts(stream), str(tmp_path / "run"), ["day", "event_type"])
+    assert told(got) == want
+    frame([]).write.parquet(str(tmp_path / "none"))
+    assert not told(streaming.drained(streaming.running_counts(streaming.source(spark, str(tmp_path / "none"), frame(rows).schema)), keys=["day", "event_type"]))
+
+
 def test_captures_are_on_time_late_or_missed_in_one_batch_or_several(spark, tmp_path):
     due = [("u", 1, "2024-01-01 00:00:00"), ("u", 2, "2024-01-02 00:00:00"), ("v", 3, "2024-01-01 00:00:00"), ("v", 9, "2024-01-20 00:00:00")]
     records = [("u", "2024-01-01 01:00:00"), ("u", "2024-01-02 09:00:00"), ("w", "2024-01-01 02:00:00"), ("v", "2024-01-19 00:00:00")]

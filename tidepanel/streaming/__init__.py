@@ -1,4 +1,4 @@
-"""Structured Streaming over arriving events: daily counts that close, captures that are due, runs over what has arrived."""
+"""Structured Streaming over arriving events: daily counts, of all days or of those that close, captures that are due, runs over what has arrived."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.tables import shared_folder
 
@@ -21,6 +22,14 @@ def daily_counts(events: DataFrame, delay: str = "2 days") -> DataFrame:
     return counted.select(F.to_date("w.start").alias("day"), "event_type", "n", "top")
 
 
+def running_counts(events: DataFrame) -> DataFrame:
+    """day, event_type, n and top of all events of a stream so far, for update mode: nothing is dropped, however late it comes.
+
+    The state is a row for each day (null included) and type, which no later event may miss.
+    """
+    return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+
+
 def captures(due: DataFrame, records: DataFrame, keys: list[str], within: str, closes: str, delay: str = "1 day") -> DataFrame:
     """due (keys, due_id, due_at) with at and status of every record of its key that comes between due_at and ``closes`` after it.
 
@@ -53,9 +62,11 @@ def source(spark: SparkSession, path: str, schema, files_a_batch: int | None = N
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
+def drained(stream: DataFrame, folder: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """What a stream appends of all its sources hold by now: run until they are drained, written under the shared folder and read again.
 
+    With keys the stream updates its rows instead, and the last row of each key is told.
+
     A source without rows, or nothing to append yet, gives no rows. The run's folder is new unless one is given; with the
     folder of an earlier run it goes on where that one ended, with its state.
     """
@@ -66,5 +77,9 @@ def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{run}/rows/batch={number}")  # a batch that runs again replaces itself
 
-    stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{run}/rows").select(stream.columns)
+    stream.writeStream.outputMode("update" if keys else "append").foreachBatch(write).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not keys:
+        return spark.read.schema(stream.schema).parquet(f"{run}/rows").select(stream.columns)
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{run}/rows")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in stream.columns if c not in keys)), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(stream.columns)
