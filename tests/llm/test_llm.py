@@ -498,6 +498,37 @@ def test_a_document_without_an_id_links_its_neighbours(spark):
     assert got == Counter({(1, 1, True): 1, (None, 1, False): 1, (2, 1, False): 1, (None, None, True): 2})
 
 
+@pytest.mark.parametrize("words", [None, 51])
+def test_few_windows_of_a_common_passage_are_told_one_by_one(spark, words, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 1)
+    own = random.Random(9)
+    passage = [f"{own.randrange(16**3 if words else 10**6):x}" for _ in range(90)]  # where words count, of less than SPAN bytes
+    rows = []
+    for i in range(60):  # each takes its own piece of the passage, and has other words around it
+        a, b = own.randrange(15), 90 - own.randrange(15)
+        rows.append((i, " ".join([f"{own.randrange(10**9):x}" for _ in range(9)] + passage[a:b] + [f"{own.randrange(10**9):x}" for _ in range(9)])))
+    told, save = {}, repeats.common.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name == "windows":
+            told[self.root] = sum(len(r["start"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(repeats.common.Scratch, "save", counted)
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), words=words).collect()}
+    if words is None:
+        want = brute_repeats([t.encode() for _, t in rows], repeats.SPAN)
+        assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], hashlib.sha256(got[i]["kept_bytes"]).hexdigest()) for i in range(60)] == want
+    else:
+        seen = Counter(tuple(w[i : i + 51]) for _, t in rows for w in [t.split()] for i in range(len(w) - 50))
+        for k, t in rows:
+            w = t.split()
+            gone = {j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+            assert gone and bytes(got[k]["kept_bytes"]).decode().split() == [x for j, x in enumerate(w) if j not in gone]
+    assert 0 < sum(told.values()) < (900 if words else 1500)  # 3556 and 2956 where every window of a block is told
+
+
 @pytest.mark.parametrize("hot", [1, 256])
 def test_passages_of_words_are_cut_under_the_span_too(spark, empty, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
