@@ -310,6 +310,38 @@ def test_null_ids_are_training_text(spark, doc_id):
     assert sampled_pieces.round_trip(spark, rows).count() == 3
 
 
+def test_neighbours_are_a_row_for_each_word_and_sum_up_over_rows():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    own = random.Random(4)
+    end, total, fixed = 300, 5, 3
+    of = np.array([own.randrange(4) for _ in range(end)] + [4])
+    want, rows = Counter(), []
+    for _ in range(3):  # three tasks
+        texts = [[own.randrange(end) for _ in range(own.randrange(400))] + [end] for _ in range(5)]
+        for before, word in ((a, b) for t in texts for a, b in zip([end, *t], t)):
+            if fixed <= before < end:
+                want[before, int(of[word])] += 1
+            if fixed <= word < end:
+                want[word, total + int(of[before])] += 1
+        ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, texts)]), pa.int32()), pa.array(sum(texts, []), pa.int32()))
+        batch = pa.RecordBatch.from_arrays([pa.array([False] * 5), ids], ["judge", "ids"])
+        (got,) = class_lm._neighbours(SimpleNamespace(value=of), fixed, end, end, total)(iter([batch]))
+        assert got.num_rows == len({w for t in texts for w in t if fixed <= w < end})
+        rows += got.to_pylist()
+    rows.sort(key=lambda r: r["word"])
+    for cut in (1, 7, len(rows)):  # batches that end within a word
+        parts = [pa.RecordBatch.from_pylist(rows[i : i + cut], got.schema) for i in range(0, len(rows), cut)]
+        told = list(class_lm._beside(iter(parts), 2 * total))
+        words = [w for word, *_ in told for w in word.tolist()]
+        found = {(w, int(x)): int(n) for word, cuts, slot, count in told for k, w in enumerate(word.tolist()) for x, n in zip(slot[cuts[k] : cuts[k + 1]], count[cuts[k] : cuts[k + 1]])}
+        assert len(words) == len(set(words)) and max(len(word) for word, *_ in told) <= 100 and found == want
+    assert not list(class_lm._beside(iter([]), 2 * total))
+
+
 def test_best_classes_are_those_of_the_greatest_likelihood():
     rng = np.random.default_rng(5)
     words, total = 200, 20

@@ -251,14 +251,18 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _neighbours(shared, fixed: int, last: int, end: int, total: int):
-    """Counts of the classes beside the head words from ``fixed`` up to ``last``. A slot is the class behind a word, or ``total`` and the class before it."""
+    """A row for each head word from ``fixed`` up to ``last``: counts of the classes beside it. A slot is the class behind a word, or ``total`` and the class before it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         keys, counts, size = [], [], 0
 
         def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array((key // (2 * total)).astype(np.int32)), pa.array((key % (2 * total)).astype(np.int32)), pa.array(n)], ["word", "slot", "n"])
+            word = (key // (2 * total)).astype(np.int32)  # in order
+            heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            cuts = pa.array(np.append(heads, len(word)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in ((key % (2 * total)).astype(np.int32), n.astype(np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array(word[heads]), *lists], ["word", "slots", "counts"])
 
         for ids, before, _ in _tokens(batches, end):
             moving = [np.flatnonzero((x >= fixed) & (x < last)) for x in (before, ids)]
@@ -303,20 +307,42 @@ def best_classes(cuts: np.ndarray, slot: np.ndarray, n: np.ndarray, was: np.ndar
     return np.where(gain[rows, best] > gain[rows, was] + 1e-9, best, was)
 
 
+def _beside(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """word, cuts, slot and n of about 100 words at a time, of rows that come in order of their words; a word's rows are summed."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def told(key: np.ndarray, n: np.ndarray):
+        word = key // slots
+        heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        return word[heads], np.append(heads, len(key)), key % slots, n
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            lists = common.column(part, "slots")
+            word = np.repeat(common.column(part, "word").to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()))
+            held.append((word * slots + lists.flatten().to_numpy(), common.column(part, "counts").flatten().to_numpy()))
+            key, n = _summed(*map(list, zip(*held)))
+            words = key // slots
+            starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            edges = [*starts[:-1:100].tolist(), int(starts[-1])]  # the last word may go on
+            for x, y in zip(edges, edges[1:]):
+                yield told(key[x:y], n[x:y])
+            held = [(key[edges[-1] :], n[edges[-1] :])]
+    if held:
+        yield told(*held[0])
+
+
 def _moves(shared, end_class: int):
     """Words that change their class, with the new one; the end's class takes no words."""
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_class, table = shared.value
         open_to = np.delete(np.arange(len(table)), end_class)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 100):
-                part = batch.slice(a, 100)
-                word, beside = common.column(part, "word").to_numpy(), common.column(part, "beside")
-                cuts, values = beside.offsets.to_numpy(), beside.flatten()
-                found = best_classes(cuts - cuts[0], values.field("slot").to_numpy(), values.field("n").to_numpy(), head_class[word], table, open_to)
-                new = np.flatnonzero(found != head_class[word])
-                yield pa.RecordBatch.from_arrays([pa.array(word[new], pa.int32()), pa.array(found[new], pa.int32())], ["word", "class"])
+        for word, cuts, slot, n in _beside(batches, 2 * len(table)):
+            found = best_classes(cuts, slot, n, head_class[word], table, open_to)
+            new = np.flatnonzero(found != head_class[word])
+            yield pa.RecordBatch.from_arrays([pa.array(word[new], pa.int32()), pa.array(found[new], pa.int32())], ["word", "class"])
 
     return move
 
@@ -354,9 +380,9 @@ def exchanged(numbers: DataFrame, head_class: np.ndarray, head_counts: np.ndarra
         new, then = of, tables
         for _ in range(PASSES):
             shared, now = context.broadcast(new), context.broadcast((new[:end], then[0]))
-            # tasks have summed theirs, so rows go to their word's partition as they are, and both groupings take place there
-            counted = others.mapInArrow(common.tidied(_neighbours(shared, fixed, last, end, total)), "word int, slot int, n long").repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-            words = counted.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("beside"))  # 2 * total slots a word at most
+            # tasks have summed theirs: a row for each task and word, of 2 * total slots at most
+            counted = others.mapInArrow(common.tidied(_neighbours(shared, fixed, last, end, total)), "word int, slots array<int>, counts array<long>")
+            words = counted.repartition("word").sortWithinPartitions("word")
             moved = words.mapInArrow(common.tidied(_moves(now, end_class)), "word int, class int").toPandas()  # a row for each head word at most
             new = new.copy()
             new[moved["word"]] = moved["class"]
