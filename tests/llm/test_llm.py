@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import chat_windows, class_lm, common, cover_tree, decontamination, fixity, language_id, lattice, near_dups, repeats, sampled_pieces, token_counts
+from tidepanel.llm import chat_windows, class_lm, common, cover_tree, decontamination, fixity, language_id, lattice, near_dups, queries, repeats, sampled_pieces, token_counts
 from tidepanel.llm.suffix_array import Shard
 
 SCHEMA = "doc_id long, text string, lang string, item_id string"  # item_id clashes with a name the operators use
@@ -132,6 +132,20 @@ def test_repeats_are_those_of_all_windows(spark, docs, empty, hot, monkeypatch):
     assert repeats.remove_repeats(spark, empty).count() == 0
 
 
+def test_what_stays_of_a_text_can_be_read(spark, tmp_path):
+    passage = " ".join(str(n * n) for n in range(100, 170))
+    texts = [f"one {passage} end", f"{passage}", None, "", f"é{passage}é", f"ü{passage}©", "é alone \ufffd"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(passage) > repeats.SPAN
+    assert [got[i]["kept_text"] for i in range(7)] == ["one  end", "", "", "", "éé", "ü©", texts[6]]
+    assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got.values())
+    halves = [f"{passage}é{passage[::-1]}", f"{passage[::-1]} ©{passage}", f"©{passage[::-1]}"]  # é and © end with one byte
+    spark.createDataFrame(list(enumerate(halves)), "doc_id long, text string").write.parquet(f"{tmp_path}/halves/documents.parquet")
+    got = {r["doc_id"]: r["kept_text"] for r in queries.op9_suffix_dedup(spark, f"{tmp_path}/halves").collect()}
+    assert got == {0: "\ufffd", 1: " ©", 2: "\ufffd"}
+
+
 def test_suffix_arrays_are_sorted():
     strings = [b"banana", b"ananas", b"", b"aaaaaaaaaaaaaaaaaaaaaaaaaaaa", b"banana", bytes(20), b"\xff" * 9]
     shard = Shard(strings)
